@@ -78,10 +78,10 @@ PAIR = """pair as (
   select time, y, x, case when (dayofyear(time) + 3 * y + x) % 17 <> 0 then t end as truth, pred, refe
   from (
     select cast(l_shipdate as date) as time, cast(l_suppkey % 5 as int) as y, cast(l_partkey % 5 as int) as x,
-      cast(sum(cast(round(l_quantity * 100) as bigint)) as double) / (count(*) * 100.0) as t,
-      cast(sum(cast(round(l_extendedprice * 100) as bigint)) as double) / (count(*) * 210000.0) as pred,
+      cast(sum(cast(round(l_quantity * 100) as bigint)) as double) / (count(*) * 99.991::double) as t,
+      cast(sum(cast(round(l_extendedprice * 100) as bigint)) as double) / (count(*) * (2100 * 99.991::double)) as pred,
       cast(sum(cast(round(l_quantity * (1 + l_discount - l_tax) * 100) as bigint)) as double)
-        / (count(*) * 100.0) as refe
+        / (count(*) * 99.991::double) as refe
     from lineitem group by 1, 2, 3))"""
 
 RAIN = PAIR + """,
@@ -92,13 +92,13 @@ rain as (
 BOOKED = """booked as (
   select cast(o_orderdate as date) as time, cast(o_custkey % 5 as int) as y,
     cast(o_orderkey % 5 as int) as x,
-    cast(sum(cast(round(o_totalprice * 100) as bigint)) as double) / (count(*) * 1000000.0) as model
+    cast(sum(cast(round(o_totalprice * 100) as bigint)) as double) / (count(*) * (7000 * 99.991::double)) as model
   from orders group by 1, 2, 3)"""
 
 ENS = """ens as (
   select cast(date_trunc('month', l_shipdate) as date) as time, cast(l_suppkey % 5 as int) as y,
     cast(l_partkey % 5 as int) as x, l_linenumber as member,
-    cast(sum(cast(round(l_extendedprice * 100) as bigint)) as double) / (count(*) * 210000.0) as pred
+    cast(sum(cast(round(l_extendedprice * 100) as bigint)) as double) / (count(*) * (2100 * 99.991::double)) as pred
   from lineitem group by 1, 2, 3, 4)"""
 
 MONTHLY_TRUTH = PAIR + """,
