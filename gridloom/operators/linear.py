@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.functions.numeric import mae, r2, rmse
 from gridloom.operators.ranks import attach
@@ -32,20 +33,27 @@ def predict_linear(df: DataFrame, model: DataFrame, keys: list[str], feature: st
     )
 
 
-@F.pandas_udf("array<double>")
-def _solve(cov: pd.Series, mean: pd.Series, penalty: pd.Series) -> pd.Series:
-    """Coefficients and intercept from a covariance of (features, target) and their means."""
-    out = []
-    for c, m, lam in zip(cov, mean, penalty):
-        m = np.asarray(m, dtype=float)
-        c = np.asarray(c, dtype=float).reshape(len(m), len(m))
-        if not np.isfinite(c).all():
-            out.append(None)
-            continue
-        a = c[:-1, :-1] + lam * np.eye(len(m) - 1)
-        beta = np.linalg.lstsq(a, c[:-1, -1], rcond=None)[0]
-        out.append([*beta, m[-1] - float(beta @ m[:-1])])
-    return pd.Series(out)
+def _solve(cov: Column, mean: Column, penalty: Column) -> Column:
+    """Coefficients and intercept from a covariance of (features, target) and their means.
+
+    The function is built here, not at import, so that it travels to the
+    executors by value and needs no session beforehand.
+    """
+
+    def solve(covs: pd.Series, means: pd.Series, penalties: pd.Series) -> pd.Series:
+        out = []
+        for c, m, lam in zip(covs, means, penalties):
+            m = np.asarray(m, dtype=float)
+            c = np.asarray(c, dtype=float).reshape(len(m), len(m))
+            if not np.isfinite(c).all():
+                out.append(None)
+                continue
+            a = c[:-1, :-1] + lam * np.eye(len(m) - 1)
+            beta = np.linalg.lstsq(a, c[:-1, -1], rcond=None)[0]
+            out.append([*beta, m[-1] - float(beta @ m[:-1])])
+        return pd.Series(out)
+
+    return F.pandas_udf(solve, T.ArrayType(T.DoubleType()))(cov, mean, penalty)
 
 
 def _moments(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -65,7 +73,7 @@ def fit_ridge(
     """Ridge regression per group: (keys, coef), coef ending with the intercept."""
     whole = df.dropna(subset=[*features, target])
     moments = _moments(whole, keys, [*features, target])
-    return moments.select(*keys, _solve("_cov", "_mean", F.lit(float(penalty))).alias("coef"))
+    return moments.select(*keys, _solve(F.col("_cov"), F.col("_mean"), F.lit(float(penalty))).alias("coef"))
 
 
 def linear_term(features: list[str], coef: str = "coef") -> Column:
