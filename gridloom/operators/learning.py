@@ -209,13 +209,15 @@ def tune(
     Cells without a usable test value do not enter the mean.
     """
     settings = trial_settings(F.col("number"), seed, max_depth)
+    log = train.sparkSession.range(1, trials + 1).select(F.col("id").cast("int").alias("number"))
+    log = log.withColumns(settings)
 
     def with_trials(df: DataFrame) -> DataFrame:
         return df.withColumn("number", F.explode(F.sequence(F.lit(1), F.lit(trials))))
 
     keys = ["number", *cell]
     models = trees.fit_boosted(
-        with_trials(train).withColumns(settings),
+        with_trials(train).join(log, ["number"]),
         keys,
         features,
         target,
@@ -233,7 +235,7 @@ def tune(
     return (
         per_cell.groupBy("number")
         .agg(F.avg("rmse").alias("value"), F.count("rmse").alias("cells"))
-        .withColumns({f"params_{n}": c for n, c in settings.items()})
+        .join(log.withColumnsRenamed({n: f"params_{n}" for n in settings}), ["number"])
     )
 
 

@@ -2,10 +2,10 @@
 
 A model is identified by key columns (a cell; a cell, fold and trial; ...).
 All models grow together, level by level: rows add to histograms per (model,
-node, feature, bin), the best cut of every node is chosen among at most `bins`
-candidates, and rows find their node from the model's own small split table.
-A level is one aggregation with map-side combining, so a model with very many
-rows is no different from many models with few; no group is ever gathered.
+node, feature, bin), the best cut of every node is chosen among at most `BINS`
+candidates, and rows move on by a join with the small table of cuts. A level
+is one aggregation with map-side combining, so a model with very many rows is
+no different from many models with few; no group is ever gathered.
 
 A stored model is one row: bin edges per feature and a list of trees, each a
 map node -> (feature, bin) and a map leaf -> value. Node 1 is the root, the
@@ -18,11 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from gridloom.operators.ranks import hash_order
-from gridloom.operators.splitting import uniform
-from gridloom.sources.workspace import cut, fresh_path
+from gridloom.operators.splitting import hashed_uniform
+from gridloom.sources.workspace import stored
 
 BINS = 16
+SPLIT = "map<int,struct<feature:int,bin:int>>"
+VOTES = "array<struct<beta:double,worst:double>>"
 
 
 def bin_edges(df: DataFrame, keys: list[str], features: list[str], bins: int = BINS) -> DataFrame:
@@ -32,12 +33,14 @@ def bin_edges(df: DataFrame, keys: list[str], features: list[str], bins: int = B
     return df.groupBy(*keys).agg(edges.alias("edges"))
 
 
-def binned(features: list[str], edges: str = "edges") -> Column:
+def binned(features: list[str], edges: str = "edges", bins: int = BINS) -> Column:
     """Bin of each feature: how many edges lie below the value."""
 
     def one(i: int, f: str) -> Column:
-        below = F.filter(F.element_at(F.col(edges), i + 1), lambda e: e < F.col(f))
-        return F.size(below)
+        below = F.lit(0)
+        for j in range(bins - 1):
+            below = below + (F.col(f) > F.get(F.get(F.col(edges), i), j)).cast("int")
+        return below
 
     return F.array(*[one(i, f) for i, f in enumerate(features)])
 
@@ -66,37 +69,28 @@ def grow(
     min_rows: str | float = 5.0,
     penalty: str | float = 0.0,
     max_depth: str | None = None,
-) -> DataFrame:
-    """One tree per key: (keys, tree).
+) -> tuple[DataFrame, DataFrame]:
+    """One tree per key: (trees, rows with their leaf value `_value`).
 
-    `rows` has keys, _b (bins), _w (weight), _t (target). Settings may name
-    columns, so that every model can have its own.
+    `rows` has keys, _b (bins), _w (weight), _t (target) and is read once per
+    level. Settings may name columns, so that every model can have its own.
     """
-    need = F.col(min_rows) if isinstance(min_rows, str) else F.lit(float(min_rows))
-    lam = F.col(penalty) if isinstance(penalty, str) else F.lit(float(penalty))
-    limit = F.col(max_depth) if max_depth else F.lit(depth)
-    settings = rows.withColumns({"_need": need, "_lam": lam, "_limit": limit}).select(
-        *keys, "_b", "_w", "_t", F.struct("_need", "_lam", "_limit").alias("_set")
-    )
-    splits: DataFrame | None = None
 
-    def placed(level: int) -> DataFrame:
-        if splits is None:
-            empty = F.lit(None).cast("map<int,struct<feature:int,bin:int>>")
-            return settings.select("*", F.lit(1).alias("_node"), empty.alias("split"))
-        found = _find(F.col("split"), F.col("_b"), level)
-        return settings.join(splits, keys).withColumn("_node", found)
+    def setting(s: str | float) -> Column:
+        return F.any_value(F.col(s).cast("double")) if isinstance(s, str) else F.lit(float(s))
 
+    placed = rows.withColumn("_node", F.lit(1))
+    levels = []
     for level in range(depth):
         histogram = (
-            placed(level)
-            .select(*keys, "_node", "_w", "_t", "_set", "split", F.posexplode("_b").alias("feature", "bin"))
+            placed.select("*", F.posexplode("_b").alias("feature", "bin"))
             .groupBy(*keys, "_node", "feature", "bin")
             .agg(
                 F.sum("_w").alias("w"),
                 F.sum(F.col("_w") * F.col("_t")).alias("s"),
-                F.any_value("_set").alias("_set"),
-                F.any_value("split").alias("split"),
+                setting(min_rows).alias("need"),
+                setting(penalty).alias("lam"),
+                setting(max_depth or float(depth)).alias("limit"),
             )
         )
         node = [*keys, "_node", "feature"]
@@ -110,50 +104,48 @@ def grow(
             F.sum("s").over(whole).alias("sa"),
         )
         wr, sr = F.col("wa") - F.col("wl"), F.col("sa") - F.col("sl")
-        reg, least = F.col("_set._lam"), F.col("_set._need")
 
-        def gain_of(total: Column, weight: Column) -> Column:
-            return F.try_divide(total * total, weight + reg)
+        def score(total: Column, weight: Column) -> Column:
+            return F.try_divide(total * total, weight + F.col("lam"))
 
-        gain = gain_of(F.col("sl"), F.col("wl")) + gain_of(sr, wr) - gain_of(F.col("sa"), F.col("wa"))
-        allowed = (
-            (F.col("wl") >= least)
-            & (wr >= least)
-            & (gain > 1e-12)
-            & (F.col("_set._limit") > level)
-        )
+        gain = score(F.col("sl"), F.col("wl")) + score(sr, wr) - score(F.col("sa"), F.col("wa"))
+        allowed = (F.col("wl") >= F.col("need")) & (wr >= F.col("need")) & (F.col("limit") > level)
+        # Gains are compared after rounding; ties go to the first feature and bin.
         rank = F.struct(F.round(gain, 9), -F.col("feature"), -F.col("bin"))
-        best = cuts.groupBy(*keys, "_node").agg(
-            F.max_by(F.struct("feature", "bin"), F.when(allowed, rank)).alias("cut"),
-            F.any_value("split").alias("split"),
+        best = (
+            cuts.filter(allowed & (gain > 1e-12))
+            .groupBy(*keys, "_node")
+            .agg(F.max_by(F.struct("feature", "bin"), rank).alias("cut"))
         )
-        fresh = F.map_from_entries(
-            F.collect_list(F.when(F.col("cut").isNotNull(), F.struct("_node", "cut")))
-        )
-        old = F.any_value("split")
-        # A node without an allowed cut is tried again on later levels and fails
-        # again, except where only its depth limit differs; maps stay disjoint.
-        splits = best.groupBy(*keys).agg(
-            F.when(old.isNull(), fresh).otherwise(F.map_concat(old, fresh)).alias("split")
+        best = stored(best, "cuts")
+        levels.append(best)
+        right = (F.get("_b", F.col("cut.feature")) > F.col("cut.bin")).cast("int")
+        placed = (
+            placed.join(best, [*keys, "_node"], "left")
+            .withColumn(
+                "_node",
+                F.when(F.col("cut").isNull(), F.col("_node")).otherwise(2 * F.col("_node") + right),
+            )
+            .drop("cut")
         )
-    leaves = (
-        placed(depth)
-        .groupBy(*keys, "_node")
-        .agg(
-            F.try_divide(
-                F.sum(F.col("_w") * F.col("_t")), F.sum("_w") + F.any_value("_set")["_lam"]
-            ).alias("value"),
-            F.any_value("split").alias("split"),
+    value = F.try_divide(F.sum(F.col("_w") * F.col("_t")), F.sum("_w") + setting(penalty))
+    leaves = stored(placed.groupBy(*keys, "_node").agg(value.alias("_value")), "leaves")
+    parts = leaves.select(*keys, "_node", "_value", F.lit(None).cast("struct<feature:int,bin:int>").alias("cut"))
+    for best in levels:
+        parts = parts.unionByName(
+            best.select(*keys, "_node", F.lit(None).cast("double").alias("_value"), "cut")
         )
-    )
-    return leaves.groupBy(*keys).agg(
+    trees = parts.groupBy(*keys).agg(
         F.struct(
-            F.coalesce(
-                F.any_value("split"), F.create_map().cast("map<int,struct<feature:int,bin:int>>")
+            F.map_from_entries(
+                F.collect_list(F.when(F.col("cut").isNotNull(), F.struct("_node", "cut")))
             ).alias("split"),
-            F.map_from_entries(F.collect_list(F.struct("_node", "value"))).alias("leaf"),
+            F.map_from_entries(
+                F.collect_list(F.when(F.col("_value").isNotNull(), F.struct("_node", "_value")))
+            ).alias("leaf"),
         ).alias("tree")
     )
+    return trees, placed.join(leaves, [*keys, "_node"]).drop("_node")
 
 
 def prepare(
@@ -161,7 +153,7 @@ def prepare(
 ) -> tuple[DataFrame, DataFrame]:
     """Binned training rows, written once, and the bin edges of every model."""
     whole = df.dropna(subset=[*features, target])
-    edges = cut(bin_edges(whole, keys, features))
+    edges = stored(bin_edges(whole, keys, features), "edges")
     rows = whole.join(edges, keys).select(
         *keys,
         F.col(order).alias("_id"),
@@ -169,9 +161,20 @@ def prepare(
         F.col(target).cast("double").alias("_y"),
         *(extra or []),
     )
-    path = fresh_path(df.sparkSession, "rows")
-    rows.write.parquet(path)
-    return df.sparkSession.read.parquet(path), edges
+    return stored(rows, "rows"), edges
+
+
+def _model(trees: DataFrame, edges: DataFrame, keys: list[str], kind: str, depth: int, base: Column, rate: Column, votes: Column) -> DataFrame:
+    return trees.join(edges, keys).select(
+        *keys,
+        F.lit(kind).alias("kind"),
+        F.lit(depth).alias("depth"),
+        base.alias("base"),
+        rate.alias("rate"),
+        "edges",
+        "trees",
+        votes.alias("votes"),
+    )
 
 
 def fit_forest(
@@ -187,38 +190,25 @@ def fit_forest(
 ) -> DataFrame:
     """Random forest per model: bootstrapped trees, all grown at the same time."""
     rows, edges = prepare(df, keys, features, target, order)
-    u = uniform(seed, "_tree", "_id")
     # Poisson(1) counts: how often a row occurs in a bootstrap sample.
-    count = F.lit(0)
-    for k, share in enumerate((0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406)):
-        count = F.when(u >= share, F.lit(k + 1)).otherwise(count)
+    u = F.col("_u")
+    count = sum(
+        ((u >= share).cast("int") for share in (0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406)),
+        F.lit(0),
+    )
     draws = (
         rows.withColumn("_tree", F.explode(F.sequence(F.lit(1), F.lit(trees))))
+        .withColumn("_u", hashed_uniform(seed, "_tree", "_id"))
+        .filter("_u >= 0.367879")
         .withColumn("_w", count.cast("double"))
-        .filter("_w > 0")
-        .withColumnRenamed("_y", "_t")
+        .select(*keys, "_tree", "_b", "_w", F.col("_y").alias("_t"))
     )
-    grown = grow(draws, [*keys, "_tree"], depth, min_rows)
+    grown, _ = grow(draws, [*keys, "_tree"], depth, min_rows)
     forest = grown.groupBy(*keys).agg(F.collect_list("tree").alias("trees"))
-    return cut(
-        forest.join(edges, keys).select(
-            *keys,
-            F.lit("forest").alias("kind"),
-            F.lit(depth).alias("depth"),
-            F.lit(0.0).alias("base"),
-            F.lit(1.0 / trees).alias("rate"),
-            "edges",
-            "trees",
-            F.lit(None).cast("array<struct<beta:double,worst:double>>").alias("votes"),
-        )
-    )
-
-
-def _sum_of_trees(trees: Column, bins: Column, depth: int) -> Column:
-    return F.aggregate(
-        trees,
-        F.lit(0.0),
-        lambda acc, t: acc + F.coalesce(tree_value(t, bins, depth), F.lit(0.0)),
+    forest = forest.withColumn("_rate", 1.0 / F.size("trees"))
+    return stored(
+        _model(forest, edges, keys, "forest", depth, F.lit(0.0), F.col("_rate"), F.lit(None).cast(VOTES)),
+        "models",
     )
 
 
@@ -239,42 +229,35 @@ def fit_boosted(
 ) -> DataFrame:
     """Gradient boosting per model; settings may be columns of the training rows.
 
-    The residual of a round is computed from the model so far, so the training
-    rows are written once and only the models change.
+    Rows carry the prediction so far; it is rewritten once per round.
     """
-    named = [c for c in (rate, penalty, min_rows, subsample, max_depth) if isinstance(c, str)]
-    rows, edges = prepare(df, keys, features, target, order, sorted(set(named)))
-    rate_of = F.col(rate) if isinstance(rate, str) else F.lit(float(rate))
-    share = F.col(subsample) if isinstance(subsample, str) else F.lit(float(subsample))
-    start = rows.groupBy(*keys).agg(
-        F.avg("_y").alias("base"), F.any_value(rate_of.cast("double")).alias("_rate")
-    )
-    empty = F.array().cast(
-        "array<struct<split:map<int,struct<feature:int,bin:int>>,leaf:map<int,double>>>"
+
+    def named(s: str | float) -> Column:
+        return F.col(s).cast("double") if isinstance(s, str) else F.lit(float(s))
+
+    settings = [c for c in (rate, penalty, min_rows, subsample, max_depth) if isinstance(c, str)]
+    rows, edges = prepare(df, keys, features, target, order, sorted(set(settings)))
+    start = stored(
+        rows.groupBy(*keys).agg(F.avg("_y").alias("_base"), F.any_value(named(rate)).alias("_rate")),
+        "start",
     )
-    models = cut(start.withColumn("trees", empty))
+    current = rows.join(start.select(*keys, "_base"), keys).withColumnRenamed("_base", "_f")
+    grown = []
     for i in range(rounds):
-        current = F.col("base") + F.col("_rate") * _sum_of_trees(F.col("trees"), F.col("_b"), depth)
-        sampled = (
-            rows.join(models, keys)
-            .filter(uniform(seed + i, "_id") < share)
-            .withColumn("_t", F.col("_y") - current)
-            .withColumn("_w", F.lit(1.0))
-        )
-        tree = grow(sampled, keys, depth, min_rows, penalty, max_depth)
-        grown = F.when(F.col("tree").isNull(), F.col("trees")).otherwise(
-            F.array_append("trees", F.col("tree"))
+        marked = current.withColumn("_t", F.col("_y") - F.col("_f")).withColumn(
+            "_w", (hashed_uniform(seed + i, "_id") < named(subsample)).cast("double")
         )
-        models = cut(models.join(tree, keys, "left").withColumn("trees", grown).drop("tree"))
-    return models.join(edges, keys).select(
-        *keys,
-        F.lit("boosted").alias("kind"),
-        F.lit(depth).alias("depth"),
-        "base",
-        F.col("_rate").alias("rate"),
-        "edges",
-        "trees",
-        F.lit(None).cast("array<struct<beta:double,worst:double>>").alias("votes"),
+        # Rows left out of a round weigh nothing, but move on to their leaf all the same.
+        tree, valued = grow(marked, keys, depth, min_rows, penalty, max_depth)
+        grown.append(tree)
+        if i < rounds - 1:
+            step = named(rate) * F.coalesce("_value", F.lit(0.0))
+            moved = valued.withColumn("_f", F.col("_f") + step)
+            current = stored(moved.drop("_t", "_w", "_value"), "rows")
+    models = _in_order(grown, keys, ["tree"]).join(start, keys)
+    return stored(
+        _model(models, edges, keys, "boosted", depth, F.col("_base"), F.col("_rate"), F.lit(None).cast(VOTES)),
+        "models",
     )
 
 
@@ -290,74 +273,65 @@ def fit_adaboost(
 ) -> DataFrame:
     """AdaBoost.R2 per model with linear loss.
 
-    A row's weight is the product over earlier trees of beta ** (1 - loss); it
-    is recomputed from the model, so no weights are kept per row. A model
-    whose average loss reaches one half stops growing.
+    Rows carry their weight; a row that was predicted well is multiplied by
+    beta ** (1 - loss). A model whose average loss reaches one half stops (its
+    first tree is kept in any case).
     """
     rows, edges = prepare(df, keys, features, target, order)
-    trees = F.array().cast(
-        "array<struct<split:map<int,struct<feature:int,bin:int>>,leaf:map<int,double>>>"
-    )
-    votes = F.array().cast("array<struct<beta:double,worst:double>>")
-    models = cut(
-        rows.select(*keys).distinct().select("*", trees.alias("trees"), votes.alias("votes"), F.lit(False).alias("done"))
-    )
-    for _ in range(rounds):
-        weight = F.aggregate(
-            F.arrays_zip("trees", "votes"),
-            F.lit(1.0),
-            lambda acc, e: acc
-            * F.pow(
-                e["votes"]["beta"],
-                1 - F.abs(F.col("_y") - tree_value(e["trees"], F.col("_b"), depth)) / e["votes"]["worst"],
-            ),
-        )
-        weighted = rows.join(models.filter(~F.col("done")).drop("done"), keys).withColumn("_w", weight)
-        scale = weighted.groupBy(*keys).agg(F.avg("_w").alias("_scale"))
-        weighted = weighted.join(scale, keys).withColumn("_w", F.col("_w") / F.col("_scale"))
-        weighted = weighted.select(*keys, "_b", "_y", "_w", F.col("_y").alias("_t"))
-        tree = cut(grow(weighted, keys, depth, min_rows))
-        missed = weighted.join(tree, keys).withColumn(
-            "_e", F.abs(F.col("_y") - tree_value(F.col("tree"), F.col("_b"), depth))
-        )
+    current = rows.withColumn("_w", F.lit(1.0))
+    grown = []
+    for i in range(rounds):
+        tree, valued = grow(current.withColumn("_t", F.col("_y")), keys, depth, min_rows)
+        missed = valued.withColumn("_e", F.abs(F.col("_y") - F.col("_value")))
         loss = missed.groupBy(*keys).agg(
             F.max("_e").alias("worst"),
             F.try_divide(F.sum(F.col("_w") * F.col("_e")), F.sum("_w")).alias("mean_error"),
+            F.avg("_w").alias("scale"),
         )
         average = F.try_divide("mean_error", "worst")
-        judged = loss.join(tree, keys).select(
-            *keys,
-            "tree",
-            F.struct(F.try_divide(average, 1 - average).alias("beta"), F.col("worst")).alias("vote"),
-            F.coalesce(average >= 0.5, F.lit(True)).alias("_weak"),
+        weak = F.coalesce(average >= 0.5, F.lit(True))
+        beta = F.when(weak, F.lit(0.5)).otherwise(
+            F.greatest(F.try_divide(average, 1 - average), F.lit(1e-12))
         )
-        first = F.size("trees") == 0
-        keep = F.col("tree").isNotNull() & (~F.col("_weak") | first)
-        models = cut(
-            models.join(judged, keys, "left").select(
-                *keys,
-                F.when(keep, F.array_append("trees", F.col("tree"))).otherwise(F.col("trees")).alias("trees"),
-                F.when(
-                    keep,
-                    F.array_append(
-                        "votes",
-                        F.when(F.col("_weak"), F.struct(F.lit(0.5).alias("beta"), F.lit(1e300).alias("worst"))).otherwise(F.col("vote")),
-                    ),
-                )
-                .otherwise(F.col("votes"))
-                .alias("votes"),
-                (F.col("done") | F.coalesce(F.col("_weak"), F.lit(True))).alias("done"),
-            )
+        judged = stored(
+            loss.join(tree, keys).select(
+                *keys, "tree", "scale", F.struct(beta.alias("beta"), "worst").alias("vote"), weak.alias("weak")
+            ),
+            "votes",
         )
-    return models.join(edges, keys).select(
-        *keys,
-        F.lit("adaboost").alias("kind"),
-        F.lit(depth).alias("depth"),
-        F.lit(0.0).alias("base"),
-        F.lit(1.0).alias("rate"),
-        "edges",
-        "trees",
-        "votes",
+        grown.append(judged if i == 0 else judged.filter(~F.col("weak")))
+        if i < rounds - 1:
+            going = judged.filter(~F.col("weak")).select(*keys, "vote", "scale")
+            left_over = 1 - F.try_divide("_e", F.col("vote.worst"))
+            weight = F.col("_w") / F.col("scale") * F.pow(F.col("vote.beta"), left_over)
+            current = stored(
+                missed.join(going, keys).withColumn("_w", weight).select(*rows.columns, "_w"), "rows"
+            )
+    models = _in_order(grown, keys, ["tree", "vote"])
+    return stored(
+        _model(models, edges, keys, "adaboost", depth, F.lit(0.0), F.lit(1.0), F.col("votes")), "models"
+    )
+
+
+def _in_order(rounds: list[DataFrame], keys: list[str], values: list[str]) -> DataFrame:
+    """Per model the trees (and votes) of all rounds, first round first."""
+    parts = None
+    for i, part in enumerate(rounds):
+        one = part.select(*keys, F.lit(i).alias("_i"), *values)
+        parts = one if parts is None else parts.unionByName(one)
+    table = parts.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("_i", F.struct(*values)))).alias("_m")
+    )
+    order = F.array_sort(F.map_keys("_m"))
+    table = table.withColumn("_all", F.transform(order, lambda i: F.try_element_at("_m", i)))
+    return table.select(*keys, *[F.col(f"_all.{v}").alias(f"{v}s") for v in values])
+
+
+def _sum_of_trees(trees: Column, bins: Column, depth: int) -> Column:
+    return F.aggregate(
+        trees,
+        F.lit(0.0),
+        lambda acc, t: acc + F.coalesce(tree_value(t, bins, depth), F.lit(0.0)),
     )
 
 

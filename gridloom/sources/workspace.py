@@ -30,3 +30,14 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint: the result outlives lost executors and long lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def stored(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    Cuts lineage like a checkpoint; besides, the planner then knows the
+    table's size, so it broadcasts it only where it is small.
+    """
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
