@@ -76,26 +76,30 @@ def _distance2(a: list[Column], b: list[Column]) -> Column:
     return total
 
 
-def _steps(dims: int) -> list[tuple[int, ...]]:
-    """Grid steps to every box that may hold a point within eps (box diagonal = eps)."""
+def _near_boxes(left: DataFrame, right: DataFrame, dims: int, index_dims: int = 3) -> DataFrame:
+    """Pairs (a, b) of different boxes that may hold points within eps (box diagonal = eps).
+
+    Boxes meet on their first few grid coordinates and are then checked on all
+    of them; crowded or not, a box is one row here.
+    """
+    used = min(dims, index_dims)
     reach = int(dims**0.5) + 1
-    near = []
-    for step in product(range(-reach, reach + 1), repeat=dims):
-        if any(step) and sum(max(abs(s) - 1, 0) ** 2 for s in step) <= dims:
-            near.append(step)
-    return near
-
-
-def _shifted(box: str, dims: int, half: bool = False) -> Column:
-    """All neighbouring boxes of a box; with `half` each pair of boxes comes once."""
-    steps = [s for s in _steps(dims) if not half or s > (0,) * dims]
-    return F.explode(
-        F.array(
-            *[
-                F.array(*[F.get(F.col(box), i) + F.lit(s).cast("bigint") for i, s in enumerate(step)])
-                for step in steps
-            ]
-        )
+    steps = [
+        s for s in product(range(-reach, reach + 1), repeat=used) if sum(max(abs(i) - 1, 0) ** 2 for i in s) <= dims
+    ]
+
+    def key(box: str, step: tuple[int, ...] | None = None) -> Column:
+        return F.array(*[F.get(F.col(box), F.lit(i)) + (step[i] if step else 0) for i in range(used)])
+
+    gap = F.lit(0).cast("bigint")
+    for i in range(dims):
+        apart = F.greatest(F.abs(F.get("a", F.lit(i)) - F.get("b", F.lit(i))) - 1, F.lit(0))
+        gap = gap + apart * apart
+    return (
+        left.select(F.col("box").alias("a"), F.explode(F.array(*[key("box", s) for s in steps])).alias("_k"))
+        .join(right.select(F.col("box").alias("b"), key("box").alias("_k")), ["_k"])
+        .filter((F.col("a") != F.col("b")) & (gap <= dims))
+        .select("a", "b")
     )
 
 
@@ -122,18 +126,19 @@ def dbscan(df: DataFrame, id_col: str, features: list[str], eps: float, min_poin
         .agg(F.count(F.lit(1)).alias("w"), F.min(id_col).alias("pid"))
         .withColumn("box", box)
     )
-    boxes = points.groupBy("box").agg(
-        F.sum("w").alias("total"), F.count(F.lit(1)).alias("distinct_points"), F.min("pid").alias("first")
-    )
+    boxes = points.groupBy("box").agg(F.sum("w").alias("total"))
     dense = boxes.filter(F.col("total") >= min_points)
-    sparse_points = points.join(boxes.filter(F.col("total") < min_points).select("box", "total"), ["box"])
+    sparse = boxes.filter(F.col("total") < min_points)
+    sparse_points = points.join(sparse, ["box"])
 
     # Every (sparse point, other point within eps in another box) pair.
     other = points.select(
         F.col("box").alias("other_box"), F.col("pid").alias("other"), F.col("w").alias("other_w"), *[c.alias(f"_{f}") for c, f in zip(coordinates, features)]
     )
     near = cut(
-        sparse_points.withColumn("other_box", _shifted("box", dims))
+        sparse_points.join(
+            _near_boxes(sparse, boxes, dims).withColumnsRenamed({"a": "box", "b": "other_box"}), ["box"]
+        )
         .join(other, ["other_box"])
         .filter(_distance2(coordinates, [F.col(f"_{f}") for f in features]) <= eps * eps)
         .select("pid", "box", "other", "other_w", "other_box")
@@ -164,8 +169,10 @@ def dbscan(df: DataFrame, id_col: str, features: list[str], eps: float, min_poin
 
     core_labels = core.join(labels, ["box"]).select("pid", F.col("label").alias("cluster"))
     # Border points: not core, but within eps of a core point of their own or another box.
-    in_box = core.filter(F.col("pid").isNotNull()).select("box").distinct().join(labels, ["box"])
-    own = sparse_points.join(cores, ["pid"], "left_anti").join(in_box, ["box"]).select("pid", F.col("label").alias("cluster"))
+    # (Only boxes with a core point are nodes, so only those have a label.)
+    own = sparse_points.join(cores, ["pid"], "left_anti").join(labels, ["box"]).select(
+        "pid", F.col("label").alias("cluster")
+    )
     across = (
         near.join(cores, ["pid"], "left_anti")
         .join(core.select(F.col("pid").alias("other"), F.col("box").alias("_b")), ["other"])
@@ -202,11 +209,7 @@ def _crowded_links(points: DataFrame, dense: DataFrame, features: list[str], sid
     def named(df: DataFrame, tag: str) -> DataFrame:
         return df.select(*[F.col(c).alias(f"{tag}_{c}") for c in df.columns])
 
-    candidates = (
-        dense.select(F.col("box").alias("a"), _shifted("box", dims, half=True).alias("b"))
-        .join(dense.withColumnRenamed("box", "b"), ["b"], "left_semi")
-        .select("a", "b")
-    )
+    candidates = _near_boxes(dense, dense, dims).filter("a < b")
     found = candidates.limit(0)
     open_pairs = None
     level = 0

@@ -70,19 +70,16 @@ def write_cube(
     """Write predictions under a run key, partitioned by year (and member).
 
     Returns False without computing anything when the run is already there and
-    `overwrite` is off. Rows are brought together per output folder, spread
-    over several writers by cell, so that no single writer holds a whole year.
+    `overwrite` is off. Rows are rebalanced by output folder: small folders get
+    one file, a folder too large for one task is split over several.
     """
     spark = df.sparkSession
     target = f"{path}/run_key={run_key}"
     if not overwrite and exists(spark, f"{target}/_SUCCESS"):
         return False
-    out = df.withColumn("year", F.year("time"))
-    spread = [c for c in ("y", "x") if c in out.columns]
     (
-        out.withColumn("_slot", F.pmod(F.hash(*spread), F.lit(16)))
-        .repartition(*by, "_slot")
-        .drop("_slot")
+        df.withColumn("year", F.year("time"))
+        .hint("rebalance", *by)
         .write.mode("overwrite")
         .partitionBy(*by)
         .option("compression", "zstd")

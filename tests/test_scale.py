@@ -25,7 +25,7 @@ def skewed(spark, n=30000, seed=1):
 def test_exact_quantiles(spark, keys):
     pdf, df = skewed(spark)
     probs = [0.0, 0.02, 0.25, 0.5, 0.9, 0.98, 1.0]
-    got = ranks.exact_quantiles(df, keys, "v", probs, grid=100).collect()
+    got = ranks.exact_quantiles(df, keys, "v", probs, margin=0.01, small=500, pieces=7).collect()
     groups = [((), pdf)] if not keys else [((k,), part) for k, part in pdf.groupby("g")]
     assert len(got) == len(groups) * len(probs)
     table = {(tuple(r[k] for k in keys), r.prob): r.q for r in got}
@@ -86,7 +86,7 @@ def dbscan_brute(points, eps, least):
     return out
 
 
-@pytest.mark.parametrize("seed,dims", [(0, 2), (1, 2), (2, 1), (3, 3)])
+@pytest.mark.parametrize("seed,dims", [(0, 2), (2, 1), (3, 4)])
 def test_dbscan_against_brute_force(spark, seed, dims):
     rng = np.random.default_rng(seed)
     blob = rng.normal(0, 0.15, (120, dims))
