@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import aggregate, terrain, verification
 from gridloom.plans.catalog.base import EMB, PAIR, RAIN, d, query, r, season
 from gridloom.sources import tables
+from gridloom.sources.workspace import stored
 
 TP = ["truth", "pred"]
 _AVG = f"{r('avg(truth)')} as truth, {r('avg(pred)')} as pred"
@@ -122,7 +123,7 @@ def time_quantile_features(spark, sf):
     ),
 )
 def global_summary(spark, sf):
-    return aggregate.global_summary(tables.pair(spark, sf).select(*TP), TP)
+    return aggregate.global_summary(stored(tables.pair(spark, sf).select(*TP)), TP)
 
 
 @query(
@@ -170,7 +171,7 @@ def box_stats(spark, sf):
     errors = tables.pair(spark, sf).select(
         F.year("time").alias("year"), (F.col("pred") - F.col("truth")).alias("value")
     )
-    return aggregate.box_stats(errors, ["year"], "value")
+    return aggregate.box_stats(stored(errors), ["year"], "value")
 
 
 @query(
@@ -185,6 +186,6 @@ def box_stats(spark, sf):
       from b cross join e left join c on c.bin = b.bin""",
 )
 def bias_distribution(spark, sf):
-    field = verification.bias_map(tables.pair(spark, sf))
+    field = stored(verification.bias_map(tables.pair(spark, sf)))
     median = aggregate.quantile_columns(field, [], "bias", {"median": 0.5})
     return aggregate.attach(terrain.histogram(field, "bias", 10), median, [])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import align
 from gridloom.plans.catalog.base import BOOKED, DEM, PAIR, d, query, r
 from gridloom.sources import tables
+from gridloom.sources.workspace import stored
 
 KEYS = ["time", "y", "x"]
 
@@ -72,7 +73,7 @@ def three_way(spark, sf):
       from a join b using (time)""",
 )
 def merge_area_series(spark, sf):
-    cube = tables.pair(spark, sf)
+    cube = stored(tables.pair(spark, sf))
     series = [
         align.area_mean(cube, ["truth"]),
         align.area_mean(cube, ["pred"]),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import bias
 from gridloom.plans.catalog.base import PAIR, d, query, r
 from gridloom.sources import tables
+from gridloom.sources.workspace import stored
 
 _PARTS = PAIR + """,
 o as (select y, x, truth as v, row_number() over (partition by y, x order by truth) - 1 as k
@@ -30,10 +31,10 @@ l as (select p.time, p.y, p.x, p.v, qm, qo,
 
 
 def _frames(spark, sf):
-    calib = tables.pair(spark, sf, end="1999-01-01")
+    calib = stored(tables.pair(spark, sf, end="1999-01-01"))
     obs = calib.select("y", "x", F.col("truth").alias("value"))
     mod = calib.select("y", "x", F.col("pred").alias("value"))
-    later = tables.pair(spark, sf, start="1999-01-01")
+    later = stored(tables.pair(spark, sf, start="1999-01-01"))
     return obs, mod, later.select("time", "y", "x", F.col("pred").alias("value"))
 
 

@@ -8,6 +8,7 @@ from gridloom.operators import aggregate, align, ensemble
 from gridloom.plans.catalog.aggregation import box_sql
 from gridloom.plans.catalog.base import ENS, MONTHLY_TRUTH, d, query, r, season
 from gridloom.sources import tables
+from gridloom.sources.workspace import stored
 
 _JOINED = f"""{MONTHLY_TRUTH}, {ENS},
   j as (select time, y, x, member, pred, truth from ens join obs using (time, y, x) where truth is not null)"""
@@ -47,7 +48,7 @@ def ens_quantile_band_wide(spark, sf):
 
 
 def _scores(spark, sf):
-    return ensemble.crps(tables.ens(spark, sf), tables.monthly_truth(spark, sf))
+    return ensemble.crps(stored(tables.ens(spark, sf)), stored(tables.monthly_truth(spark, sf)))
 
 
 @query("crps", f"with {_CRPS} select {d('time')} as time, y, x, {r('crps')} as crps from c")
@@ -94,7 +95,7 @@ def crps_box_month(spark, sf):
       from s join e using (y, x)""",
 )
 def spread_error_cell(spark, sf):
-    return ensemble.spread_error_cell(tables.ens(spark, sf), tables.monthly_truth(spark, sf))
+    return ensemble.spread_error_cell(stored(tables.ens(spark, sf)), stored(tables.monthly_truth(spark, sf)))
 
 
 def _spread_sql(error: str) -> str:
@@ -109,13 +110,13 @@ _MSE = "avg((truth - mean) * (truth - mean))"
 
 @query("spread_error_mse", _spread_sql(_MSE))
 def spread_error_mse(spark, sf):
-    return ensemble.spread_error_season(tables.ens(spark, sf), tables.monthly_truth(spark, sf))
+    return ensemble.spread_error_season(stored(tables.ens(spark, sf)), stored(tables.monthly_truth(spark, sf)))
 
 
 @query("spread_error_rmse", _spread_sql(f"sqrt({_MSE})"))
 def spread_error_rmse(spark, sf):
     return ensemble.spread_error_season(
-        tables.ens(spark, sf), tables.monthly_truth(spark, sf), root=True
+        stored(tables.ens(spark, sf)), stored(tables.monthly_truth(spark, sf)), root=True
     )
 
 
@@ -138,7 +139,7 @@ def rps(spark, sf):
       select y, x, {r('avg(s)')} as rps from s group by y, x""",
 )
 def rps_terciles(spark, sf):
-    return ensemble.rps_terciles(tables.ens(spark, sf), tables.monthly_truth(spark, sf))
+    return ensemble.rps_terciles(stored(tables.ens(spark, sf)), stored(tables.monthly_truth(spark, sf)))
 
 
 @query(

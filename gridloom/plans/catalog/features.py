@@ -8,6 +8,7 @@ from gridloom.functions import numeric
 from gridloom.operators import features, resample
 from gridloom.plans.catalog.base import EMB, PAIR, RAIN, SUB, d, query, r, ratio
 from gridloom.sources import tables
+from gridloom.sources.workspace import stored
 
 KEYS = ["time", "y", "x"]
 _HEAD = f"select {d('time')} as time, y, x"
@@ -34,19 +35,19 @@ def _anomaly_sql(bucket: str, divide: str = "") -> str:
 
 @query("anomaly", _anomaly_sql("month(time)"))
 def anomaly(spark, sf):
-    cube = tables.pair(spark, sf).select(*KEYS, "truth", "pred")
+    cube = stored(tables.pair(spark, sf).select(*KEYS, "truth", "pred"))
     return features.anomaly(cube, ["y", "x"], ["truth", "pred"], "month")
 
 
 @query("anomaly_doy", _anomaly_sql("dayofyear(time)"))
 def anomaly_doy(spark, sf):
-    cube = tables.pair(spark, sf).select(*KEYS, "truth", "pred")
+    cube = stored(tables.pair(spark, sf).select(*KEYS, "truth", "pred"))
     return features.anomaly(cube, ["y", "x"], ["truth", "pred"], "dayofyear")
 
 
 @query("anomaly_standardized", _anomaly_sql("month(time)", "std"))
 def anomaly_standardized(spark, sf):
-    cube = tables.pair(spark, sf).select(*KEYS, "truth", "pred")
+    cube = stored(tables.pair(spark, sf).select(*KEYS, "truth", "pred"))
     return features.anomaly(cube, ["y", "x"], ["truth", "pred"], "month", standard=True)
 
 
@@ -58,7 +59,7 @@ def anomaly_standardized(spark, sf):
       from pair, e""",
 )
 def minmax_period(spark, sf):
-    cube = tables.pair(spark, sf).select(*KEYS, "truth", "pred")
+    cube = stored(tables.pair(spark, sf).select(*KEYS, "truth", "pred"))
     return features.minmax_period(cube, ["truth", "pred"], ("1996-01-01", "1998-12-31"))
 
 
@@ -92,7 +93,7 @@ def minmax_column(spark, sf):
       {r('(pred - pl) / nullif(ph - pl, 0) * 1000')} as pred from rain, e""",
 )
 def minmax_compare(spark, sf):
-    cube = tables.rain(spark, sf).select(*KEYS, "truth", "pred")
+    cube = stored(tables.rain(spark, sf).select(*KEYS, "truth", "pred"))
     return features.minmax_column(cube, ["truth", "pred"], factor=1000.0)
 
 
@@ -104,12 +105,12 @@ def _zscore_sql(deviation: str) -> str:
 
 @query("zscore_sample", _zscore_sql("stddev_samp"))
 def zscore_sample(spark, sf):
-    return features.zscore(tables.pair(spark, sf).select(*KEYS, "truth", "pred"), ["truth", "pred"])
+    return features.zscore(stored(tables.pair(spark, sf).select(*KEYS, "truth", "pred")), ["truth", "pred"])
 
 
 @query("zscore_pop", _zscore_sql("stddev_pop"))
 def zscore_pop(spark, sf):
-    cube = tables.pair(spark, sf).select(*KEYS, "truth", "pred")
+    cube = stored(tables.pair(spark, sf).select(*KEYS, "truth", "pred"))
     return features.zscore(cube, ["truth", "pred"], sample=False)
 
 

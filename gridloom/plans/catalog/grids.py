@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import regrid, terrain
 from gridloom.plans.catalog.base import DEM, PAIR, d, query, r
 from gridloom.sources import tables
+from gridloom.sources.workspace import stored
 
 
 @query(
@@ -34,7 +35,7 @@ def regrid_bilinear(spark, sf):
       where ty < 4 and tx < 4 group by t.time, ty, tx""",
 )
 def regrid_bilinear_cube(spark, sf):
-    cube = tables.pair(spark, sf).select("time", "y", "x", "truth")
+    cube = stored(tables.pair(spark, sf).select("time", "y", "x", "truth"))
     axis = spark.range(4).select((F.col("id") + 0.5).alias("c"))
     ty, tx = axis.select(F.col("c").alias("y")), axis.select(F.col("c").alias("x"))
     return regrid.regrid_bilinear(cube, ty, tx, ["time"], ["truth"])

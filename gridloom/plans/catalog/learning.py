@@ -9,7 +9,7 @@ from gridloom.operators import verification as V
 from gridloom.plans.catalog.base import BOOKED, ENS, MONTHLY_TRUTH, PAIR, RAIN, d, query, r
 from gridloom.plans.catalog.verification import r2_sql
 from gridloom.sources import tables
-from gridloom.sources.workspace import fresh_path
+from gridloom.sources.workspace import fresh_path, stored
 
 CELL = ["y", "x"]
 KEYS = ["time", "y", "x"]
@@ -23,7 +23,7 @@ def _cube(spark, sf, **period):
 
 
 def _train(spark, sf):
-    return _cube(spark, sf, end=_SPLIT)
+    return stored(_cube(spark, sf, end=_SPLIT))
 
 
 def _test(spark, sf):
@@ -179,7 +179,7 @@ def _rain_cube(spark, sf, **period):
 
 @query("glm_tweedie_gamma")
 def glm_tweedie_gamma(spark, sf):
-    model = learning.fit_glm(_rain_cube(spark, sf, end=_SPLIT), X, "truth", power=2)
+    model = learning.fit_glm(stored(_rain_cube(spark, sf, end=_SPLIT)), X, "truth", power=2)
     later = _rain_cube(spark, sf, start=_SPLIT)
     return learning.predict_global(later, model, X).select(*KEYS, "truth", "predicted")
 
@@ -187,7 +187,7 @@ def glm_tweedie_gamma(spark, sf):
 @query("glm_tweedie_cells")
 def glm_tweedie_cells(spark, sf):
     x = ["pred", "doy_sin", "doy_cos"]
-    model = linear.fit_glm_cells(_rain_cube(spark, sf, end=_SPLIT), CELL, x, "truth", power=2, rounds=3)
+    model = linear.fit_glm_cells(stored(_rain_cube(spark, sf, end=_SPLIT)), CELL, x, "truth", power=2, rounds=3)
     later = _rain_cube(spark, sf, start=_SPLIT)
     return linear.predict_glm(later, model, CELL, x, 2, "predicted").select(*KEYS, "truth", "predicted")
 
@@ -207,8 +207,8 @@ _SINGLE = f"""one as (select regr_slope(truth, pred) as b, regr_intercept(truth,
         {r('avg(maem)')} as mae_multi from c""",
 )
 def single_vs_multi(spark, sf):
-    calib = tables.pair(spark, sf, end=_SPLIT)
-    later = tables.pair(spark, sf, start=_SPLIT).select(*KEYS, "truth", "pred")
+    calib = stored(tables.pair(spark, sf, end=_SPLIT))
+    later = stored(tables.pair(spark, sf, start=_SPLIT).select(*KEYS, "truth", "pred"))
     one = linear.fit_cell_linear(calib, [], "pred", "truth")
     many = linear.fit_cell_linear(calib, CELL, "pred", "truth")
     single = linear.scores(linear.predict_linear(later, one, [], "pred", "predicted"), CELL)
@@ -229,7 +229,7 @@ def single_vs_multi(spark, sf):
       select y, x, {r('avg(rmse)')} as rmse, count(rmse) as folds from e group by y, x""",
 )
 def cv_rmse_cells(spark, sf):
-    cube = tables.pair(spark, sf).select(*KEYS, "truth", "pred")
+    cube = stored(tables.pair(spark, sf).select(*KEYS, "truth", "pred"))
     rows = learning.explode_folds(cube, splitting.split_timeseries(cube, 5))
     keys = [*CELL, "fold"]
     model = linear.fit_cell_linear(rows.filter("part = 'train'"), keys, "pred", "truth")
@@ -239,7 +239,7 @@ def cv_rmse_cells(spark, sf):
 
 @query("cv_rmse_cells_boosted")
 def cv_rmse_cells_boosted(spark, sf):
-    cube = _cube(spark, sf)
+    cube = stored(_cube(spark, sf))
     rows = learning.explode_folds(cube, splitting.split_timeseries(cube, 3))
     keys = [*CELL, "fold"]
     models = learning.fit_cells(
@@ -251,7 +251,7 @@ def cv_rmse_cells_boosted(spark, sf):
 
 @query("tune")
 def tune(spark, sf):
-    sampled = splitting.split_tail(splitting.sample_cells(_cube(spark, sf), 2))
+    sampled = splitting.split_tail(splitting.sample_cells(stored(_cube(spark, sf)), 2))
     train, test = (sampled.filter(F.col("part") == p).drop("part") for p in ("train", "valid"))
     return learning.tune(train, test, CELL, X, "truth", trials=10, rounds=3, max_depth=2)
 
@@ -300,7 +300,7 @@ def trial_importance(spark, sf):
 
 @query("feature_importance")
 def feature_importance(spark, sf):
-    model = learning.fit_global(_cube(spark, sf), _GX, "truth", "RandomForestRegressor", numTrees=10, maxDepth=5)
+    model = learning.fit_global(stored(_cube(spark, sf)), _GX, "truth", "RandomForestRegressor", numTrees=10, maxDepth=5)
     return learning.feature_importance(spark, model, _GX)
 
 
@@ -323,9 +323,10 @@ def _run_sql(predictand: str, table: str, product: str, source: str) -> str:
 def rank_runs(spark, sf):
     products = ["pred", "refe", "model"]
     booked = tables.booked(spark, sf)
-    warm = V.model_vs_reference(tables.pair(spark, sf).join(booked, KEYS), products)
+    cube = stored(tables.pair(spark, sf))
+    warm = V.model_vs_reference(cube.join(booked, KEYS), products)
     rain_booked = booked.withColumn("model", F.greatest(F.col("model") - 25, F.lit(0.0)))
-    wet = V.model_vs_reference(tables.rain(spark, sf).join(rain_booked, KEYS), products)
+    wet = V.model_vs_reference(tables.as_rain(cube).join(rain_booked, KEYS), products)
     runs = warm.withColumn("predictand", F.lit("tasmean")).unionByName(
         wet.withColumn("predictand", F.lit("pr"))
     )

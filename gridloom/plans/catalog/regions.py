@@ -8,6 +8,7 @@ from gridloom.operators import features, regions
 from gridloom.plans.catalog.aggregation import _BOX
 from gridloom.plans.catalog.base import DEM, EMB, PAIR, query, r
 from gridloom.sources import tables
+from gridloom.sources.workspace import stored
 
 _F = tables.FEATURES
 
@@ -47,7 +48,7 @@ def cluster_features_quantiles(spark, sf):
 def kmeans_regions(spark, sf):
     cells = regions.cluster_features(_static(spark, sf), tables.pair(spark, sf), ["truth", "pred"])
     names = ["elevation", "truth_mean", "pred_mean", "truth_std", "pred_std"]
-    return regions.kmeans_regions(cells, names, 6).select("y", "x", "region")
+    return regions.kmeans_regions(stored(cells), names, 6).select("y", "x", "region")
 
 
 @query(

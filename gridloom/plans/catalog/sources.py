@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from gridloom.operators import selection
 from gridloom.plans.catalog.base import DEM, PAIR, SUB, d, query, r
 from gridloom.sources import files, tables
-from gridloom.sources.workspace import fresh_path
+from gridloom.sources.workspace import fresh_path, stored
 
 _DATES = T.StructType(
     [
@@ -148,7 +148,7 @@ def time_slice(spark, sf):
       select *, dense_rank() over (order by time) as step from pair) where step <= 30""",
 )
 def first_n_steps(spark, sf):
-    return selection.first_n_steps(tables.pair(spark, sf).select("time", "y", "x", "pred"), 30)
+    return selection.first_n_steps(stored(tables.pair(spark, sf).select("time", "y", "x", "pred")), 30)
 
 
 @query(

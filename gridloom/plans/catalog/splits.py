@@ -5,12 +5,13 @@ from __future__ import annotations
 from gridloom.operators import splitting
 from gridloom.plans.catalog.base import PAIR, RAIN, d, query, r
 from gridloom.sources import tables
+from gridloom.sources.workspace import stored
 
 KEYS = ["time", "y", "x"]
 
 
 def _cube(spark, sf):
-    return tables.pair(spark, sf).select(*KEYS, "truth", "pred")
+    return stored(tables.pair(spark, sf).select(*KEYS, "truth", "pred"))
 
 
 _HEAD = f"{d('time')} as time, y, x, {r('truth')} as truth, {r('pred')} as pred"
@@ -22,7 +23,8 @@ _DAY = "cast(time as varchar)"
     f"""with {PAIR} select {_HEAD}, case when time <= date '1998-12-31' then 'calibration' else 'validation' end as part from pair""",
 )
 def split_period(spark, sf):
-    return splitting.split_period(_cube(spark, sf), "1998-12-31")
+    cube = tables.pair(spark, sf).select(*KEYS, "truth", "pred")
+    return splitting.split_period(cube, "1998-12-31")
 
 
 @query(
@@ -33,7 +35,7 @@ def split_period(spark, sf):
       select {d('time')} as time, wet, case when pos <= ceil(n * 0.2::double) then 'valid' else 'train' end as part from k""",
 )
 def split_stratified(spark, sf):
-    return splitting.split_stratified(tables.rain(spark, sf), "truth", 4.0)
+    return splitting.split_stratified(stored(tables.rain(spark, sf)), "truth", 4.0)
 
 
 def _axis_sql(order: str) -> str:

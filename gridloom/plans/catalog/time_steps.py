@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import resample
 from gridloom.plans.catalog.base import ENS, LEAD, PAIR, SUB, d, query, r
 from gridloom.sources import files, tables
+from gridloom.sources.workspace import stored
 
 KEYS = ["x", "variable"]
 
@@ -87,7 +88,7 @@ def daily_shift_one(spark, sf):
         {r('case when np = steps then pred end')} as pred from sums join axis using (month)""",
 )
 def monthly_sum(spark, sf):
-    return resample.monthly_sum(tables.pair(spark, sf), ["y", "x"], ["truth", "pred"])
+    return resample.monthly_sum(stored(tables.pair(spark, sf)), ["y", "x"], ["truth", "pred"])
 
 
 @query(

@@ -18,6 +18,7 @@ from gridloom.plans.catalog.base import (
     season,
 )
 from gridloom.sources import tables
+from gridloom.sources.workspace import stored
 
 KEYS = ["time", "y", "x"]
 
@@ -43,7 +44,7 @@ def r2_pooled_monthly(spark, sf):
 
 @query("r2_pooled_anom", f"with {_ANOM} select {r(r2_sql())} as r2 from an")
 def r2_pooled_anom(spark, sf):
-    return V.r2_pooled_anomaly(tables.pair(spark, sf).select(*KEYS, "truth", "pred"))
+    return V.r2_pooled_anomaly(stored(tables.pair(spark, sf).select(*KEYS, "truth", "pred")))
 
 
 @query(
@@ -53,7 +54,7 @@ def r2_pooled_anom(spark, sf):
       select y, x, {r('r2_monthly')} as r2_monthly, {r('r2_anomaly')} as r2_anomaly from a join b using (y, x)""",
 )
 def r2_by_cell(spark, sf):
-    return V.r2_by(tables.pair(spark, sf).select(*KEYS, "truth", "pred"), ["y", "x"])
+    return V.r2_by(stored(tables.pair(spark, sf).select(*KEYS, "truth", "pred")), ["y", "x"])
 
 
 @query(
@@ -67,7 +68,7 @@ def r2_by_cell(spark, sf):
       select member, {r('r2_monthly')} as r2_monthly, {r('r2_anomaly')} as r2_anomaly from a join b using (member)""",
 )
 def r2_by_member(spark, sf):
-    paired = align.pair_on_keys(tables.ens(spark, sf), tables.monthly_truth(spark, sf), KEYS)
+    paired = align.pair_on_keys(stored(tables.ens(spark, sf)), stored(tables.monthly_truth(spark, sf)), KEYS)
     return V.r2_by(paired, ["member"])
 
 
@@ -106,7 +107,7 @@ def pearson_by_year(spark, sf):
       select {r('(select corr(p, t) from ym)')} as r_pooled, {r('(select avg(r) from c)')} as r_mean""",
 )
 def pearson_total(spark, sf):
-    return V.pearson_total(tables.pair(spark, sf))
+    return V.pearson_total(stored(tables.pair(spark, sf)))
 
 
 @query(
@@ -196,12 +197,12 @@ def _wet_sql(strict: bool) -> str:
 
 @query("wet_day_freq", _wet_sql(True))
 def wet_day_freq(spark, sf):
-    return V.wet_day_freq(tables.rain(spark, sf))
+    return V.wet_day_freq(stored(tables.rain(spark, sf)))
 
 
 @query("wet_day_freq_skipna", _wet_sql(False))
 def wet_day_freq_skipna(spark, sf):
-    return V.wet_day_freq(tables.rain(spark, sf), skipna=True)
+    return V.wet_day_freq(stored(tables.rain(spark, sf)), skipna=True)
 
 
 @query(
@@ -210,7 +211,7 @@ def wet_day_freq_skipna(spark, sf):
       select y, x, {r('t')} as truth, {r('p')} as pred, {r(relative('p', 't'))} as bias from f""",
 )
 def wet_day_intensity(spark, sf):
-    return V.wet_day_intensity(tables.rain(spark, sf), skipna=True)
+    return V.wet_day_intensity(stored(tables.rain(spark, sf)), skipna=True)
 
 
 @query(
@@ -221,7 +222,7 @@ def wet_day_intensity(spark, sf):
       select product, {r('avg(p - t)')} as bias, {_SCORES} from long group by product""",
 )
 def model_vs_reference(spark, sf):
-    cube = tables.pair(spark, sf)
+    cube = stored(tables.pair(spark, sf))
     triple = align.three_way(
         cube.select(*KEYS, "truth"), tables.booked(spark, sf), cube.select(*KEYS, "refe"), KEYS
     )

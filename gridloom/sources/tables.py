@@ -57,7 +57,11 @@ def pair(spark: SparkSession, sf: str, start: str | None = None, end: str | None
 
 def rain(spark: SparkSession, sf: str, **period) -> DataFrame:
     """The pair cube turned rain-like: many zeros, no negative value."""
-    cube = pair(spark, sf, **period)
+    return as_rain(pair(spark, sf, **period))
+
+
+def as_rain(cube: DataFrame) -> DataFrame:
+    """Values above 25, as the excess over it; zero below."""
     cut = {
         v: F.when(F.col(v).isNotNull(), F.greatest(F.col(v) - 25, F.lit(0.0)))
         for v in ("truth", "pred", "refe")
