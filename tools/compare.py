@@ -1,6 +1,6 @@
 """Run registered queries and their SQL twins side by side on one scale.
 
-usage: python tools/compare.py [sf] [key ...]   (a key may be a module name with a leading @)
+usage: python tools/compare.py [sf or folder] [key ...]   (@name stands for a catalog module)
 """
 
 from __future__ import annotations
@@ -46,12 +46,17 @@ def rows(records, columns):
 
 def main() -> int:
     args = sys.argv[1:]
-    sf = f"/root/testdata/{args[0]}" if args and args[0].startswith("sf") else "/root/testdata/sf0.01"
-    wanted = [a for a in args if not a.startswith("sf0")]
+    sf = "/root/testdata/sf0.01"
+    if args and args[0].startswith(("sf0", "/")):
+        first = args.pop(0)
+        sf = first if first.startswith("/") else f"/root/testdata/{first}"
+    wanted = args
     base = importlib.import_module("gridloom.plans.catalog.base")
-    load = importlib.import_module("gridloom.plans.catalog").load
-    load([a[1:] for a in wanted if a.startswith("@")] or None)
-    keys = [a for a in wanted if not a.startswith("@")] or list(base.QUERIES)
+    importlib.import_module("gridloom.plans.catalog").load()
+    areas = {a[1:] for a in wanted if a.startswith("@")}
+    keys = [k for k, fn in base.QUERIES.items() if fn.__module__.rsplit(".", 1)[-1] in areas]
+    keys += [a for a in wanted if not a.startswith("@")]
+    keys = keys or list(base.QUERIES)
     spark = session()
     con = duckdb.connect()
     for f in glob.glob(f"{sf}/*.parquet"):
