@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.calendar import season
 from gridloom.operators.ranks import attach, quantile_columns
+from gridloom.sources.workspace import stored
 
 CELL = ["y", "x"]
 
@@ -105,7 +106,7 @@ def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
 
 def box_stats(df: DataFrame, keys: list[str], value: str, reach: float = 1.5) -> DataFrame:
     """Quartiles, whiskers at the last value within `reach` box lengths, outlier count."""
-    quartiles = quantile_columns(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    quartiles = stored(quantile_columns(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}))
     rows = attach(df.filter(F.col(value).isNotNull()).select(*keys, value), quartiles, keys)
     box = F.col("q3") - F.col("q1")
     inside = F.col(value).between(F.col("q1") - reach * box, F.col("q3") + reach * box)

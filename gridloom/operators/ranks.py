@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from gridloom.functions.numeric import col
+from gridloom.sources.workspace import stored
 
 
 def attach(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
@@ -170,6 +171,9 @@ def exact_quantiles(
         )
 
     brackets = sketch.select(*keys, F.array(*[bracket(i, *e) for i, e in enumerate(ends)]).alias("_bs"))
+    if keys:
+        # One row per group: stored, it is broadcast if small and the rows stay in place.
+        brackets = stored(brackets, "brackets")
     place = ["prob", "_n", "_low", "_from", "_to"]
     counted = (
         attach(rows, brackets, keys)

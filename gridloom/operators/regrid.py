@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from gridloom.operators.ranks import value_chunk
+from gridloom.sources.workspace import stored
 
 
 def carry(
@@ -99,7 +100,12 @@ def bilinear_axis(source: DataFrame, target: DataFrame, axis: str, width: float)
 
 
 def _on_axes(cube: DataFrame, wy: DataFrame, wx: DataFrame) -> DataFrame:
-    """Attach both axis tables to the cube; `w` is the product of the weights."""
+    """Attach both axis tables to the cube; `_w` is the product of the weights.
+
+    The tables are as long as an axis and are stored first, so the planner
+    knows their size: it broadcasts them and leaves the cube where it is.
+    """
+    wy, wx = stored(wy, "axis"), stored(wx, "axis")
     ry = wy.select(F.col("s").alias("_sy"), F.col("t").alias("_ty"), F.col("w").alias("_wy"), F.col("n").alias("_ny"))
     rx = wx.select(F.col("s").alias("_sx"), F.col("t").alias("_tx"), F.col("w").alias("_wx"), F.col("n").alias("_nx"))
     return (

@@ -167,10 +167,20 @@ def global_adaboost(spark, sf):
     return out.select(*KEYS, "truth", "predicted")
 
 
-@query("glm_tweedie")
+@query(
+    "glm_tweedie",
+    f"""with {PAIR}, m as (select avg(pred) as mp, avg(refe) as mr, avg(truth) as mt, covar_pop(pred, pred) as pp,
+        covar_pop(pred, refe) as pr, covar_pop(refe, refe) as rr, covar_pop(pred, truth) as pt, covar_pop(refe, truth) as rt
+        from pair where time < {_DAY} and truth is not null),
+      c as (select *, (rr * pt - pr * rt) / (pp * rr - pr * pr) as bp, (pp * rt - pr * pt) / (pp * rr - pr * pr) as br from m)
+      select {d('time')} as time, y, x, {r('truth')} as truth, {r('mt + bp * (pred - mp) + br * (refe - mr)')} as predicted
+      from pair, c where time >= {_DAY}""",
+)
 def glm_tweedie(spark, sf):
-    model = learning.fit_glm(_train(spark, sf), X, "truth", power=0)
-    return learning.predict_global(_test(spark, sf), model, X).select(*KEYS, "truth", "predicted")
+    two = ["pred", "refe"]
+    model = learning.fit_glm(stored(tables.pair(spark, sf, end=_SPLIT)), two, "truth", power=0)
+    later = tables.pair(spark, sf, start=_SPLIT)
+    return learning.predict_global(later, model, two).select(*KEYS, "truth", "predicted")
 
 
 def _rain_cube(spark, sf, **period):
