@@ -1,9 +1,10 @@
 """Remapping a cube onto another rectilinear grid.
 
-Weights are separable, so they are found on each axis alone: both axes'
-coordinates are sorted together once and every coordinate takes the nearest
-source coordinate before and after it. No two-dimensional range join, and no
-task sorts more than one stretch of an axis.
+Weights are separable, so they are found on each axis alone: the coordinates of
+an axis, source and target, are sorted together once and every coordinate takes
+the nearest source coordinate before and after it. Both axes go through the
+same pass. No two-dimensional range join, and no task sorts more than one
+stretch of an axis.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql.window import Window as W
 from gridloom.operators.ranks import value_chunk
 from gridloom.sources.workspace import stored
 
+AXES = ("y", "x")
+
 
 def carry(
     df: DataFrame,
@@ -23,7 +26,7 @@ def carry(
     before: dict[str, tuple[Column, bool]] | None = None,
     after: dict[str, tuple[Column, bool]] | None = None,
 ) -> DataFrame:
-    """Nearest marked value before / after each distinct coordinate.
+    """Nearest marked value before / after each distinct coordinate of each axis.
 
     Each entry maps an output name to (expression, include_own_row); the
     expression must grow with the coordinate and be NULL on unmarked rows.
@@ -33,18 +36,19 @@ def carry(
     rows = df.withColumn("_chunk", value_chunk(coord, width)).withColumns(
         {f"_m_{n}": e for n, e in marks.items()}
     )
-    totals = rows.groupBy("_chunk").agg(
+    totals = rows.groupBy("axis", "_chunk").agg(
         *[F.max(f"_m_{n}").alias(f"_t_{n}") for n in before],
         *[F.min(f"_m_{n}").alias(f"_t_{n}") for n in after],
     )
-    past = W.partitionBy().orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    future = W.partitionBy().orderBy("_chunk").rowsBetween(1, W.unboundedFollowing)
+    past = W.partitionBy("axis").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    future = W.partitionBy("axis").orderBy("_chunk").rowsBetween(1, W.unboundedFollowing)
     offsets = totals.select(
+        "axis",
         "_chunk",
         *[F.max(f"_t_{n}").over(past).alias(f"_o_{n}") for n in before],
         *[F.min(f"_t_{n}").over(future).alias(f"_o_{n}") for n in after],
     )
-    w = W.partitionBy("_chunk").orderBy(coord)
+    w = W.partitionBy("axis", "_chunk").orderBy(coord)
     near = {}
     for n, (_, own) in before.items():
         near[n] = F.max(f"_m_{n}").over(w.rowsBetween(W.unboundedPreceding, 0 if own else -1))
@@ -52,69 +56,69 @@ def carry(
         near[n] = F.min(f"_m_{n}").over(w.rowsBetween(0 if own else 1, W.unboundedFollowing))
     return (
         rows.select("*", *[e.alias(f"_n_{n}") for n, e in near.items()])
-        .join(offsets, ["_chunk"])
+        .join(offsets, ["axis", "_chunk"])
         .select(*df.columns, *[F.coalesce(f"_n_{n}", f"_o_{n}").alias(n) for n in near])
     )
 
 
-def bilinear_axis(source: DataFrame, target: DataFrame, axis: str, width: float) -> DataFrame:
-    """Source nodes and weights of every target node of one axis.
+def cube_axes(cube: DataFrame) -> DataFrame:
+    """Distinct coordinates of both axes: (axis, c)."""
+    both = F.array(
+        *[F.struct(F.lit(a).alias("axis"), F.col(a).cast("double").alias("c")) for a in AXES]
+    )
+    return cube.select(F.explode(both).alias("_e")).select("_e.*").distinct()
+
+
+def _tagged(target_y: DataFrame, target_x: DataFrame) -> DataFrame:
+    """Two target axes in one frame, under an axis column."""
+    return target_y.withColumn("axis", F.lit("y")).unionByName(target_x.withColumn("axis", F.lit("x")))
+
+
+def bilinear_axes(source: DataFrame, target: DataFrame, width: float) -> DataFrame:
+    """Source nodes and weights of every target node; both frames hold (axis, c).
 
-    Returns (t, s, w, n); a target between two nodes has two rows, one on a
-    node has one. A target outside the source axis keeps the edge node with a
+    Returns (axis, t, s, w, n); a target between two nodes has two rows, one on
+    a node has one. A target outside the source axis keeps the edge node with a
     NULL weight, so its result is missing rather than dropped.
     """
     nodes = (
-        source.select(F.col(axis).cast("double").alias("c"), F.lit(1).alias("src"), F.lit(0).alias("dst"))
-        .unionByName(
-            target.select(F.col(axis).cast("double").alias("c"), F.lit(0).alias("src"), F.lit(1).alias("dst"))
-        )
-        .groupBy("c")
+        source.select("axis", "c", F.lit(1).alias("src"), F.lit(0).alias("dst"))
+        .unionByName(target.select("axis", "c", F.lit(0).alias("src"), F.lit(1).alias("dst")))
+        .groupBy("axis", "c")
         .agg(F.max("src").alias("src"), F.max("dst").alias("dst"))
     )
     mark = F.when(F.col("src") == 1, F.col("c"))
     found = carry(nodes, "c", width, {"lo": (mark, True)}, {"hi": (mark, True)}).filter("dst = 1")
     span = F.col("hi") - F.col("lo")
 
-    def entry(s, w, n):
-        return F.struct(
-            F.col(s).cast("double").alias("s") if isinstance(s, str) else s.alias("s"),
-            w.cast("double").alias("w"),
-            F.lit(n).alias("n"),
-        )
+    def entry(s: Column, w: Column, n: int) -> Column:
+        return F.struct(s.cast("double").alias("s"), w.cast("double").alias("w"), F.lit(n).alias("n"))
 
+    lo, hi, c = F.col("lo"), F.col("hi"), F.col("c")
     pairs = (
-        F.when(F.col("lo") == F.col("hi"), F.array(entry("lo", F.lit(1.0), 1)))
-        .when(
-            span.isNotNull(),
-            F.array(
-                entry("lo", (F.col("hi") - F.col("c")) / span, 2),
-                entry("hi", (F.col("c") - F.col("lo")) / span, 2),
-            ),
-        )
-        .otherwise(F.array(entry(F.coalesce("lo", "hi"), F.lit(None), 1)))
+        F.when(lo == hi, F.array(entry(lo, F.lit(1.0), 1)))
+        .when(span.isNotNull(), F.array(entry(lo, (hi - c) / span, 2), entry(hi, (c - lo) / span, 2)))
+        .otherwise(F.array(entry(F.coalesce(lo, hi), F.lit(None), 1)))
     )
-    return found.select(F.col("c").alias("t"), F.explode(pairs).alias("e")).select(
-        "t", "e.s", "e.w", "e.n"
+    return found.select("axis", F.col("c").alias("t"), F.explode(pairs).alias("e")).select(
+        "axis", "t", "e.s", "e.w", "e.n"
     )
 
 
-def _on_axes(cube: DataFrame, wy: DataFrame, wx: DataFrame) -> DataFrame:
-    """Attach both axis tables to the cube; `_w` is the product of the weights.
+def _on_axes(cube: DataFrame, weights: DataFrame) -> DataFrame:
+    """Attach the weights (axis, t, s, w, n) to the cube; `_w` is their product.
 
-    The tables are as long as an axis and are stored first, so the planner
-    knows their size: it broadcasts them and leaves the cube where it is.
+    The table is as long as the axes and is stored first, so the planner knows
+    its size: it broadcasts it and leaves the cube where it is.
     """
-    wy, wx = stored(wy, "axis"), stored(wx, "axis")
-    ry = wy.select(F.col("s").alias("_sy"), F.col("t").alias("_ty"), F.col("w").alias("_wy"), F.col("n").alias("_ny"))
-    rx = wx.select(F.col("s").alias("_sx"), F.col("t").alias("_tx"), F.col("w").alias("_wx"), F.col("n").alias("_nx"))
-    return (
-        cube.withColumn("_sy", F.col("y").cast("double"))
-        .withColumn("_sx", F.col("x").cast("double"))
-        .join(ry, ["_sy"])
-        .join(rx, ["_sx"])
-        .withColumn("_w", F.col("_wy") * F.col("_wx"))
-    )
+    table = stored(weights, "axes")
+    out = cube
+    for axis in AXES:
+        part = table.filter(F.col("axis") == axis).select(
+            *[F.col(c).alias(f"_{c}{axis}") for c in ("s", "t", "w", "n")]
+        )
+        out = out.withColumn(f"_s{axis}", F.col(axis).cast("double")).join(part, [f"_s{axis}"])
+    return out.withColumn("_w", F.col("_wy") * F.col("_wx"))
 
 
 def regrid_bilinear(
@@ -125,14 +129,16 @@ def regrid_bilinear(
     values: list[str],
     width: float = 1000.0,
 ) -> DataFrame:
-    """Bilinear remap onto the grid spanned by two target axes.
+    """Bilinear remap onto the grid spanned by two target axes (columns y and x).
 
     A target value is missing when any of its source corners is missing.
     `width` is the stretch of an axis, in coordinate units, sorted by one task.
     """
-    wy = bilinear_axis(cube.select("y").distinct(), target_y.select("y").distinct(), "y", width)
-    wx = bilinear_axis(cube.select("x").distinct(), target_x.select("x").distinct(), "x", width)
-    spread = _on_axes(cube, wy, wx)
+    target = _tagged(
+        target_y.select(F.col("y").cast("double").alias("c")),
+        target_x.select(F.col("x").cast("double").alias("c")),
+    )
+    spread = _on_axes(cube, bilinear_axes(cube_axes(cube), target, width))
     full = F.max(F.col("_ny") * F.col("_nx"))
     return spread.groupBy(*keys, F.col("_ty").alias("y"), F.col("_tx").alias("x")).agg(
         *[
@@ -142,36 +148,35 @@ def regrid_bilinear(
     )
 
 
-def axis_cells(nodes: DataFrame, axis: str, width: float) -> DataFrame:
-    """Cell bounds halfway between neighbouring nodes: (node, lo, hi)."""
-    c = nodes.select(F.col(axis).cast("double").alias("node")).distinct()
-    own = F.col("node")
-    near = carry(c, "node", width, {"p": (own, False)}, {"q": (own, False)})
-    step_down = F.coalesce(F.col("node") - F.col("p"), F.col("q") - F.col("node")) / 2
-    step_up = F.coalesce(F.col("q") - F.col("node"), F.col("node") - F.col("p")) / 2
-    return near.select(
-        "node", (F.col("node") - step_down).alias("lo"), (F.col("node") + step_up).alias("hi")
-    )
+def axis_cells(nodes: DataFrame, width: float) -> DataFrame:
+    """Cell bounds halfway between neighbouring nodes (axis, c): (axis, node, lo, hi)."""
+    own = F.col("c")
+    near = carry(nodes, "c", width, {"p": (own, False)}, {"q": (own, False)})
+    down = F.coalesce(own - F.col("p"), F.col("q") - own) / 2
+    up = F.coalesce(F.col("q") - own, own - F.col("p")) / 2
+    return near.select("axis", own.alias("node"), (own - down).alias("lo"), (own + up).alias("hi"))
 
 
-def overlap_axis(source: DataFrame, target: DataFrame, width: float, sphere: bool) -> DataFrame:
-    """Overlap of source and target cells (node, lo, hi) on one axis.
+def overlap_axes(source: DataFrame, target: DataFrame, width: float, sphere: bool) -> DataFrame:
+    """Overlap of source and target cells (axis, node, lo, hi) on each axis.
 
     All edges are sorted together; between two consecutive edges lies one
     piece, which belongs to the last source cell and the last target cell that
-    began. Returns (s, t, w), w being the length or, on the `sphere`, the
-    difference of the sine of latitude.
+    began. Returns (axis, t, s, w), w being the length or, for y on the
+    `sphere`, the difference of the sine of latitude.
     """
     cell = F.struct(F.col("lo"), F.col("hi"), F.col("node"))
     none = F.lit(None).cast("struct<lo:double,hi:double,node:double>")
-    edges = source.select(F.col("lo").alias("c"), cell.alias("src"), none.alias("dst"))
+    source = source.select("axis", *[F.col(c).cast("double").alias(c) for c in ("node", "lo", "hi")])
+    target = target.select("axis", *[F.col(c).cast("double").alias(c) for c in ("node", "lo", "hi")])
+    edges = source.select("axis", F.col("lo").alias("c"), cell.alias("src"), none.alias("dst"))
     for part in (
-        source.select(F.col("hi").alias("c"), none.alias("src"), none.alias("dst")),
-        target.select(F.col("lo").alias("c"), none.alias("src"), cell.alias("dst")),
-        target.select(F.col("hi").alias("c"), none.alias("src"), none.alias("dst")),
+        source.select("axis", F.col("hi").alias("c"), none.alias("src"), none.alias("dst")),
+        target.select("axis", F.col("lo").alias("c"), none.alias("src"), cell.alias("dst")),
+        target.select("axis", F.col("hi").alias("c"), none.alias("src"), none.alias("dst")),
     ):
         edges = edges.unionByName(part)
-    edges = edges.groupBy("c").agg(F.max("src").alias("src"), F.max("dst").alias("dst"))
+    edges = edges.groupBy("axis", "c").agg(F.max("src").alias("src"), F.max("dst").alias("dst"))
     pieces = carry(
         edges,
         "c",
@@ -179,16 +184,24 @@ def overlap_axis(source: DataFrame, target: DataFrame, width: float, sphere: boo
         {"s": (F.col("src"), True), "t": (F.col("dst"), True)},
         {"next": (F.col("c"), False)},
     ).filter((F.col("s.hi") > F.col("c")) & (F.col("t.hi") > F.col("c")) & F.col("next").isNotNull())
-    size = (
-        F.sin(F.radians("next")) - F.sin(F.radians("c")) if sphere else F.col("next") - F.col("c")
-    )
+    length = F.col("next") - F.col("c")
+    if sphere:
+        band = F.sin(F.radians("next")) - F.sin(F.radians("c"))
+        length = F.when(F.col("axis") == "y", band).otherwise(length)
     return (
-        pieces.select(F.col("s.node").alias("s"), F.col("t.node").alias("t"), size.alias("w"))
-        .groupBy("s", "t")
+        pieces.select("axis", F.col("t.node").alias("t"), F.col("s.node").alias("s"), length.alias("w"))
+        .groupBy("axis", "t", "s")
         .agg(F.sum("w").alias("w"))
     )
 
 
+def _weighted(value: str, weight: str) -> Column:
+    """Aggregate: weighted mean over the rows that have a value."""
+    return F.try_divide(
+        F.sum(F.col(weight) * F.col(value)), F.sum(F.when(F.col(value).isNotNull(), F.col(weight)))
+    ).alias(value)
+
+
 def regrid_conservative(
     cube: DataFrame,
     target_y: DataFrame,
@@ -202,18 +215,13 @@ def regrid_conservative(
 
     Missing source values carry no weight.
     """
-    source_y = axis_cells(cube.select("y"), "y", width)
-    source_x = axis_cells(cube.select("x"), "x", width)
-    wy = overlap_axis(source_y, target_y, width, sphere).withColumn("n", F.lit(1))
-    wx = overlap_axis(source_x, target_x, width, False).withColumn("n", F.lit(1))
-    spread = _on_axes(cube, wy, wx)
+    source = axis_cells(cube_axes(cube), width)
+    names = ["node", "lo", "hi"]
+    target = _tagged(target_y.select(*names), target_x.select(*names))
+    weights = overlap_axes(source, target, width, sphere).withColumn("n", F.lit(1))
+    spread = _on_axes(cube, weights)
     return spread.groupBy(*keys, F.col("_ty").alias("y"), F.col("_tx").alias("x")).agg(
-        *[
-            F.try_divide(
-                F.sum(F.col("_w") * F.col(v)), F.sum(F.when(F.col(v).isNotNull(), F.col("_w")))
-            ).alias(v)
-            for v in values
-        ]
+        *[_weighted(v, "_w") for v in values]
     )
 
 
@@ -221,14 +229,7 @@ def regrid_weights(
     cube: DataFrame, weights: DataFrame, keys: list[str], values: list[str]
 ) -> DataFrame:
     """Remap with a given table (src_y, src_x, dst_y, dst_x, w), e.g. for curvilinear grids."""
-    placed = cube.join(
-        weights.withColumnsRenamed({"src_y": "y", "src_x": "x"}), ["y", "x"]
-    )
+    placed = cube.join(weights.withColumnsRenamed({"src_y": "y", "src_x": "x"}), ["y", "x"])
     return placed.groupBy(*keys, F.col("dst_y").alias("y"), F.col("dst_x").alias("x")).agg(
-        *[
-            F.try_divide(
-                F.sum(F.col("w") * F.col(v)), F.sum(F.when(F.col(v).isNotNull(), F.col("w")))
-            ).alias(v)
-            for v in values
-        ]
+        *[_weighted(v, "w") for v in values]
     )

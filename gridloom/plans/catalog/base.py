@@ -109,7 +109,7 @@ obs as (
 SUB = """sub as (
   select ts, cast(user_id % 10 as int) as x, event_type as variable,
     case event_type when 'click' then 250 when 'view' then 500 when 'purchase' then 850
-      when 'signup' then 925 else 1000 end as level, value
+      when 'signup' then 925 else 1000 end as level, value / (99.991::double / 100) as value
   from events)"""
 
 DEM = """dem as (

@@ -116,7 +116,7 @@ def sub(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("user_id") % 10).cast("int").alias("x"),
         F.col("event_type").alias("variable"),
         level.alias("level"),
-        "value",
+        (F.col("value") / F.lit(SCALE / 100)).alias("value"),
     )
 
 

@@ -140,6 +140,18 @@ def test_one_tree_finds_the_step(spark):
     assert tree.split[1].feature == 0 and abs(abs(tree.leaf[3]) - 4) < 0.5
 
 
+def test_tune_scores_every_trial(spark):
+    df = cells(spark, 80)
+    trials = learning.tune(
+        df.filter("step < 60").withColumnRenamed("step", "time"),
+        df.filter("step >= 60").withColumnRenamed("step", "time"),
+        ["y", "x"], ["a", "b"], "truth", trials=3, rounds=1, max_depth=1,
+    ).collect()
+    assert sorted(t.number for t in trials) == [1, 2, 3]
+    assert all(t.cells == 4 and t.value > 0 for t in trials)
+    assert all(1 <= t.params_min_rows < 300 and t.params_depth == 1 for t in trials)
+
+
 def test_unknown_learner(spark):
     with pytest.raises(ValueError):
         learning.fit_cells(cells(spark), ["y", "x"], ["a"], "truth", "Nope")
