@@ -178,7 +178,7 @@ def melt_features(spark, sf):
     f"""with {PAIR}, s as (select *, cast(year(time) as int) as year,
         row_number() over (partition by y, x, year(time) order by time) as i from pair)
       select y, x, year, cast(count(*) as int) as steps, {d('min(time)')} as first_day, {d('max(time)')} as last_day,
-        {r('sum(i * pred)')} as pred_moment, {r('sum(i * coalesce(truth, 0))')} as truth_moment
+        {r('round(sum(i * pred), 3)')} as pred_moment, {r('round(sum(i * coalesce(truth, 0)), 3)')} as truth_moment
       from s group by y, x, year""",
 )
 def cell_series(spark, sf):
@@ -190,7 +190,7 @@ def cell_series(spark, sf):
             F.sequence(F.lit(1), F.size("series")),
             lambda e, i: i * F.coalesce(e[field], F.lit(0.0)),
         )
-        return F.aggregate(numbered, F.lit(0.0), lambda a, b: a + b)
+        return F.round(F.aggregate(numbered, F.lit(0.0), lambda a, b: a + b), 3)
 
     return series.select(
         "y",

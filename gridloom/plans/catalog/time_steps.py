@@ -28,9 +28,10 @@ def daily_mean(spark, sf):
     return resample.daily_mean(tables.sub(spark, sf), KEYS)
 
 
-@query("daily_sum_mm", _daily_sql("coalesce(sum(value), 0) * 1000"))
+@query("daily_sum_mm", _daily_sql("round(coalesce(sum(value), 0) * 1000, 3)"))
 def daily_sum_mm(spark, sf):
-    return resample.daily_sum(tables.sub(spark, sf), KEYS, factor=1000.0)
+    total = resample.daily_sum(tables.sub(spark, sf), KEYS, factor=1000.0)
+    return total.withColumn("value", F.round("value", 3))
 
 
 @query("daily_max", _daily_sql("max(value)"))
