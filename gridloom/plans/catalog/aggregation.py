@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.operators import aggregate, terrain, verification
-from gridloom.plans.catalog.base import EMB, PAIR, RAIN, d, query, r, season
+from gridloom.plans.catalog.base import EMB, PAIR, RAIN, query, r, season
 from gridloom.sources import tables
 from gridloom.sources.workspace import stored
 

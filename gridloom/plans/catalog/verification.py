@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from gridloom.operators import align, verification as V
 from gridloom.plans.catalog.base import (
     BOOKED,

@@ -32,15 +32,6 @@ SURFACE_VARIABLES = {
 PREDICTANDS = ("tasmin", "tasmax", "pr", "tasmean")
 LEARNERS = ("RandomForestRegressor", "XGBRegressor", "AdaBoostRegressor", "LGBMRegressor")
 
-TRIALS = T.StructType(
-    [
-        T.StructField("number", T.IntegerType(), False),
-        T.StructField("value", T.DoubleType()),
-        T.StructField("duration", T.DoubleType()),
-        T.StructField("state", T.StringType()),
-    ]
-)
-
 
 def cube_schema(variables: list[str], member: bool = False) -> T.StructType:
     """Schema of a daily cube holding the given value columns."""
