@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES, SLICE_ROWS = 2 << 20, 2000
 
 
 def packed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -31,11 +31,11 @@ def raw(texts: pa.Array) -> list[bytes]:
 
 
 def slices(batch: pa.RecordBatch, texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Runs of rows with about SLICE_BYTES of text each (one row at least): (first, number)."""
+    """Runs of rows with about SLICE_BYTES of text each (one row at least, SLICE_ROWS at most): (first, number)."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     first, done = 0, 0
     while first < len(sizes):
-        last = max(first + 1, int(np.searchsorted(sizes, done + SLICE_BYTES, side="right")))
+        last = max(first + 1, min(first + SLICE_ROWS, int(np.searchsorted(sizes, done + SLICE_BYTES, side="right"))))
         yield first, last - first
         first, done = last, int(sizes[last - 1])
 

@@ -49,3 +49,111 @@ def op8_line_dedup(spark, sf_dir):
 
     done = linededup.dedup(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return done.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("new_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op3_fixity(spark, sf_dir):
+    """Audits a replica of all pages in which some records are altered and some are lost."""
+    from gridloom.llm import fixity
+    from gridloom.sources.workspace import stored
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    first = stored(fixity.manifest(fixity.records(pages)), "replica")
+    flipped = F.when(F.col("page_id") % 89 == 7, F.concat(F.lit("?"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html"))
+    damaged = pages.where("page_id is null or page_id % 131 <> 5").withColumn("html", flipped)
+    places = first.select("archive", F.col("page_id").alias("id"), "nth", "offset")
+    found = fixity.records(damaged)
+    same = fixity.Window.partitionBy("archive", "page_id").orderBy("digest")
+    second = stored(
+        found.withColumn("nth", F.row_number().over(same))
+        .alias("f")
+        .join(
+            places.alias("p"),
+            (F.col("f.archive") == F.col("p.archive")) & F.col("f.page_id").eqNullSafe(F.col("p.id")) & (F.col("f.nth") == F.col("p.nth")),
+        )
+        .select("f.*", "p.offset"),
+        "replica",
+    )
+    return fixity.audit(first, second).select("archive", "page_id", "offset", "length", "kind")
+
+
+SQL["op3_fixity"] = """
+with r as (
+  select page_id // 1000 as archive, page_id,
+    octet_length(encode('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:'
+      || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html'
+      || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(coalesce(html, ''))) || chr(13) || chr(10) || chr(13) || chr(10)))
+      + octet_length(encode(coalesce(html, ''))) + 4 as length
+  from pages),
+m as (
+  select *, coalesce(sum(length) over (partition by archive order by page_id rows between unbounded preceding and 1 preceding), 0)
+    as "offset" from r)
+select archive, page_id, cast("offset" as bigint) as "offset", length, case when page_id % 131 = 5 then 'missing' else 'altered' end as kind
+from m where page_id % 131 = 5 or page_id % 89 = 7"""
+
+
+@query
+def op5_chat(spark, sf_dir):
+    from gridloom.llm import chat
+
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.formatted(turns))
+
+
+_ESCAPED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(coalesce({0}, ''), '␛', '␛e'),
+  '<(\|)', '<␛c\1', 'g'), '<(/?s>)', '<␛c\1', 'g'), '\[(/?INST\])', '[␛c\1', 'g'), '\|(>)', '|␛c\1', 'g')"""
+SQL["op5_chat"] = f"""
+with t as (
+  select conv_id, turn, role, text from conversations
+  union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text, {_ESCAPED.format('role')} as er, {_ESCAPED.format('text')} as et
+  from t),
+s as (
+  select *, coalesce(lag(role) over (partition by conv_id order by turn nulls first, er, et) = role, false) as same from e)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, er, et)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, er, et) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(length(et) + case when same then 8 else length(er) + 10 + 7 end) as bigint) as formatted_chars
+from s group by conv_id"""
+
+
+@query
+def op6_near_duplicates(spark, sf_dir):
+    from gridloom.llm import neardup
+
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op1_extract_html(spark, sf_dir):
+    from gridloom.llm import html
+
+    return html.extract(table(spark, sf_dir, "pages"), ["page_id", "url"]).select("row.page_id", "row.url", "text", "n_chars")
+
+
+@query
+def op9_language(spark, sf_dir):
+    from gridloom.llm import langid
+
+    found = langid.identify(table(spark, sf_dir, "documents"), ["doc_id"])
+    held = F.coalesce(F.crc32(F.col("row.doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return found.select("row.doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_substring_dedup(spark, sf_dir):
+    from gridloom.llm import suffixdedup
+
+    done = suffixdedup.dedup(table(spark, sf_dir, "documents"), ["doc_id"])
+    return done.select(
+        "row.doc_id",
+        "n_bytes",
+        F.aggregate("removed", F.lit(0).cast("long"), lambda s, r: s + r[1] - r[0]).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
