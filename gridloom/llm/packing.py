@@ -33,20 +33,30 @@ from gridloom.llm.batches import rows_from_texts
 from gridloom.sources.workspace import stored
 
 WINDOW, UNIT, DEPTH, END_ID = 2048, 32, 4, 1
-MEMO_WORDS = 200_000
+MEMO_PARTS, MEMO_WORDS = 200_000, 400_000
 
 # ---------------------------------------------------------------------------- tokens
 
 _LOADED: dict = {}
 #: Control characters that Python's split() takes for white space and the tokenizer doesn't.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Letters of Latin-1 and then ASCII marks (no apostrophe): two words to the tokenizer, whatever stands beside them.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where printable, else from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes.
 
     The tokenizer splits at white space before anything else, so the ids of a text are those of its
-    white-space-free parts, one after another; parts seen before are looked up.
+    white-space-free parts, one after another. Parts and plain words seen before are looked up; a new
+    plain word goes to the tokenizer's model, any other new part through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -54,23 +64,54 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.specials = re.compile("|".join(map(re.escape, (t.content for t in self.tokenizer.get_added_tokens_decoder().values()))) or r"(?!)")
-        self.memo: dict[str, bytes] = {}
+        self.letters = byte_letters()
+        self.parts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        self.coded = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def spelt(self, word: str) -> bytes:
+        """Ids of a plain word in lower case, or of a run of marks, from the tokenizer's model."""
+        word = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.coded[t.id] for t in self.model.tokenize(word)])
+
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        out, rest, words, marks = {}, [], self.words, self.marks
+        for part in new:
+            found = PLAIN.fullmatch(part)
+            if not found:
+                rest.append(part)
+                continue
+            word, end = found.groups()
+            word = word.lower()
+            ids = words.get(word)
+            if ids is None:
+                ids = words[word] = self.spelt(word)
+            if end:
+                tail = marks.get(end)
+                if tail is None:
+                    tail = marks[end] = self.spelt(end)
+                ids += tail
+            out[part] = ids
+        return out | dict(zip(rest, self.whole(rest), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         odd = [bool(ODD_SPACE.search(t) or self.specials.search(t)) for t in texts]
         parts = [[] if o else t.split() for t, o in zip(texts, odd, strict=True)]
-        memo = self.memo
-        new = list({p for ps in parts for p in ps if p not in memo})
-        fresh = dict(zip(new, self.whole(new), strict=True)) if new else {}
-        if len(memo) + len(fresh) > MEMO_WORDS:  # keep memory bounded: only this batch's parts stay
-            memo = {p: memo[p] if p in memo else fresh[p] for ps in parts for p in ps}
-            self.memo = memo
-        else:
-            memo.update(fresh)
+        now = set().union(*parts)
+        if len(self.words) > MEMO_WORDS:
+            self.words = {}
+        if len(self.marks) > MEMO_PARTS:
+            self.marks = {}
+        if len(self.parts) > MEMO_PARTS:  # keep memory bounded: only this batch's parts stay
+            self.parts = {p: self.parts[p] for p in now if p in self.parts}
+        self.parts.update(self.learn([p for p in now if p not in self.parts]))
+        memo = self.parts
         rest = iter(self.whole([t for t, o in zip(texts, odd, strict=True) if o]))
         return [next(rest) if o else b"".join(map(memo.__getitem__, ps)) for ps, o in zip(parts, odd, strict=True)]
 
