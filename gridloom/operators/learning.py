@@ -16,9 +16,18 @@ from pyspark.sql.window import Window as W
 
 from gridloom.functions.numeric import rmse
 from gridloom.operators import trees
-from gridloom.operators.splitting import uniform
+from gridloom.operators.splitting import _axis_positions, uniform
 from gridloom.schema import LEARNERS, check_vocabulary
-from gridloom.sources.workspace import cut
+from gridloom.sources.workspace import cut, stored
+
+
+#: What a learner name stands for: the routine and the settings its package starts from.
+SETTINGS = {
+    "RandomForestRegressor": (trees.forest, {"trees": 100, "limits": trees.Growth()}),
+    "AdaBoostRegressor": (trees.adaboost, {"rounds": 50, "limits": trees.Growth(depth=3)}),
+    "XGBRegressor": (trees.boosted, {"rounds": 100, "rate": 0.3, "limits": trees.Growth(depth=6, l2=1.0)}),
+    "LGBMRegressor": (trees.boosted, {"rounds": 100, "rate": 0.1, "limits": trees.Growth(leaves=31, min_rows=20.0)}),
+}
 
 
 def fit_cells(
@@ -26,11 +35,20 @@ def fit_cells(
 ) -> DataFrame:
     """One model per cell for a learner known by name; the result is a model table."""
     check_vocabulary([learner], LEARNERS, "learner")
-    if learner == "RandomForestRegressor":
-        return trees.fit_forest(df, keys, features, target, order, **settings)
-    if learner == "AdaBoostRegressor":
-        return trees.fit_adaboost(df, keys, features, target, order, **settings)
-    return trees.fit_boosted(df, keys, features, target, order, **settings)
+    routine, usual = SETTINGS[learner]
+    return stored(trees.fit(df, keys, features, target, order, routine, **(usual | settings)), "models")
+
+
+def cross_validate_cells(
+    df: DataFrame, keys: list[str], features: list[str], target: str, learner: str, folds: int = 10, **settings
+) -> DataFrame:
+    """Mean RMSE per cell over expanding-window folds of the cube's time axis."""
+    check_vocabulary([learner], LEARNERS, "learner")
+    routine, usual = SETTINGS[learner]
+    axis = stored(_axis_positions(df), "axis")
+    return trees.cross_validated(
+        trees.with_axis_position(df, axis), keys, features, target, folds, routine, **(usual | settings)
+    )
 
 
 def save_models(models: DataFrame, path: str, run_key: str) -> None:
@@ -64,7 +82,13 @@ def fit_global(df: DataFrame, features: list[str], target: str, learner: str, **
 
 
 def predict_global(df: DataFrame, model: Transformer, features: list[str]) -> DataFrame:
-    return model.transform(assemble(df, features)).drop("features")
+    """Adds `predicted`; rows with a missing predictor stay, with NULL."""
+    whole = F.lit(True)
+    for f in features:
+        whole = whole & F.col(f).isNotNull()
+    known = model.transform(assemble(df.filter(whole), features)).drop("features")
+    unknown = df.filter(~whole).withColumn("predicted", F.lit(None).cast("double"))
+    return known.select(*df.columns, "predicted").unionByName(unknown)
 
 
 def feature_importance(spark: SparkSession, model, features: list[str]) -> DataFrame:
@@ -93,7 +117,7 @@ def fit_glm(df: DataFrame, features: list[str], target: str, power: float):
 
 
 def global_adaboost(
-    train: DataFrame, test: DataFrame, features: list[str], target: str, rounds: int = 4, depth: int = 4
+    train: DataFrame, test: DataFrame, features: list[str], target: str, rounds: int = 50, depth: int = 3
 ) -> DataFrame:
     """AdaBoost.R2 over weighted decision trees, one model for the whole grid.
 
@@ -101,7 +125,10 @@ def global_adaboost(
     are rounds; the training weights are checkpointed each round.
     """
     rows = cut(assemble(train.dropna(subset=[target]), features).withColumn("_w", F.lit(1.0)))
-    out = assemble(test, features)
+    whole = F.lit(True)
+    for f in features:
+        whole = whole & F.col(f).isNotNull()
+    out = assemble(test.filter(whole), features)
     cast: list[Column] = []
     for i in range(rounds):
         tree = DecisionTreeRegressor(
@@ -147,7 +174,8 @@ def global_adaboost(
         ),
         lambda a: a["value"],
     )
-    return out.withColumn("predicted", median).select(*test.columns, "predicted")
+    unknown = test.filter(~whole).withColumn("predicted", F.lit(None).cast("double"))
+    return out.withColumn("predicted", median).select(*test.columns, "predicted").unionByName(unknown)
 
 
 def explode_folds(df: DataFrame, folds: DataFrame) -> DataFrame:
@@ -161,80 +189,65 @@ def fold_rmse(predicted: DataFrame, keys: list[str], truth: str = "truth", pred:
     return per_fold.groupBy(*keys).agg(F.avg("rmse").alias("rmse"), F.count("rmse").alias("folds"))
 
 
-# Search space of the tuner.
+# Search space of the tuner (lists are chosen from, pairs are limits).
 RATES = [0.006, 0.008, 0.01, 0.014, 0.017, 0.02]
 SUBSAMPLES = [0.4, 0.5, 0.6, 0.7, 0.8, 1.0]
+COLUMNS = [0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
 DEPTHS = [10, 20, 100]
+PENALTIES = (1e-3, 10.0)
+LEAVES = (1, 1000)
+LEAF_ROWS = (1, 300)
+TRIALS, ROUNDS, PATIENCE = 50, 20_000, 100
 
 
-def trial_settings(number: Column, seed: int = 42, max_depth: int = 3, rate_factor: float = 20.0) -> dict[str, Column]:
-    """Random settings of a trial, reproducible from its number.
-
-    Few boosting rounds are run, so the listed rates are scaled up by
-    `rate_factor`; listed depths beyond `max_depth` act as `max_depth`.
-    """
+def trial_settings(number: Column, seed: int = 42) -> dict[str, Column]:
+    """Random settings of a trial, reproducible from its number."""
 
     def choice(name: str, values: list) -> Column:
         at = F.floor(uniform(f"{seed}{name}", number) * len(values)).cast("int")
         return F.get(F.array(*[F.lit(v) for v in values]), at)
 
     def logarithmic(name: str, low: float, high: float) -> Column:
-        u = uniform(f"{seed}{name}", number)
-        return F.lit(low) * F.pow(F.lit(high / low), u)
+        return F.lit(low) * F.pow(F.lit(high / low), uniform(f"{seed}{name}", number))
+
+    def whole(name: str, low: int, high: int) -> Column:
+        return F.floor(low + (high - low + 1) * uniform(f"{seed}{name}", number)).cast("int")
 
-    depths = sorted({min(d, max_depth) for d in DEPTHS} | set(range(1, max_depth + 1)))
     return {
-        "rate": choice("rate", [min(1.0, r * rate_factor) for r in RATES]),
+        "rate": choice("rate", RATES),
         "subsample": choice("subsample", SUBSAMPLES),
-        "depth": choice("depth", depths),
-        "penalty": logarithmic("penalty", 1e-3, 10.0),
-        "min_rows": F.floor(1 + 299 * uniform(f"{seed}min_rows", number)).cast("double"),
+        "colsample": choice("colsample", COLUMNS),
+        "depth": choice("depth", DEPTHS),
+        "num_leaves": whole("num_leaves", *LEAVES),
+        "min_rows": whole("min_rows", *LEAF_ROWS).cast("double"),
+        "l1": logarithmic("l1", *PENALTIES),
+        "l2": logarithmic("l2", *PENALTIES),
     }
 
 
 def tune(
-    train: DataFrame,
-    test: DataFrame,
+    df: DataFrame,
     cell: list[str],
     features: list[str],
     target: str,
-    trials: int = 50,
-    rounds: int = 5,
-    max_depth: int = 3,
+    trials: int = TRIALS,
+    rounds: int = ROUNDS,
+    patience: int = PATIENCE,
     seed: int = 42,
 ) -> DataFrame:
-    """Random search: mean RMSE over the given cells for every trial.
+    """Random search: mean RMSE over the cells for every trial of leaf-wise boosting.
 
-    All trials and cells are grown together; the trial is one more model key.
-    Cells without a usable test value do not enter the mean.
+    `df` has a column `part` (train or valid). Boosting stops `patience` rounds after its best score on
+    the validation part. Cells without usable rows in both parts do not enter the mean.
     """
-    settings = trial_settings(F.col("number"), seed, max_depth)
-    log = train.sparkSession.range(1, trials + 1).select(F.col("id").cast("int").alias("number"))
+    log = df.sparkSession.range(1, trials + 1).select(F.col("id").cast("int").alias("number"))
+    settings = trial_settings(F.col("number"), seed)
     log = log.withColumns(settings)
-
-    def with_trials(df: DataFrame) -> DataFrame:
-        return df.withColumn("number", F.explode(F.sequence(F.lit(1), F.lit(trials))))
-
-    keys = ["number", *cell]
-    models = trees.fit_boosted(
-        with_trials(train).join(log, ["number"]),
-        keys,
-        features,
-        target,
-        rounds=rounds,
-        depth=max_depth,
-        rate="rate",
-        penalty="penalty",
-        min_rows="min_rows",
-        subsample="subsample",
-        max_depth="depth",
-        seed=seed,
-    )
-    scored = trees.predict(with_trials(test), models, keys, features, max_depth)
-    per_cell = scored.groupBy(*keys).agg(rmse(target, "predicted").alias("rmse"))
+    drawn = [r.asDict() for r in log.orderBy("number").collect()]
+    scored = trees.trial_scores(df, cell, features, target, drawn, rounds, patience, seed)
     return (
-        per_cell.groupBy("number")
-        .agg(F.avg("rmse").alias("value"), F.count("rmse").alias("cells"))
+        scored.groupBy("number")
+        .agg(F.avg("rmse").alias("value"), F.count("rmse").alias("cells"), F.avg("rounds").alias("rounds"))
         .join(log.withColumnsRenamed({n: f"params_{n}" for n in settings}), ["number"])
     )
 

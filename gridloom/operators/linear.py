@@ -93,14 +93,19 @@ def fit_glm_cells(
     features: list[str],
     target: str,
     power: float = 0.0,
-    rounds: int = 6,
-    penalty: float = 1e-9,
+    penalty: float = 1.0,
+    tolerance: float = 1e-6,
+    most_rounds: int = 100,
 ) -> DataFrame:
     """Generalised linear model per group by reweighted least squares.
 
     Power 0 (normal, identity link) is one least-squares fit. Power 2 (gamma,
     log link) repeats least squares on the working response; its working
-    weights are constant, so each round is one aggregation over all groups.
+    weights are constant, so each round is one aggregation over all groups. It
+    ends when no coefficient of any group moves by more than `tolerance`, and
+    raises when that isn't reached. `penalty` is the L2 penalty beside the mean
+    deviance. Rows without a positive target can't enter a gamma model and are
+    left out.
     """
     if power == 0:
         return fit_ridge(df, keys, features, target, penalty)
@@ -109,14 +114,21 @@ def fit_glm_cells(
     rows = df.dropna(subset=[*features, target]).filter(F.col(target) > 0)
     rows = rows.select(*keys, *features, target)
     model = fit_ridge(rows.withColumn("_z", F.log(target)), keys, features, "_z", penalty)
-    for _ in range(rounds):
+    for _ in range(most_rounds):
         model = cut(model)
         eta = linear_term(features)
         working = attach(rows, model, keys).withColumn(
             "_z", eta + F.col(target) * F.exp(-eta) - F.lit(1.0)
         )
-        model = fit_ridge(working.drop("coef"), keys, features, "_z", penalty)
-    return model
+        after = cut(fit_ridge(working.drop("coef"), keys, features, "_z", penalty))
+        moves = F.aggregate(
+            F.zip_with("coef", "_was", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, b: F.greatest(a, b)
+        )
+        moved = attach(after, model.select(*keys, F.col("coef").alias("_was")), keys).agg(F.max(moves)).first()[0]
+        model = after
+        if moved is None or moved <= tolerance:
+            return model
+    raise RuntimeError("the gamma model did not converge")
 
 
 def predict_glm(df: DataFrame, model: DataFrame, keys: list[str], features: list[str], power: float, out: str) -> DataFrame:

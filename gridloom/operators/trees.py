@@ -1,378 +1,327 @@
-"""Regression trees for every cell at once.
-
-A model is identified by key columns (a cell; a cell, fold and trial; ...).
-All models grow together, level by level: rows add to histograms per (model,
-node, feature, bin), the best cut of every node is chosen among at most `BINS`
-candidates, and rows move on by a join with the small table of cuts. A level
-is one aggregation with map-side combining, so a model with very many rows is
-no different from many models with few; no group is ever gathered.
-
-A stored model is one row: bin edges per feature and a list of trees, each a
-map node -> (feature, bin) and a map leaf -> value. Node 1 is the root, the
-children of node n are 2n (at or below the cut) and 2n + 1 (above).
+"""Regression trees of many models, each fitted in the task that holds its rows.
+
+Spark deals the rows by the models' keys (a cell) and fits all models side by side; a model's rows are
+one cell's series, bounded by the time axis and the members, so a group is small however large the
+grid. Trees grow leaf by leaf, the best gain first, on histograms over at most `bins` values of each
+predictor; limits are the number of leaves, the depth and the rows of a leaf, and either may be open.
+Random forest, gradient boosting and AdaBoost.R2 differ in what they draw and weigh.
+
+Rows are put in order before anything is drawn and the draws depend on the model's keys, so a model
+is the same for any partitioning. A stored model is one row: its trees as packed node tables.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import zlib
+from dataclasses import dataclass
+from heapq import heappop, heappush
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+from pyspark.sql import types as T
+
+BINS = 255
+NODE = np.dtype([("feature", "<i4"), ("left", "<i4"), ("right", "<i4"), ("at", "<f8"), ("value", "<f8")])
+MODEL = "kind string, base double, rate double, trees array<binary>, votes array<double>"
+
+
+@dataclass(frozen=True)
+class Growth:
+    """Limits of a tree; None is no limit."""
+
+    leaves: int | None = None
+    depth: int | None = None
+    min_rows: float = 1.0
+    l1: float = 0.0
+    l2: float = 0.0
+    bins: int = BINS
+
+
+class Binned:
+    """Predictors as bin numbers: bin b holds the values up to cuts[b]."""
+
+    def __init__(self, x: np.ndarray, bins: int):
+        self.cuts = []
+        for column in x.T:
+            values = np.unique(column)
+            if len(values) > bins:
+                values = np.unique(np.quantile(column, np.linspace(0, 1, bins + 1)[1:], method="inverted_cdf"))
+            self.cuts.append((values[:-1] + values[1:]) / 2)
+        self.width = max([len(c) for c in self.cuts], default=0) + 1
+        codes = [np.searchsorted(c, column) + i * self.width for i, (c, column) in enumerate(zip(self.cuts, x.T, strict=True))]
+        self.codes = np.stack(codes, 1) if codes else np.zeros((len(x), 0), int)
+
+
+def shrunk(total, l1: float):
+    return np.sign(total) * np.maximum(np.abs(total) - l1, 0) if l1 else total
+
+
+def grow(data: Binned, target: np.ndarray, weight: np.ndarray, limits: Growth, features: np.ndarray) -> np.ndarray:
+    """One tree on the rows with weight; `features` are the predictors it may use."""
+    n_features = data.codes.shape[1]
+    size = n_features * data.width
+    moment = weight * target
+    usable = np.zeros((n_features, 1), bool)
+    usable[features] = True
+
+    def histogram(rows):
+        at = data.codes[rows].ravel()
+        sums = (np.bincount(at, np.repeat(v[rows], n_features), size) for v in (moment, weight))
+        return tuple(s.reshape(n_features, data.width) for s in sums)
+
+    def score(s, w):
+        return shrunk(s, limits.l1) ** 2 / np.maximum(w + limits.l2, 1e-12)
+
+    nodes: list[list] = []
+    heap: list[tuple] = []
+
+    def add(rows, hist, depth) -> int:
+        total, mass = moment[rows].sum(), weight[rows].sum()
+        nodes.append([-1, -1, -1, 0.0, float(shrunk(total, limits.l1) / max(mass + limits.l2, 1e-12))])
+        number = len(nodes) - 1
+        if n_features and (limits.depth is None or depth < limits.depth) and mass >= 2 * limits.min_rows:
+            s, w = (np.cumsum(h, axis=1) for h in hist)
+            gain = score(s, w) + score(total - s, mass - w) - score(total, mass)
+            open_cut = usable & (w >= limits.min_rows) & (mass - w >= limits.min_rows) & (mass - w > 1e-9)
+            gain = np.where(open_cut, np.round(gain, 9), -1.0)
+            best = int(gain.argmax())
+            if gain.flat[best] > 1e-9:
+                heappush(heap, (-gain.flat[best], number, best, rows, hist, depth))
+        return number
+
+    first = np.flatnonzero(weight > 0)
+    add(first, histogram(first), 0)
+    grown = 1
+    while heap and (limits.leaves is None or grown < limits.leaves):
+        _, number, best, rows, hist, depth = heappop(heap)
+        feature, cut = divmod(best, data.width)
+        goes_left = data.codes[rows, feature] <= best
+        left, right = rows[goes_left], rows[~goes_left]
+        small = histogram(left if len(left) <= len(right) else right)
+        other = tuple(h - s for h, s in zip(hist, small, strict=True))
+        of_left, of_right = (small, other) if len(left) <= len(right) else (other, small)
+        nodes[number][:4] = [feature, add(left, of_left, depth + 1), add(right, of_right, depth + 1), float(data.cuts[feature][cut])]
+        grown += 1
+    return np.array([tuple(n) for n in nodes], NODE)
+
+
+def applied(tree: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The value of the leaf each row falls into."""
+    at = np.zeros(len(x), np.int64)
+    going = np.arange(len(x)) if tree["feature"][0] >= 0 else np.zeros(0, np.int64)
+    while len(going):
+        node = tree[at[going]]
+        at[going] = np.where(x[going, node["feature"]] <= node["at"], node["left"], node["right"])
+        going = going[tree["feature"][at[going]] >= 0]
+    return tree["value"][at]
+
+
+def forest(x, y, draw: np.random.Generator, trees: int = 100, limits: Growth = Growth()) -> dict:
+    """Bootstrapped trees on all predictors; the prediction is their mean."""
+    data, everything = Binned(x, limits.bins), np.arange(x.shape[1])
+    grown = [
+        grow(data, y, np.bincount(draw.integers(0, len(y), len(y)), minlength=len(y)).astype(float), limits, everything) for _ in range(trees)
+    ]
+    return {"kind": "forest", "base": 0.0, "rate": 1.0 / trees, "trees": grown, "votes": []}
+
+
+def boosted(
+    x,
+    y,
+    draw: np.random.Generator,
+    rounds: int = 100,
+    rate: float = 0.1,
+    subsample: float = 1.0,
+    columns: float = 1.0,
+    limits: Growth = Growth(),
+    valid: tuple[np.ndarray, np.ndarray] | None = None,
+    patience: int | None = None,
+    data: Binned | None = None,
+) -> dict:
+    """Gradient boosting of squared error; stops `patience` rounds after the best score on `valid`."""
+    data = data or Binned(x, limits.bins)
+    base = float(y.mean())
+    now, ahead = np.full(len(y), base), np.full(len(valid[1]) if valid else 0, base)
+    grown: list[np.ndarray] = []
+    best, best_rounds = np.inf, 0
+    used = max(1, round(columns * x.shape[1]))
+    for _ in range(rounds):
+        weight = (draw.random(len(y)) < subsample).astype(float) if subsample < 1 else np.ones(len(y))
+        features = draw.permutation(x.shape[1])[:used]
+        tree = grow(data, y - now, weight, limits, features)
+        now += rate * applied(tree, x)
+        grown.append(tree)
+        if valid:
+            ahead += rate * applied(tree, valid[0])
+            error = float(((ahead - valid[1]) ** 2).mean())
+            if error < best:
+                best, best_rounds = error, len(grown)
+            if patience and len(grown) - best_rounds >= patience:
+                break
+    return {"kind": "boosted", "base": base, "rate": rate, "trees": grown[:best_rounds] if valid and patience else grown, "votes": []}
+
+
+def adaboost(x, y, draw: np.random.Generator, rounds: int = 50, limits: Growth = Growth(depth=3)) -> dict:
+    """AdaBoost.R2 with linear loss; a tree whose average loss reaches one half ends it (the first one stays)."""
+    data, everything = Binned(x, limits.bins), np.arange(x.shape[1])
+    weight = np.full(len(y), 1.0)
+    grown, votes = [], []
+    for _ in range(rounds):
+        tree = grow(data, y, weight, limits, everything)
+        loss = np.abs(applied(tree, x) - y)
+        worst = float(loss.max())
+        average = float((weight * loss).sum() / weight.sum() / worst) if worst > 0 else 0.0
+        if average >= 0.5:
+            if not grown:
+                grown, votes = [tree], [1.0]
+            break
+        beta = max(average / (1 - average), 1e-12)
+        grown.append(tree)
+        votes.append(-float(np.log(beta)))
+        if worst == 0:
+            break
+        weight = weight * beta ** (1 - loss / worst)
+        weight *= len(y) / weight.sum()
+    return {"kind": "adaboost", "base": 0.0, "rate": 1.0, "trees": grown, "votes": votes}
 
-from gridloom.operators.splitting import hashed_uniform
-from gridloom.sources.workspace import stored
 
-BINS = 16
-SPLIT = "map<int,struct<feature:int,bin:int>>"
-VOTES = "array<struct<beta:double,worst:double>>"
+def estimated(model: dict, x: np.ndarray) -> np.ndarray:
+    """A model's prediction for complete rows."""
+    if model["kind"] != "adaboost":
+        return model["base"] + model["rate"] * sum((applied(t, x) for t in model["trees"]), np.zeros(len(x)))
+    values = np.stack([applied(t, x) for t in model["trees"]], 1)
+    order = np.argsort(values, axis=1, kind="stable")
+    weight = np.cumsum(np.array(model["votes"])[order], axis=1)
+    middle = (weight >= weight[:, -1:] / 2).argmax(1)
+    return values[np.arange(len(x)), order[np.arange(len(x)), middle]]
 
 
-def bin_edges(df: DataFrame, keys: list[str], features: list[str], bins: int = BINS) -> DataFrame:
-    """Quantile edges of every feature per model: (keys, edges)."""
-    probs = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    edges = F.array(*[F.percentile_approx(f, probs, 1000) for f in features])
-    return df.groupBy(*keys).agg(edges.alias("edges"))
+# ---------------------------------------------------------------------------- on Spark
 
 
-def binned(features: list[str], edges: str = "edges", bins: int = BINS) -> Column:
-    """Bin of each feature: how many edges lie below the value."""
+def matrix(table: pa.Table, columns: list[str]) -> np.ndarray:
+    return np.column_stack([table.column(c).cast(pa.float64()).to_numpy() for c in columns]) if columns else np.zeros((table.num_rows, 0))
 
-    def one(i: int, f: str) -> Column:
-        below = F.lit(0)
-        for j in range(bins - 1):
-            below = below + (F.col(f) > F.get(F.get(F.col(edges), i), j)).cast("int")
-        return below
 
-    return F.array(*[one(i, f) for i, f in enumerate(features)])
+def ordered(table: pa.Table, columns: list[str]) -> pa.Table:
+    """The rows in an order that depends on their values alone."""
+    return table.sort_by([(c, "ascending") for c in columns])
 
 
-def _find(split: Column, bins: Column, depth: int) -> Column:
-    """Node a row falls into after `depth` levels of a split map."""
+def draws(seed: int, *parts) -> np.random.Generator:
+    return np.random.default_rng([seed, zlib.crc32(repr(parts).encode())])
 
-    def step(node: Column, _: Column) -> Column:
-        at = F.try_element_at(split, node)
-        right = (F.get(bins, at["feature"]) > at["bin"]).cast("int")
-        return F.when(at.isNull(), node).otherwise(node * 2 + right)
 
-    if depth == 0:
-        return F.lit(1)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(1), step)
+def by_model(df: DataFrame, keys: list[str]):
+    """Rows grouped by model; enough partitions that models are fitted side by side even if their rows are few."""
+    parts = max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *keys).groupBy(*keys)
 
 
-def tree_value(tree: Column, bins: Column, depth: int) -> Column:
-    return F.try_element_at(tree["leaf"], _find(tree["split"], bins, depth))
+def key_of(table: pa.Table, keys: list[str]) -> tuple:
+    return tuple(table.column(k)[0].as_py() for k in keys)
 
 
-def grow(
-    rows: DataFrame,
-    keys: list[str],
-    depth: int,
-    min_rows: str | float = 5.0,
-    penalty: str | float = 0.0,
-    max_depth: str | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """One tree per key: (trees, rows with their leaf value `_value`).
+def fit(df: DataFrame, keys: list[str], features: list[str], target: str, order: str, learner, seed: int = 42, **settings) -> DataFrame:
+    """A model per key: `learner` is forest, boosted or adaboost. Rows with a missing value are not learned from."""
+    columns = [*keys, order, *features, target]
+    whole = df.dropna(subset=[*features, target]).select(*dict.fromkeys(columns))
+    fields = [whole.schema[k] for k in keys] + T._parse_datatype_string(MODEL).fields
 
-    `rows` has keys, _b (bins), _w (weight), _t (target) and is read once per
-    level. Settings may name columns, so that every model can have its own.
-    """
+    def run(table: pa.Table) -> pa.Table:
+        table = ordered(table, [order, target, *features])
+        key = key_of(table, keys)
+        model = learner(matrix(table, features), matrix(table, [target])[:, 0], draws(seed, key), **settings)
+        out = {k: table.column(k).slice(0, 1).combine_chunks() for k in keys}
+        out |= {"kind": pa.array([model["kind"]]), "base": pa.array([model["base"]]), "rate": pa.array([model["rate"]])}
+        out |= {
+            "trees": pa.array([[t.tobytes() for t in model["trees"]]], pa.list_(pa.binary())),
+            "votes": pa.array([model["votes"]], pa.list_(pa.float64())),
+        }
+        return pa.table(out)
 
-    def setting(s: str | float) -> Column:
-        return F.any_value(F.col(s).cast("double")) if isinstance(s, str) else F.lit(float(s))
-
-    placed = rows.withColumn("_node", F.lit(1))
-    levels = []
-    for level in range(depth):
-        histogram = (
-            placed.select("*", F.posexplode("_b").alias("feature", "bin"))
-            .groupBy(*keys, "_node", "feature", "bin")
-            .agg(
-                F.sum("_w").alias("w"),
-                F.sum(F.col("_w") * F.col("_t")).alias("s"),
-                setting(min_rows).alias("need"),
-                setting(penalty).alias("lam"),
-                setting(max_depth or float(depth)).alias("limit"),
-            )
-        )
-        node = [*keys, "_node", "feature"]
-        upto = W.partitionBy(*node).orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)
-        whole = W.partitionBy(*node)
-        cuts = histogram.select(
-            "*",
-            F.sum("w").over(upto).alias("wl"),
-            F.sum("s").over(upto).alias("sl"),
-            F.sum("w").over(whole).alias("wa"),
-            F.sum("s").over(whole).alias("sa"),
-        )
-        wr, sr = F.col("wa") - F.col("wl"), F.col("sa") - F.col("sl")
-
-        def score(total: Column, weight: Column) -> Column:
-            return F.try_divide(total * total, weight + F.col("lam"))
-
-        gain = score(F.col("sl"), F.col("wl")) + score(sr, wr) - score(F.col("sa"), F.col("wa"))
-        allowed = (F.col("wl") >= F.col("need")) & (wr >= F.col("need")) & (F.col("limit") > level)
-        # Gains are compared after rounding; ties go to the first feature and bin.
-        rank = F.struct(F.round(gain, 9), -F.col("feature"), -F.col("bin"))
-        best = (
-            cuts.filter(allowed & (gain > 1e-12))
-            .groupBy(*keys, "_node")
-            .agg(F.max_by(F.struct("feature", "bin"), rank).alias("cut"))
-        )
-        best = stored(best, "cuts")
-        levels.append(best)
-        right = (F.get("_b", F.col("cut.feature")) > F.col("cut.bin")).cast("int")
-        placed = (
-            placed.join(best, [*keys, "_node"], "left")
-            .withColumn(
-                "_node",
-                F.when(F.col("cut").isNull(), F.col("_node")).otherwise(2 * F.col("_node") + right),
-            )
-            .drop("cut")
-        )
-    value = F.try_divide(F.sum(F.col("_w") * F.col("_t")), F.sum("_w") + setting(penalty))
-    leaves = stored(placed.groupBy(*keys, "_node").agg(value.alias("_value")), "leaves")
-    parts = leaves.select(*keys, "_node", "_value", F.lit(None).cast("struct<feature:int,bin:int>").alias("cut"))
-    for best in levels:
-        parts = parts.unionByName(
-            best.select(*keys, "_node", F.lit(None).cast("double").alias("_value"), "cut")
-        )
-    trees = parts.groupBy(*keys).agg(
-        F.struct(
-            F.map_from_entries(
-                F.collect_list(F.when(F.col("cut").isNotNull(), F.struct("_node", "cut")))
-            ).alias("split"),
-            F.map_from_entries(
-                F.collect_list(F.when(F.col("_value").isNotNull(), F.struct("_node", "_value")))
-            ).alias("leaf"),
-        ).alias("tree")
-    )
-    return trees, placed.join(leaves, [*keys, "_node"]).drop("_node")
-
-
-def prepare(
-    df: DataFrame, keys: list[str], features: list[str], target: str, order: str, extra: list[str] | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """Binned training rows, written once, and the bin edges of every model."""
-    whole = df.dropna(subset=[*features, target])
-    edges = stored(bin_edges(whole, keys, features), "edges")
-    rows = whole.join(edges, keys).select(
-        *keys,
-        F.col(order).alias("_id"),
-        binned(features).alias("_b"),
-        F.col(target).cast("double").alias("_y"),
-        *(extra or []),
-    )
-    return stored(rows, "rows"), edges
-
-
-def _model(trees: DataFrame, edges: DataFrame, keys: list[str], kind: str, depth: int, base: Column, rate: Column, votes: Column) -> DataFrame:
-    return trees.join(edges, keys).select(
-        *keys,
-        F.lit(kind).alias("kind"),
-        F.lit(depth).alias("depth"),
-        base.alias("base"),
-        rate.alias("rate"),
-        "edges",
-        "trees",
-        votes.alias("votes"),
-    )
-
-
-def fit_forest(
-    df: DataFrame,
-    keys: list[str],
-    features: list[str],
-    target: str,
-    order: str = "time",
-    trees: int = 10,
-    depth: int = 4,
-    min_rows: float = 5.0,
-    seed: int = 42,
-) -> DataFrame:
-    """Random forest per model: bootstrapped trees, all grown at the same time."""
-    rows, edges = prepare(df, keys, features, target, order)
-    # Poisson(1) counts: how often a row occurs in a bootstrap sample.
-    u = F.col("_u")
-    count = sum(
-        ((u >= share).cast("int") for share in (0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406)),
-        F.lit(0),
-    )
-    draws = (
-        rows.withColumn("_tree", F.explode(F.sequence(F.lit(1), F.lit(trees))))
-        .withColumn("_u", hashed_uniform(seed, "_tree", "_id"))
-        .filter("_u >= 0.367879")
-        .withColumn("_w", count.cast("double"))
-        .select(*keys, "_tree", "_b", "_w", F.col("_y").alias("_t"))
-    )
-    grown, _ = grow(draws, [*keys, "_tree"], depth, min_rows)
-    forest = grown.groupBy(*keys).agg(F.collect_list("tree").alias("trees"))
-    forest = forest.withColumn("_rate", 1.0 / F.size("trees"))
-    return stored(
-        _model(forest, edges, keys, "forest", depth, F.lit(0.0), F.col("_rate"), F.lit(None).cast(VOTES)),
-        "models",
-    )
-
-
-def fit_boosted(
-    df: DataFrame,
-    keys: list[str],
-    features: list[str],
-    target: str,
-    order: str = "time",
-    rounds: int = 10,
-    depth: int = 3,
-    rate: str | float = 0.3,
-    penalty: str | float = 1.0,
-    min_rows: str | float = 5.0,
-    subsample: str | float = 1.0,
-    max_depth: str | None = None,
-    seed: int = 42,
-) -> DataFrame:
-    """Gradient boosting per model; settings may be columns of the training rows.
-
-    Rows carry the prediction so far; it is rewritten once per round.
-    """
+    return by_model(whole, keys).applyInArrow(run, T.StructType(fields))
 
-    def named(s: str | float) -> Column:
-        return F.col(s).cast("double") if isinstance(s, str) else F.lit(float(s))
-
-    settings = [c for c in (rate, penalty, min_rows, subsample, max_depth) if isinstance(c, str)]
-    rows, edges = prepare(df, keys, features, target, order, sorted(set(settings)))
-    start = stored(
-        rows.groupBy(*keys).agg(F.avg("_y").alias("_base"), F.any_value(named(rate)).alias("_rate")),
-        "start",
-    )
-    current = rows.join(start.select(*keys, "_base"), keys).withColumnRenamed("_base", "_f")
-    grown = []
-    for i in range(rounds):
-        marked = current.withColumn("_t", F.col("_y") - F.col("_f")).withColumn(
-            "_w", (hashed_uniform(seed + i, "_id") < named(subsample)).cast("double")
-        )
-        # Rows left out of a round weigh nothing, but move on to their leaf all the same.
-        tree, valued = grow(marked, keys, depth, min_rows, penalty, max_depth)
-        grown.append(tree)
-        if i < rounds - 1:
-            step = named(rate) * F.coalesce("_value", F.lit(0.0))
-            moved = valued.withColumn("_f", F.col("_f") + step)
-            current = stored(moved.drop("_t", "_w", "_value"), "rows")
-    models = _in_order(grown, keys, ["tree"]).join(start, keys)
-    return stored(
-        _model(models, edges, keys, "boosted", depth, F.col("_base"), F.col("_rate"), F.lit(None).cast(VOTES)),
-        "models",
-    )
-
-
-def fit_adaboost(
-    df: DataFrame,
-    keys: list[str],
-    features: list[str],
-    target: str,
-    order: str = "time",
-    rounds: int = 5,
-    depth: int = 3,
-    min_rows: float = 5.0,
-) -> DataFrame:
-    """AdaBoost.R2 per model with linear loss.
-
-    Rows carry their weight; a row that was predicted well is multiplied by
-    beta ** (1 - loss). A model whose average loss reaches one half stops (its
-    first tree is kept in any case).
+
+def loaded(models: pa.Table) -> dict:
+    row = models.slice(0, 1).to_pylist()[0]
+    return row | {"trees": [np.frombuffer(t, NODE) for t in row["trees"]]}
+
+
+def predict(df: DataFrame, models: DataFrame, keys: list[str], features: list[str], out: str = "predicted") -> DataFrame:
+    """Adds the model's prediction; it is NULL where the key has no model or a predictor is missing."""
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
+
+    def run(rows: pa.Table, model: pa.Table) -> pa.Table:
+        x = matrix(rows, features)
+        known = ~np.isnan(x).any(1)
+        value = np.full(len(x), np.nan)
+        if model.num_rows and known.any():
+            value[known] = estimated(loaded(model), x[known])
+        return rows.append_column(out, pa.array(value, mask=np.isnan(value)))
+
+    return by_model(df, keys).cogroup(by_model(models, keys)).applyInArrow(run, schema)
+
+
+def cross_validated(df: DataFrame, keys: list[str], features: list[str], target: str, folds: int, learner, seed: int = 42, **settings) -> DataFrame:
+    """Mean RMSE over expanding-window folds, per key: rmse, folds.
+
+    Rows carry `_pos`, their place on the time axis, and its length `_n`; they are read once, not once a fold.
     """
-    rows, edges = prepare(df, keys, features, target, order)
-    current = rows.withColumn("_w", F.lit(1.0))
-    grown = []
-    for i in range(rounds):
-        tree, valued = grow(current.withColumn("_t", F.col("_y")), keys, depth, min_rows)
-        missed = valued.withColumn("_e", F.abs(F.col("_y") - F.col("_value")))
-        loss = missed.groupBy(*keys).agg(
-            F.max("_e").alias("worst"),
-            F.try_divide(F.sum(F.col("_w") * F.col("_e")), F.sum("_w")).alias("mean_error"),
-            F.avg("_w").alias("scale"),
-        )
-        average = F.try_divide("mean_error", "worst")
-        weak = F.coalesce(average >= 0.5, F.lit(True))
-        beta = F.when(weak, F.lit(0.5)).otherwise(
-            F.greatest(F.try_divide(average, 1 - average), F.lit(1e-12))
-        )
-        judged = stored(
-            loss.join(tree, keys).select(
-                *keys, "tree", "scale", F.struct(beta.alias("beta"), "worst").alias("vote"), weak.alias("weak")
-            ),
-            "votes",
-        )
-        grown.append(judged if i == 0 else judged.filter(~F.col("weak")))
-        if i < rounds - 1:
-            going = judged.filter(~F.col("weak")).select(*keys, "vote", "scale")
-            left_over = 1 - F.try_divide("_e", F.col("vote.worst"))
-            weight = F.col("_w") / F.col("scale") * F.pow(F.col("vote.beta"), left_over)
-            current = stored(
-                missed.join(going, keys).withColumn("_w", weight).select(*rows.columns, "_w"), "rows"
-            )
-    models = _in_order(grown, keys, ["tree", "vote"])
-    return stored(
-        _model(models, edges, keys, "adaboost", depth, F.lit(0.0), F.lit(1.0), F.col("votes")), "models"
-    )
-
-
-def _in_order(rounds: list[DataFrame], keys: list[str], values: list[str]) -> DataFrame:
-    """Per model the trees (and votes) of all rounds, first round first."""
-    parts = None
-    for i, part in enumerate(rounds):
-        one = part.select(*keys, F.lit(i).alias("_i"), *values)
-        parts = one if parts is None else parts.unionByName(one)
-    table = parts.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("_i", F.struct(*values)))).alias("_m")
-    )
-    order = F.array_sort(F.map_keys("_m"))
-    table = table.withColumn("_all", F.transform(order, lambda i: F.try_element_at("_m", i)))
-    return table.select(*keys, *[F.col(f"_all.{v}").alias(f"{v}s") for v in values])
-
-
-def _sum_of_trees(trees: Column, bins: Column, depth: int) -> Column:
-    return F.aggregate(
-        trees,
-        F.lit(0.0),
-        lambda acc, t: acc + F.coalesce(tree_value(t, bins, depth), F.lit(0.0)),
-    )
-
-
-def _weighted_median(trees: Column, votes: Column, bins: Column, depth: int) -> Column:
-    """Median of the trees' values under the weights log(1 / beta)."""
-    cast = F.array_sort(
-        F.zip_with(
-            trees,
-            votes,
-            lambda t, v: F.struct(
-                tree_value(t, bins, depth).alias("value"), (-F.log(F.greatest(v["beta"], F.lit(1e-12)))).alias("weight")
-            ),
-        )
-    )
-    half = F.aggregate(cast, F.lit(0.0), lambda a, e: a + e["weight"]) / 2
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("value"))
-    return F.aggregate(
-        cast,
-        start,
-        lambda a, e: F.struct(
-            (a["sum"] + e["weight"]).alias("sum"),
-            F.when(a["value"].isNotNull(), a["value"])
-            .when(a["sum"] + e["weight"] >= half, e["value"])
-            .alias("value"),
-        ),
-        lambda a: a["value"],
-    )
-
-
-def predict(df: DataFrame, models: DataFrame, keys: list[str], features: list[str], depth: int, out: str = "predicted") -> DataFrame:
-    """Apply stored models to rows of the same keys; rows without a model stay NULL.
-
-    `depth` is the depth the models were grown with.
+    whole = df.dropna(subset=[*features, target]).select(*keys, "_pos", "_n", *features, target)
+    schema = T.StructType([*[whole.schema[k] for k in keys], T.StructField("rmse", T.DoubleType()), T.StructField("folds", T.LongType())])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = ordered(table, ["_pos", target, *features])
+        x, y, at = matrix(table, features), matrix(table, [target])[:, 0], table.column("_pos").to_numpy()
+        n = table.column("_n")[0].as_py()
+        size = n // (folds + 1)
+        errors = []
+        for fold in range(1, folds + 1):
+            start = n - (folds - fold + 1) * size
+            train, test = at <= start, (at > start) & (at <= start + size)
+            if train.any() and test.any():
+                model = learner(x[train], y[train], draws(seed, key_of(table, keys), fold), **settings)
+                errors.append(float(np.sqrt(((estimated(model, x[test]) - y[test]) ** 2).mean())))
+        out = {k: table.column(k).slice(0, 1).combine_chunks() for k in keys}
+        return pa.table(out | {"rmse": pa.array([np.mean(errors) if errors else None], pa.float64()), "folds": pa.array([len(errors)], pa.int64())})
+
+    return by_model(whole, keys).applyInArrow(run, schema)
+
+
+def trial_scores(df: DataFrame, keys: list[str], features: list[str], target: str, trials: list[dict], rounds: int, patience: int, seed: int) -> DataFrame:
+    """RMSE on the rows of part `valid` for every trial and key: number, keys, rmse, rounds.
+
+    A key's rows are read and binned once for all trials; keys without rows in both parts have no score.
     """
-    joined = df.join(models.drop("depth"), keys, "left").withColumn("_b", binned(features))
-    whole = F.lit(True)
-    for f in features:
-        whole = whole & F.col(f).isNotNull()
-    additive = F.col("base") + F.col("rate") * _sum_of_trees(F.col("trees"), F.col("_b"), depth)
-    voted = _weighted_median(F.col("trees"), F.col("votes"), F.col("_b"), depth)
-    value = F.when(F.col("kind") == "adaboost", voted).otherwise(additive)
-    return joined.withColumn(out, F.when(whole & F.col("trees").isNotNull(), value)).select(
-        *df.columns, out
-    )
+    whole = df.dropna(subset=[*features, target]).select(*keys, "part", "time", *features, target)
+    added = T._parse_datatype_string("number int, rmse double, rounds int").fields
+    schema = T.StructType([*[whole.schema[k] for k in keys], *added])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = ordered(table, ["time", target, *features])
+        x, y = matrix(table, features), matrix(table, [target])[:, 0]
+        test = np.array([p == "valid" for p in table.column("part").to_pylist()])
+        rows = []
+        if test.any() and not test.all():
+            data = Binned(x[~test], BINS)
+            for t in trials:
+                limits = Growth(t["num_leaves"], t["depth"], t["min_rows"], t["l1"], t["l2"])
+                model = boosted(
+                    x[~test], y[~test], draws(seed, key_of(table, keys), t["number"]), rounds, t["rate"], t["subsample"],
+                    t["colsample"], limits, (x[test], y[test]), patience, data,
+                )
+                error = float(np.sqrt(((estimated(model, x[test]) - y[test]) ** 2).mean()))
+                rows.append((t["number"], error, len(model["trees"])))
+        out = {k: pa.chunked_array([table.column(k).take(pa.array(np.zeros(len(rows), int))).combine_chunks()]) for k in keys}
+        kinds = (pa.int32(), pa.float64(), pa.int32())
+        return pa.table(out | {n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(("number", "rmse", "rounds"), kinds, strict=True))})
+
+    return by_model(whole, keys).applyInArrow(run, schema)
+
+
+def with_axis_position(df: DataFrame, axis: DataFrame) -> DataFrame:
+    """Adds `_pos` and `_n` of the stored time axis (a row per time step)."""
+    return df.join(F.broadcast(axis) if axis.count() <= 1_000_000 else axis, ["time"])

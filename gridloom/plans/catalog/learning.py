@@ -13,7 +13,7 @@ from gridloom.sources.workspace import fresh_path, stored
 
 CELL = ["y", "x"]
 KEYS = ["time", "y", "x"]
-X = ["pred", "refe", "doy_sin", "doy_cos"]
+X = ["pred", "doy_sin", "doy_cos"]  # `refe` is made from the target, so it is no predictor
 _SPLIT = "1999-01-01"
 _DAY = f"date '{_SPLIT}'"
 
@@ -72,24 +72,29 @@ def fit_predict_cells_ridge(spark, sf):
     return linear.predict_ridge(later, model, CELL, both, "predicted").select(*KEYS, "truth", "predicted")
 
 
-def _fit_predict(spark, sf, learner, depth, **settings):
-    models = learning.fit_cells(_train(spark, sf), CELL, X, "truth", learner, depth=depth, **settings)
-    return trees.predict(_test(spark, sf), models, CELL, X, depth).select(*KEYS, "truth", "predicted")
+def _fit_predict(spark, sf, learner):
+    models = learning.fit_cells(_train(spark, sf), CELL, X, "truth", learner)
+    return trees.predict(_test(spark, sf), models, CELL, X).select(*KEYS, "truth", "predicted")
 
 
 @query("fit_predict_cells")
 def fit_predict_cells(spark, sf):
-    return _fit_predict(spark, sf, "RandomForestRegressor", 3, trees=5)
+    return _fit_predict(spark, sf, "RandomForestRegressor")
 
 
 @query("fit_predict_cells_boosted")
 def fit_predict_cells_boosted(spark, sf):
-    return _fit_predict(spark, sf, "LGBMRegressor", 2, rounds=4)
+    return _fit_predict(spark, sf, "LGBMRegressor")
+
+
+@query("fit_predict_cells_levelwise")
+def fit_predict_cells_levelwise(spark, sf):
+    return _fit_predict(spark, sf, "XGBRegressor")
 
 
 @query("fit_predict_cells_adaboost")
 def fit_predict_cells_adaboost(spark, sf):
-    return _fit_predict(spark, sf, "AdaBoostRegressor", 2, rounds=2)
+    return _fit_predict(spark, sf, "AdaBoostRegressor")
 
 
 @query(
@@ -113,9 +118,9 @@ def fit_predict_ensemble_forest(spark, sf):
     calib = tables.ens(spark, sf, end=_SPLIT).groupBy(*KEYS).agg(F.avg("pred").alias("pred"))
     paired = features.doy_encode(calib.join(tables.monthly_truth(spark, sf), KEYS))
     x = ["pred", "doy_sin", "doy_cos"]
-    models = learning.fit_cells(paired, CELL, x, "truth", "RandomForestRegressor", depth=2, trees=5, min_rows=3.0)
+    models = learning.fit_cells(paired, CELL, x, "truth", "RandomForestRegressor")
     members = features.doy_encode(tables.ens(spark, sf, start=_SPLIT))
-    return trees.predict(members, models, CELL, x, 2).select(*KEYS, "member", "predicted")
+    return trees.predict(members, models, CELL, x).select(*KEYS, "member", "predicted")
 
 
 @query(
@@ -153,17 +158,17 @@ def _global(spark, sf, learner, **settings):
 
 @query("global_rf")
 def global_rf(spark, sf):
-    return _global(spark, sf, "RandomForestRegressor", numTrees=10, maxDepth=5)
+    return _global(spark, sf, "RandomForestRegressor", numTrees=100, maxDepth=10)
 
 
 @query("global_gbt")
 def global_gbt(spark, sf):
-    return _global(spark, sf, "XGBRegressor", maxIter=5, maxDepth=4)
+    return _global(spark, sf, "XGBRegressor", maxIter=100, maxDepth=6, stepSize=0.3)
 
 
 @query("global_adaboost")
 def global_adaboost(spark, sf):
-    out = learning.global_adaboost(_train(spark, sf), _test(spark, sf), _GX, "truth", rounds=3)
+    out = learning.global_adaboost(_train(spark, sf), _test(spark, sf), _GX, "truth")
     return out.select(*KEYS, "truth", "predicted")
 
 
@@ -197,7 +202,7 @@ def glm_tweedie_gamma(spark, sf):
 @query("glm_tweedie_cells")
 def glm_tweedie_cells(spark, sf):
     x = ["pred", "doy_sin", "doy_cos"]
-    model = linear.fit_glm_cells(stored(_rain_cube(spark, sf, end=_SPLIT)), CELL, x, "truth", power=2, rounds=3)
+    model = linear.fit_glm_cells(stored(_rain_cube(spark, sf, end=_SPLIT)), CELL, x, "truth", power=2)
     later = _rain_cube(spark, sf, start=_SPLIT)
     return linear.predict_glm(later, model, CELL, x, 2, "predicted").select(*KEYS, "truth", "predicted")
 
@@ -230,8 +235,8 @@ def single_vs_multi(spark, sf):
     "cv_rmse_cells",
     f"""with {PAIR}, ax as (select time, row_number() over (order by time) as pos, count(*) over () as n
         from (select distinct time from pair)),
-      f as (select *, unnest(generate_series(1, 5)) as fold, n // 6 as size from ax),
-      g as (select time, fold, pos <= n - (5 - fold + 1) * size as train from f where pos <= n - (5 - fold) * size),
+      f as (select *, unnest(generate_series(1, 10)) as fold, n // 11 as size from ax),
+      g as (select time, fold, pos <= n - (10 - fold + 1) * size as train from f where pos <= n - (10 - fold) * size),
       j as (select y, x, fold, train, truth, pred from pair join g using (time) where truth is not null),
       l as (select y, x, fold, regr_slope(truth, pred) as b, regr_intercept(truth, pred) as a from j where train group by 1, 2, 3),
       e as (select y, x, fold, sqrt(avg((a + b * pred - truth) * (a + b * pred - truth))) as rmse
@@ -240,7 +245,7 @@ def single_vs_multi(spark, sf):
 )
 def cv_rmse_cells(spark, sf):
     cube = stored(tables.pair(spark, sf).select(*KEYS, "truth", "pred"))
-    rows = learning.explode_folds(cube, splitting.split_timeseries(cube, 5))
+    rows = learning.explode_folds(cube, splitting.split_timeseries(cube, 10))
     keys = [*CELL, "fold"]
     model = linear.fit_cell_linear(rows.filter("part = 'train'"), keys, "pred", "truth")
     scored = linear.predict_linear(rows.filter("part = 'test'"), model, keys, "pred", "predicted")
@@ -249,21 +254,25 @@ def cv_rmse_cells(spark, sf):
 
 @query("cv_rmse_cells_boosted")
 def cv_rmse_cells_boosted(spark, sf):
-    cube = stored(_cube(spark, sf))
-    rows = learning.explode_folds(cube, splitting.split_timeseries(cube, 3))
-    keys = [*CELL, "fold"]
-    models = learning.fit_cells(
-        rows.filter("part = 'train'"), keys, X, "truth", "XGBRegressor", rounds=3, depth=2
-    )
-    scored = trees.predict(rows.filter("part = 'test'"), models, keys, X, 2)
-    return learning.fold_rmse(scored, CELL)
+    """Ten folds of the tuned learner with the settings the tuner starts from."""
+    return learning.cross_validate_cells(stored(_cube(spark, sf)), CELL, X, "truth", "LGBMRegressor")
 
 
 @query("tune")
 def tune(spark, sf):
-    sampled = splitting.split_tail(splitting.sample_cells(stored(_cube(spark, sf)), 2))
-    train, test = (sampled.filter(F.col("part") == p).drop("part") for p in ("train", "valid"))
-    return learning.tune(train, test, CELL, X, "truth", trials=10, rounds=3, max_depth=2)
+    """Fifty trials over ten by ten sampled cells (all cells where the grid is smaller)."""
+    sampled = splitting.split_tail(splitting.sample_cells(stored(_cube(spark, sf)), 10))
+    return learning.tune(sampled, CELL, X, "truth")
+
+
+@query("tree_model_store")
+def tree_model_store(spark, sf):
+    """Fitted trees are stored under a run key, loaded and applied."""
+    models = learning.fit_cells(_train(spark, sf), CELL, X, "truth", "LGBMRegressor")
+    path = fresh_path(spark, "models")
+    learning.save_models(models, path, "trees")
+    loaded = learning.load_models(spark, path, "trees")
+    return trees.predict(_test(spark, sf), loaded, CELL, X).select(*KEYS, "predicted")
 
 
 _TRIALS = PAIR + """,
@@ -310,7 +319,7 @@ def trial_importance(spark, sf):
 
 @query("feature_importance")
 def feature_importance(spark, sf):
-    model = learning.fit_global(stored(_cube(spark, sf)), _GX, "truth", "RandomForestRegressor", numTrees=10, maxDepth=5)
+    model = learning.fit_global(stored(_cube(spark, sf)), _GX, "truth", "RandomForestRegressor", numTrees=100, maxDepth=10)
     return learning.feature_importance(spark, model, _GX)
 
 

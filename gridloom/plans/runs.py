@@ -60,7 +60,6 @@ def downscale_forecast(
     static: DataFrame | None = None,
     calibration: Column | None = None,
     drop_invalid_cells: bool = True,
-    depth: int = 3,
     overwrite: bool = False,
     **settings,
 ) -> DataFrame:
@@ -81,9 +80,9 @@ def downscale_forecast(
             past = past.filter(calibration)
         if drop_invalid_cells:
             past = valid_cells(past, CELL, [*features, predictand])
-        models = learning.fit_cells(past, CELL, encoded, predictand, learner, depth=depth, **settings)
+        models = learning.fit_cells(past, CELL, encoded, predictand, learner, **settings)
         members = predictors(forecast, static)
-        out = trees.predict(members, models, CELL, encoded, depth, predictand)
+        out = trees.predict(members, models, CELL, encoded, predictand)
         keys = [c for c in ("time", "y", "x", "member") if c in out.columns]
         files.write_cube(out.select(*keys, predictand), path, run_key, overwrite=overwrite)
     return spark.read.parquet(target)

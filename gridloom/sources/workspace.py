@@ -9,16 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; only where none is named (tests) a local one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if named:
-        if current is None:
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
-    return spark.sparkContext.getCheckpointDir()
+    """The folder in spark.checkpoint.dir, which all executors share.
+
+    Where it is unset, a local session (one machine, as in tests) gets a folder of its own; on a
+    cluster that would lose data, so there it is an error.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="run-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
+    return named
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -41,3 +45,13 @@ def stored(df: DataFrame, label: str = "table") -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a `stored` table that a loop has superseded."""
+    spark = table.sparkSession
+    shared = shared_folder(spark).rstrip("/").removeprefix("file://")
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if shared in folder:  # nothing outside the work folder
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -20,7 +20,7 @@ def test_downscale_then_verify(spark, sf, tmp_path):
     def run(frame):
         return runs.downscale_forecast(
             past, observed, frame, ["pred"], "tasmean", "LGBMRegressor", str(tmp_path), "r1",
-            static=tables.dem(spark, sf), drop_invalid_cells=False, depth=1, rounds=1,
+            static=tables.dem(spark, sf), drop_invalid_cells=False, rounds=3,
         )
 
     first = run(later)
@@ -40,7 +40,7 @@ def test_cells_with_gaps_get_no_model(spark, tmp_path):
     cube = spark.createDataFrame(rows, "time date, y int, x int, t2m double, tasmax double")
     out = runs.downscale_forecast(
         cube.drop("tasmax"), cube, cube.drop("tasmax"), ["t2m"], "tasmax", "RandomForestRegressor",
-        str(tmp_path), "r2", depth=2, trees=2,
+        str(tmp_path), "r2", trees=3,
     )
     missing = {r.x: r.n for r in out.groupBy("x").agg(F.count_if(F.col("tasmax").isNull()).alias("n")).collect()}
     assert missing == {0: 0, 1: 40}

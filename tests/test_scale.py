@@ -114,9 +114,10 @@ def cells(spark, n=240):
 @pytest.mark.parametrize(
     "learner,settings",
     [
-        ("RandomForestRegressor", {"trees": 5, "depth": 3}),
-        ("LGBMRegressor", {"rounds": 3, "depth": 2, "rate": 0.7}),
-        ("AdaBoostRegressor", {"rounds": 2, "depth": 3}),
+        ("RandomForestRegressor", {}),
+        ("LGBMRegressor", {}),
+        ("XGBRegressor", {}),
+        ("AdaBoostRegressor", {}),
     ],
 )
 def test_learners_beat_the_mean(spark, learner, settings):
@@ -126,7 +127,7 @@ def test_learners_beat_the_mean(spark, learner, settings):
     path = fresh_path(spark, "m")
     learning.save_models(models, path, "run")
     models = learning.load_models(spark, path, "run")
-    out = trees.predict(test, models, ["y", "x"], ["a", "b"], settings["depth"]).toPandas()
+    out = trees.predict(test, models, ["y", "x"], ["a", "b"]).toPandas()
     assert len(out) == 240 and out.predicted.notna().all()
     for _, part in out.groupby(["y", "x"]):
         error = ((part.predicted - part.truth) ** 2).mean()
@@ -135,21 +136,54 @@ def test_learners_beat_the_mean(spark, learner, settings):
 
 def test_one_tree_finds_the_step(spark):
     df = cells(spark).filter("y = 0 and x = 0")
-    models = trees.fit_boosted(df, ["y", "x"], ["a", "b"], "truth", "step", rounds=1, depth=1, rate=1.0, penalty=0.0)
-    tree = models.first().trees[0]
-    assert tree.split[1].feature == 0 and abs(abs(tree.leaf[3]) - 4) < 0.5
+    one = {"rounds": 1, "rate": 1.0, "limits": trees.Growth(depth=1)}
+    model = learning.fit_cells(df, ["y", "x"], ["a", "b"], "truth", "LGBMRegressor", "step", **one).first()
+    tree = np.frombuffer(model.trees[0], trees.NODE)
+    assert tree["feature"][0] == 0 and abs(tree["at"][0]) < 0.2
+    leaves = model.base + tree["value"][1:]
+    assert np.allclose(sorted(leaves), [-4, 4], atol=0.5)
+
+
+def test_limits_of_a_tree():
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(500, 3)), rng.normal(size=500)
+    data, ones, everything = trees.Binned(x, 40), np.ones(500), np.arange(3)
+    for limits in (trees.Growth(leaves=7), trees.Growth(depth=2), trees.Growth(min_rows=60)):
+        tree = trees.grow(data, y, ones, limits, everything)
+        leaf = tree["feature"] < 0
+        assert limits.leaves is None or leaf.sum() == limits.leaves
+        assert limits.depth is None or leaf.sum() <= 2**limits.depth
+        counts = np.unique(trees.applied(np.array([(n["feature"], n["left"], n["right"], n["at"], i) for i, n in enumerate(tree)], trees.NODE), x), return_counts=True)[1]
+        assert counts.min() >= limits.min_rows
+    full = trees.grow(trees.Binned(x, 1000), y, ones, trees.Growth(), everything)
+    assert np.allclose(trees.applied(full, x), y)
+    only = trees.grow(data, y, ones, trees.Growth(), np.array([1]))
+    assert set(only["feature"]) <= {-1, 1}
+    assert len(trees.grow(data, y, ones, trees.Growth(l1=1e9), everything)) == 1
+
+
+def test_boosting_stops_early():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 2))
+    y = x[:, 0] + rng.normal(size=300)
+    model = trees.boosted(x[:200], y[:200], rng, rounds=20_000, rate=0.1, valid=(x[200:], y[200:]), patience=20)
+    assert 1 <= len(model["trees"]) < 500
 
 
 def test_tune_scores_every_trial(spark):
-    df = cells(spark, 80)
-    trials = learning.tune(
-        df.filter("step < 60").withColumnRenamed("step", "time"),
-        df.filter("step >= 60").withColumnRenamed("step", "time"),
-        ["y", "x"], ["a", "b"], "truth", trials=3, rounds=1, max_depth=1,
-    ).collect()
-    assert sorted(t.number for t in trials) == [1, 2, 3]
-    assert all(t.cells == 4 and t.value > 0 for t in trials)
-    assert all(1 <= t.params_min_rows < 300 and t.params_depth == 1 for t in trials)
+    df = cells(spark, 120).withColumnRenamed("step", "time")
+    df = df.withColumn("part", F.when(F.col("time") < 90, "train").otherwise("valid"))
+    trials = learning.tune(df, ["y", "x"], ["a", "b"], "truth", trials=6, rounds=30, patience=10).collect()
+    assert sorted(t.number for t in trials) == [1, 2, 3, 4, 5, 6]
+    assert all(t.cells == 4 and t.value > 0 and t.rounds <= 30 for t in trials)
+    assert all(t.params_depth in learning.DEPTHS and t.params_rate in learning.RATES for t in trials)
+    assert all(1 <= t.params_num_leaves <= 1000 and 1 <= t.params_min_rows <= 300 for t in trials)
+
+
+def test_cross_validation_of_cells(spark):
+    df = cells(spark).withColumn("time", F.date_add(F.lit("2001-01-01").cast("date"), F.col("step")))
+    out = learning.cross_validate_cells(df, ["y", "x"], ["a", "b"], "truth", "LGBMRegressor", folds=10).collect()
+    assert len(out) == 4 and all(r.folds == 10 and 0 < r.rmse < 3 for r in out)
 
 
 def test_unknown_learner(spark):
@@ -157,17 +191,26 @@ def test_unknown_learner(spark):
         learning.fit_cells(cells(spark), ["y", "x"], ["a"], "truth", "Nope")
 
 
-def test_same_model_for_any_partitioning(spark):
+@pytest.mark.parametrize("learner", ["RandomForestRegressor", "LGBMRegressor", "XGBRegressor", "AdaBoostRegressor"])
+def test_same_model_for_any_partitioning(spark, learner):
     df = cells(spark, 60)
 
     def fit(frame):
-        models = trees.fit_forest(frame, ["y", "x"], ["a", "b"], "truth", "step", trees=3, depth=2)
-        out = trees.predict(df, models, ["y", "x"], ["a", "b"], 2)
+        models = learning.fit_cells(frame, ["y", "x"], ["a", "b"], "truth", learner, "step")
+        out = trees.predict(df, models, ["y", "x"], ["a", "b"])
         return [round(r.predicted, 9) for r in out.orderBy("y", "x", "step").collect()]
 
     assert fit(df.coalesce(1)) == fit(df.repartition(4))
 
 
+def test_missing_predictors_give_null(spark):
+    df = cells(spark, 40)
+    models = learning.fit_cells(df.filter("x = 0"), ["y", "x"], ["a", "b"], "truth", "LGBMRegressor", "step")
+    asked = df.withColumn("a", F.when(F.col("step") > 2, F.col("a")))
+    out = trees.predict(asked, models, ["y", "x"], ["a", "b"]).collect()
+    assert len(out) == 160 and all((r.predicted is None) == (r.step <= 2 or r.x == 1) for r in out)
+
+
 def test_ridge_against_numpy(spark):
     df = cells(spark)
     model = {(r.y, r.x): r.coef for r in linear.fit_ridge(df, ["y", "x"], ["a", "b"], "truth").collect()}
@@ -182,7 +225,7 @@ def test_gamma_model(spark):
     a = rng.uniform(0, 2, 400)
     y = np.exp(0.5 + 0.8 * a) * rng.gamma(50, 1 / 50, 400)
     df = spark.createDataFrame(pd.DataFrame({"g": 1, "a": a, "truth": y}))
-    coef = linear.fit_glm_cells(df, ["g"], ["a"], "truth", power=2, rounds=4).first().coef
+    coef = linear.fit_glm_cells(df, ["g"], ["a"], "truth", power=2, penalty=1e-9).first().coef
     assert abs(coef[0] - 0.8) < 0.05 and abs(coef[1] - 0.5) < 0.05
 
 

@@ -10,6 +10,7 @@ import importlib
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -23,6 +24,7 @@ def session() -> SparkSession:
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-"))
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
