@@ -3,7 +3,8 @@
 Spark deals the rows by the models' keys (a cell) and fits all models side by side; a model's rows are
 one cell's series, bounded by the time axis and the members, so a group is small however large the
 grid. Trees grow leaf by leaf, the best gain first, on histograms over at most `bins` values of each
-predictor; limits are the number of leaves, the depth and the rows of a leaf, and either may be open.
+predictor; limits are the number of leaves, the depth and the rows of a leaf, and each may be open. The
+trees of a forest, which don't wait for each other, grow together level by level.
 Random forest, gradient boosting and AdaBoost.R2 differ in what they draw and weigh.
 
 Rows are put in order before anything is drawn and the draws depend on the model's keys, so a model
@@ -107,6 +108,67 @@ def grow(data: Binned, target: np.ndarray, weight: np.ndarray, limits: Growth, f
     return np.array([tuple(n) for n in nodes], NODE)
 
 
+def grow_together(data: Binned, target: np.ndarray, weights: np.ndarray, limits: Growth) -> list[np.ndarray]:
+    """Many trees at once (a row of `weights` each), level by level, without a limit on leaves.
+
+    All open nodes of all trees are cut in one pass per predictor: rows are sorted by node and bin, and
+    running sums inside a node give the gain of each cut.
+    """
+    tree, row = np.nonzero(weights > 0)
+    mass, moment = weights[tree, row], weights[tree, row] * target[row]
+    node = tree.copy()  # number among the open nodes of this level
+    owner = np.arange(len(weights))  # tree of each open node
+    codes = data.codes - np.arange(data.codes.shape[1]) * data.width
+    levels, first, depth = [], 0, 0
+    while len(owner):
+        k = len(owner)
+        w, s = np.bincount(node, mass, k), np.bincount(node, moment, k)
+        gain, feature, cut = np.full(k, 1e-9), np.full(k, -1), np.zeros(k, int)
+        base = shrunk(s, limits.l1) ** 2 / np.maximum(w + limits.l2, 1e-12)
+        for f in range(codes.shape[1] if limits.depth is None or depth < limits.depth else 0):
+            code = codes[row, f]
+            order = np.argsort(node * data.width + code, kind="stable")
+            of, at = node[order], code[order]
+            wl, sl = np.cumsum(mass[order]), np.cumsum(moment[order])
+            begin = np.searchsorted(of, np.arange(k))
+            before = lambda total, begin=begin: np.where(begin > 0, total[begin - 1], 0.0)
+            wl, sl = wl - before(wl)[of], sl - before(sl)[of]
+            wr, sr = w[of] - wl, s[of] - sl
+            last = np.append((of[1:] != of[:-1]) | (at[1:] != at[:-1]), True)
+            fits = np.flatnonzero(last & (wl >= limits.min_rows) & (wr >= limits.min_rows) & (wr > 1e-9))
+            if not len(fits):
+                continue
+            own = shrunk(sl[fits], limits.l1) ** 2 / np.maximum(wl[fits] + limits.l2, 1e-12)
+            own += shrunk(sr[fits], limits.l1) ** 2 / np.maximum(wr[fits] + limits.l2, 1e-12)
+            own = np.round(own - base[of[fits]], 9)
+            best = np.lexsort((np.arange(len(fits)), -own, of[fits]))
+            best = best[np.append(True, np.diff(of[fits][best]) != 0)]
+            where = of[fits][best]
+            better = own[best] > gain[where]
+            gain[where[better]], feature[where[better]], cut[where[better]] = own[best][better], f, at[fits][best][better]
+        split = feature >= 0
+        left = first + k + 2 * (np.cumsum(split) - 1)
+        table = np.zeros(k, NODE)
+        table["feature"], table["value"] = feature, shrunk(s, limits.l1) / np.maximum(w + limits.l2, 1e-12)
+        table["left"], table["right"] = np.where(split, left, -1), np.where(split, left + 1, -1)
+        table["at"] = [data.cuts[f][c] if f >= 0 else 0.0 for f, c in zip(feature, cut, strict=True)]
+        levels.append((owner, table))
+        going = split[node]
+        row, node, mass, moment = row[going], node[going], mass[going], moment[going]
+        right = codes[row, feature[node]] > cut[node] if len(row) else np.zeros(0, bool)
+        node = left[node] - first - k + right
+        owner, first, depth = np.repeat(owner[split], 2), first + k, depth + 1
+    owner, table = np.concatenate([o for o, _ in levels]), np.concatenate([t for _, t in levels])
+    out = []
+    for t in range(len(weights)):
+        own = np.flatnonzero(owner == t)
+        nodes = table[own].copy()
+        for side in ("left", "right"):
+            nodes[side] = np.where(nodes["feature"] >= 0, np.searchsorted(own, nodes[side]), -1)
+        out.append(nodes)
+    return out
+
+
 def applied(tree: np.ndarray, x: np.ndarray) -> np.ndarray:
     """The value of the leaf each row falls into."""
     at = np.zeros(len(x), np.int64)
@@ -120,10 +182,8 @@ def applied(tree: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def forest(x, y, draw: np.random.Generator, trees: int = 100, limits: Growth = Growth()) -> dict:
     """Bootstrapped trees on all predictors; the prediction is their mean."""
-    data, everything = Binned(x, limits.bins), np.arange(x.shape[1])
-    grown = [
-        grow(data, y, np.bincount(draw.integers(0, len(y), len(y)), minlength=len(y)).astype(float), limits, everything) for _ in range(trees)
-    ]
+    counts = np.stack([np.bincount(draw.integers(0, len(y), len(y)), minlength=len(y)) for _ in range(trees)]).astype(float)
+    grown = grow_together(Binned(x, limits.bins), y, counts, limits)
     return {"kind": "forest", "base": 0.0, "rate": 1.0 / trees, "trees": grown, "votes": []}
 
 

@@ -162,6 +162,17 @@ def test_limits_of_a_tree():
     assert len(trees.grow(data, y, ones, trees.Growth(l1=1e9), everything)) == 1
 
 
+def test_trees_that_grow_together_equal_single_ones():
+    rng = np.random.default_rng(8)
+    x, y = np.round(rng.normal(size=(200, 3)), 1), rng.normal(size=200)
+    data, weights = trees.Binned(x, 30), rng.integers(0, 3, size=(5, 200)).astype(float)
+    for limits in (trees.Growth(), trees.Growth(depth=3, min_rows=9.0), trees.Growth(l1=0.5, l2=1.0)):
+        together = trees.grow_together(data, y, weights, limits)
+        for tree, weight in zip(together, weights, strict=True):
+            single = trees.grow(data, y, weight, limits, np.arange(3))
+            assert len(single) == len(tree) and np.allclose(trees.applied(single, x), trees.applied(tree, x))
+
+
 def test_boosting_stops_early():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(300, 2))
