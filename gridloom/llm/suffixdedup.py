@@ -17,8 +17,8 @@ bytes, those with the least hash are its anchors. Equal strings have equal ancho
 * Anchors with more than `hot` occurrences (a passage in a third of all documents) don't go to one
   task: each of their strings becomes a row, and equal rows are counted over the cluster.
 
-Small tables (positions, ranges) are broadcast below a checked size and shuffled above it, so text
-itself moves only when they are large. Strings are judged on the input, not on what is left.
+Text is shuffled twice, to meet its anchors' positions and to meet its ranges, and otherwise stays where
+it is read; the same plan runs at every size. Strings are judged on the input, not on what is left.
 
 Defined results: a null or empty text has no bytes and loses none; texts shorter than `length` stay;
 repeated rows are each other's copies; matches never cross documents; an empty table gives no row.
@@ -33,10 +33,9 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import hashing as H
 from gridloom.llm.batches import lists, over_texts, packed, raw, rows_from_texts
-from gridloom.sources.workspace import stored
+from gridloom.sources.workspace import discard, stored
 
 LENGTH, BATCHES, HOT = 400, 4, 20_000
-BROADCAST_ROWS = 1_000_000
 CHUNK_ROWS = 4096
 
 
@@ -50,12 +49,6 @@ def document_key(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def small_side(table: DataFrame, weight=None) -> DataFrame:
-    """The (stored) table with a broadcast hint if its rows, or the summed weight, are within the bound."""
-    size = table.agg(F.count(F.lit(1)) if weight is None else F.coalesce(F.sum(weight) + F.count(F.lit(1)), F.lit(0))).first()[0]
-    return F.broadcast(table) if size <= BROADCAST_ROWS else table
-
-
 # ---------------------------------------------------------------------------- anchors
 
 
@@ -98,39 +91,50 @@ class Levels:
     def _written(self, rows: DataFrame) -> DataFrame:
         return stored(rows.groupBy("hash").agg(F.sum("n").alias("n")).sortWithinPartitions("hash"), "level")
 
-    def add(self, batch: DataFrame) -> None:
-        """Adds a batch of suffixes (hash) as a level and merges equal sizes."""
-        size, table = 1, self._written(batch.select("hash", F.lit(1).cast("long").alias("n")))
-        while self.levels and self.levels[-1][0] <= size:
-            below_size, below = self.levels.pop()
-            size, table = size + below_size, self._written(below.unionByName(table))
-        self.levels.append((size, table))
+    def written(self, batch: DataFrame) -> DataFrame:
+        """A batch of suffixes (hash) as a level of its own."""
+        return self._written(batch.select("hash", F.lit(1).cast("long").alias("n")))
 
-    def scan(self, batch: DataFrame) -> DataFrame:
-        """Hashes of the batch that a level has, or that it has twice itself."""
-        own = batch.groupBy("hash").count()
-        shared = own.where("count > 1").select("hash")
+    def scan(self, own: DataFrame) -> DataFrame:
+        """Hashes of a written batch that a level has, or that it has twice itself."""
+        shared = own.where("n > 1").select("hash")
         for _, level in self.levels:
             shared = shared.unionByName(own.select("hash").join(level.select("hash"), "hash", "left_semi"))
         return shared
 
+    def add(self, own: DataFrame) -> None:
+        """Adds a written batch as a level and merges equal sizes; what a merge has read is deleted."""
+        size, table = 1, own
+        while self.levels and self.levels[-1][0] <= size:
+            below_size, below = self.levels.pop()
+            both = self._written(below.unionByName(table))
+            discard(below)
+            discard(table)
+            size, table = size + below_size, both
+        self.levels.append((size, table))
+
     def counts(self) -> DataFrame:
         rows = self.levels[0][1]
         for _, level in self.levels[1:]:
             rows = rows.unionByName(level)
-        return rows.groupBy("hash").agg(F.sum("n").alias("n"))
+        return rows.groupBy("hash").agg(F.sum("n").alias("n")) if len(self.levels) > 1 else rows
 
 
 def repeated_anchors(index: DataFrame, batches: int) -> DataFrame:
-    """hash, n: anchors that stand at two places or more."""
+    """hash, n: anchors that stand at two places or more (stored)."""
     levels = Levels(index.sparkSession)
-    shared = None
+    hits = []
     for batch in range(batches):
-        own = index.where(F.col("batch") == batch).select(F.explode("hashes").alias("hash"))
-        hits = stored(levels.scan(own), "matches")
-        shared = hits if shared is None else shared.unionByName(hits)
+        own = levels.written(index.where(F.col("batch") == batch).select(F.explode("hashes").alias("hash")))
+        hits.append(stored(levels.scan(own), "matches"))
         levels.add(own)
-    return levels.counts().join(shared.distinct(), "hash", "left_semi")
+    shared = hits[0]
+    for more in hits[1:]:
+        shared = shared.unionByName(more)
+    repeated = stored(levels.counts().join(shared.distinct(), "hash", "left_semi"), "repeated")
+    for table in [*hits, *(level for _, level in levels.levels)]:
+        discard(table)
+    return repeated
 
 
 # ---------------------------------------------------------------------------- contexts
@@ -171,7 +175,7 @@ def contexts(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
             pa.array(right, pa.binary()),
         ]
 
-    wanted = document_key(docs).join(small_side(places, F.size("places")), ["id_key", "text_key"])
+    wanted = document_key(docs).join(places, ["id_key", "text_key"])
     schema = "id_key long, text_key long, at int, hash long, context long, n long, left binary, right binary"
     return rows_from_texts(wanted, found, schema, ["id_key", "text_key", "places"])
 
@@ -297,7 +301,7 @@ def strings_of(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
         take = pa.array(of)
         return [batch.column(0).take(take), batch.column(1).take(take), pa.array(start, pa.int32()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))]
 
-    wanted = document_key(docs).join(small_side(places, F.size("places")), ["id_key", "text_key"])
+    wanted = document_key(docs).join(places, ["id_key", "text_key"])
     return rows_from_texts(wanted, found, "id_key long, text_key long, start int, one long, two long", ["id_key", "text_key", "places"])
 
 
@@ -317,17 +321,19 @@ def merged(spans: list[list[int]] | None) -> list[tuple[int, int]]:
 def spans_of(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES, hot: int = HOT) -> DataFrame:
     """id_key, text_key, spans: byte ranges [start, end) covered by repeated strings (not yet merged)."""
     index = stored(indexed(docs, length, batches), "index")
-    repeated = stored(repeated_anchors(index, batches), "repeated")
+    repeated = repeated_anchors(index, batches)
     place = index.select("id_key", "text_key", F.explode(F.arrays_zip("at", "hashes")).alias("x"))
-    met = place.select("id_key", "text_key", F.col("x.at").alias("at"), F.col("x.hashes").alias("hash")).join(small_side(repeated), "hash")
+    met = place.select("id_key", "text_key", F.col("x.at").alias("at"), F.col("x.hashes").alias("hash")).join(repeated, "hash")
     by_document = stored(
         met.groupBy("id_key", "text_key", (F.col("n") > hot).alias("hot")).agg(F.array_sort(F.collect_set("at")).alias("places")), "places"
     )
+    discard(index)
+    discard(repeated)
     usual, common = (by_document.where(c).select("id_key", "text_key", "places") for c in ("not hot", "hot"))
     found = stored(contexts(docs, usual, length), "contexts")
     runs = stored(compared(found, length), "runs")
     o = F.explode(F.expr("transform(sequence(0, size(runs) - 2, 2), i -> struct(runs[i] as low, runs[i + 1] as high))"))
-    met = found.select("id_key", "text_key", "at", "hash", "context").join(small_side(runs, F.size("runs")), ["hash", "context"])
+    met = found.select("id_key", "text_key", "at", "hash", "context").join(runs, ["hash", "context"])
     spans = met.select("id_key", "text_key", "at", o.alias("o")).select(
         "id_key", "text_key", F.array((F.col("at") - F.col("o.high")), (F.col("at") - F.col("o.low") + length)).alias("span")
     )
@@ -341,7 +347,7 @@ def spans_of(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES, hot:
 
 def dedup(docs: DataFrame, keep: list[str], length: int = LENGTH, batches: int = BATCHES, hot: int = HOT) -> DataFrame:
     """Per document: row, n_bytes, removed (maximal runs as [start, end)), kept (the bytes left)."""
-    spans = small_side(stored(spans_of(docs, length, batches, hot), "spans"), 4 * F.size("spans"))
+    spans = stored(spans_of(docs, length, batches, hot), "spans")
     keyed = document_key(docs, F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")).join(spans, ["id_key", "text_key"], "left")
 
     def cut(batch: pa.RecordBatch, texts: pa.Array) -> list:
