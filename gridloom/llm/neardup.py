@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import hashing as H
 from gridloom.llm.batches import lists, over_texts, packed
-from gridloom.sources.workspace import stored
+from gridloom.sources.workspace import discard, stored
 
 TREES, DEPTH = 24, 5
 REGION_ROWS, GROUP_ROWS, GROUP_SHINGLES = 2000, 4000, 4 << 20
@@ -195,20 +195,26 @@ def neighbours(classes: DataFrame, depth: int, region_rows: int, near: float) ->
 # ---------------------------------------------------------------------------- components
 
 
+def bounded(table: DataFrame, links: DataFrame) -> DataFrame:
+    """A row per node, broadcast where the (stored) links are few; else shuffled, with hubs split by the planner."""
+    return F.broadcast(table) if links.count() <= BROADCAST_ROWS else table
+
+
 def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     """node, label (smallest node of its component) by alternating large-star and small-star steps."""
     now = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(bounded(least, now), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         lowest = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
+        small = down.join(bounded(lowest, now), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
         after = stored(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
         # settled when every node has one link and no root is itself linked downwards
         open_nodes = after.select(F.col("v").alias("u")).distinct().join(after.select("u").distinct(), "u", "left_semi")
         many = after.groupBy("u").count().where("count > 1").select("u")
+        discard(now)
         now = after
         if not open_nodes.unionByName(many).take(1):
             break
