@@ -182,7 +182,7 @@ def moments(rows: DataFrame) -> DataFrame:
 
 def start(rows: DataFrame) -> DataFrame:
     """Medians and median absolute deviations: a robust first centre and a diagonal spread."""
-    centre = rows.groupBy("cell").agg(*[F.expr(f"percentile(x{i}, 0.5)").alias(f"m{i}") for i in range(SIZE)])
+    centre = stored(rows.groupBy("cell").agg(*[F.expr(f"percentile(x{i}, 0.5)").alias(f"m{i}") for i in range(SIZE)]), "mcd")
     spread = rows.join(centre, "cell").groupBy("cell").agg(
         *[F.first(f"m{i}").alias(f"m{i}") for i in range(SIZE)],
         *[F.expr(f"percentile(round(abs(x{i} - m{i}) * {GRID}) / {GRID}, 0.5)").alias(f"d{i}") for i in range(SIZE)],
@@ -197,7 +197,8 @@ def estimates(rows: DataFrame, share: float = SHARE) -> DataFrame:
     scale = consistency(share)
     for _ in range(MAX_STEPS):
         near = rows.join(now, "cell").withColumn("d", F.round(F.log1p(distance()) * GRID) / GRID)
-        limit = near.groupBy("cell").agg(F.expr(f"percentile(d, {share})").alias("limit"))
+        # stored, so that the planner knows it is a row per cell and leaves the documents where they are
+        limit = stored(near.groupBy("cell").agg(F.expr(f"percentile(d, {share})").alias("limit")), "mcd")
         kept = near.select("cell", "d", *[f"x{i}" for i in range(SIZE)]).join(limit, "cell").where("d <= limit")
         after = stored(factored(moments(kept), scale), "mcd")
         change = after.join(now.select("cell", F.col("log_det").alias("was")), "cell").agg(F.max(F.abs(F.col("log_det") - F.col("was"))))
@@ -229,13 +230,13 @@ def judged(docs: DataFrame, keep: list[str], tail: float = CUTOFF_TAIL, min_rows
         F.when(F.col("n2") >= min_rows, name(levels[0])).when(F.col("n1") >= min_rows, name(levels[1])).otherwise(coarse).alias("cell"),
     )
     cells = stored(cells, "cells")
-    used = cells.select("cell").distinct()
+    used = stored(cells.select("cell").distinct(), "cells")
     rows = None
     for cols in levels:
         part = sound.withColumn("cell", name(cols)).join(used, "cell", "left_semi").select("cell", *[f"x{i}" for i in range(SIZE)])
         rows = part if rows is None else rows.unionByName(part)
     fitted = estimates(rows)
-    by_cell = cells.join(fitted, "cell", "left").drop("cell", "log_det")
+    by_cell = stored(cells.join(fitted, "cell", "left").drop("cell", "log_det"), "cells")
     out = table.join(by_cell, ["cell_lang", "cell_source"], "left").withColumn("distance", distance())
     far = F.coalesce(F.col("distance") > chi_square(1 - tail, SIZE), F.lit(False))
     return out.select(
