@@ -94,14 +94,16 @@ def time_range(df: DataFrame) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
-    """Pearson correlation of every pair below the diagonal, pairwise complete, in one pass."""
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[:i]]
-    row = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    cells = [
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("r"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return row.select(F.explode(F.array(*cells)).alias("_e")).select("_e.*")
+    """Pearson correlation of every pair below the diagonal, pairwise complete, in one pass.
+
+    A row becomes its pairs, which are summed up on the map side; the plan doesn't grow with their number.
+    """
+    pairs = [(i, j) for i in range(len(features)) for j in range(i)]
+    place = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])).alias("at")
+    values = df.select(F.array(*[F.col(f).cast("double") for f in features]).alias("v"), place)
+    names = F.array(*[F.lit(f) for f in features])
+    matrix = values.groupBy("at").agg(F.corr(F.get("v", F.col("at.i")), F.get("v", F.col("at.j"))).alias("r"))
+    return matrix.select(F.get(names, F.col("at.i")).alias("a"), F.get(names, F.col("at.j")).alias("b"), "r")
 
 
 def box_stats(df: DataFrame, keys: list[str], value: str, reach: float = 1.5) -> DataFrame:

@@ -139,12 +139,9 @@ _F = tables.FEATURES
 
 @query(
     "correlation_matrix",
-    f"with {EMB} "
-    + " union all ".join(
-        f"select '{a}' as a, '{b}' as b, {r(f'corr({a}, {b})')} as r from emb"
-        for i, a in enumerate(_F)
-        for b in _F[:i]
-    ),
+    f"""with {EMB}, long as ({" union all ".join(f"select vec_id, {i} as i, '{f}' as f, {f} as v from emb" for i, f in enumerate(_F))})
+      select p.f as a, q.f as b, {r('corr(p.v, q.v)')} as r from long p join long q on p.vec_id = q.vec_id and q.i < p.i
+      group by p.f, q.f""",
 )
 def correlation_matrix(spark, sf):
     return aggregate.correlation_matrix(tables.emb(spark, sf), _F)

@@ -125,6 +125,6 @@ LEAD = """lead_t as (
 
 EMB = (
     "emb as (select vec_id, label, "
-    + ", ".join(f"cast(embedding[{i + 1}] as double) as f{i}" for i in range(8))
+    + ", ".join(f"cast(embedding[{i + 1}] as double) as f{i}" for i in range(64))
     + " from embeddings)"
 )

@@ -142,11 +142,11 @@ def lead(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-FEATURES = [f"f{i}" for i in range(8)]
+FEATURES = [f"f{i}" for i in range(64)]
 
 
 def emb(spark: SparkSession, sf: str) -> DataFrame:
-    """Feature matrix: the first eight entries of every embedding."""
+    """Feature matrix: all entries of every embedding."""
     return read(spark, sf, "embeddings").select(
         "vec_id",
         "label",
