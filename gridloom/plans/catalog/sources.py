@@ -10,27 +10,25 @@ from gridloom.plans.catalog.base import DEM, PAIR, SUB, d, query, r
 from gridloom.sources import files, tables
 from gridloom.sources.workspace import fresh_path, stored
 
-_DATES = T.StructType(
-    [
-        T.StructField("l_shipdate", T.TimestampNTZType()),
-        T.StructField("o_orderdate", T.TimestampNTZType()),
-    ]
-)
+_DATES = T.StructType([T.StructField("day", T.TimestampNTZType())])
 
 
 @query(
     "scan_files",
-    """select source, year, count(*) as n, cast(0 as int) as file_year from (
+    """select source, year, count(*) as n, year as file_year from (
       select 'lineitem' as source, cast(year(l_shipdate) as int) as year from lineitem
       union all select 'orders', cast(year(o_orderdate) as int) from orders) group by 1, 2""",
 )
 def scan_files(spark, sf):
-    found = files.scan_files(spark, sf, r"/(lineitem|orders)\.parquet", _DATES)
-    when = F.coalesce("l_shipdate", "o_orderdate")
-    name = F.regexp_extract("file", r"/(lineitem|orders)\.parquet", 1)
-    return found.groupBy(name.alias("source"), F.year(when).alias("year")).agg(
-        F.count(F.lit(1)).alias("n"), F.lit(0).alias("file_year")
-    )
+    """Files with source and year in their names are written, searched and read again."""
+    lines = tables.read(spark, sf, "lineitem").select(F.lit("lineitem").alias("source"), F.col("l_shipdate").alias("day"))
+    orders = tables.read(spark, sf, "orders").select(F.lit("orders").alias("source"), F.col("o_orderdate").alias("day"))
+    path = fresh_path(spark, "files")
+    named = lines.unionByName(orders).select("day", F.concat_ws("_", "source", F.year("day")).alias("set"))
+    named.hint("rebalance", "set").write.partitionBy("set").parquet(path)
+    found = files.scan_files(spark, path, r"/set=(lineitem|orders)_\d{4}/", _DATES, years=(1900, 2099))
+    source = F.regexp_extract("file", r"/set=(lineitem|orders)_\d{4}/", 1)
+    return found.groupBy(source.alias("source"), F.year("day").alias("year"), "file_year").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -38,9 +36,11 @@ def scan_files(spark, sf):
     f"with {PAIR} select {d('time')} as time, y, x, {r('truth')} as truth, {r('pred')} as pred from pair",
 )
 def concat_years(spark, sf):
-    early = tables.pair(spark, sf, end="1998-01-01")
-    late = tables.pair(spark, sf, start="1998-01-01")
-    return files.concat_time(early, late).select("time", "y", "x", "truth", "pred")
+    """The cube is written in two parts, which are read back as one."""
+    parts = [fresh_path(spark, "years") for _ in range(2)]
+    tables.pair(spark, sf, end="1998-01-01").write.parquet(parts[0])
+    tables.pair(spark, sf, start="1998-01-01").write.parquet(parts[1])
+    return files.read_years(spark, parts).select("time", "y", "x", "truth", "pred")
 
 
 @query(
@@ -91,9 +91,11 @@ def level_concat(spark, sf):
       union all select {d('time')}, y, x, 'refe', {r('refe')} from pair""",
 )
 def variable_split(spark, sf):
-    return files.split_variables(
-        tables.pair(spark, sf), ["time", "y", "x"], ["truth", "pred", "refe"]
-    )
+    """One folder per variable is written and read back."""
+    long = files.split_variables(tables.pair(spark, sf), ["time", "y", "x"], ["truth", "pred", "refe"])
+    path = fresh_path(spark, "variables")
+    files.write_variables(long, path, by=("variable",))
+    return spark.read.parquet(path).select("time", "y", "x", "variable", "value")
 
 
 @query(

@@ -19,13 +19,14 @@ def scan_files(
 ) -> DataFrame:
     """Read every file below `folder` whose path matches a regular expression.
 
-    Adds `file` (path) and `file_year` (last four-digit year in the path, 0 if
-    none). The path test prunes files before they are opened.
+    Adds `file` (path) and `file_year` (last four-digit year in the part of the
+    path that the pattern matches, 0 if none). The path test prunes files before
+    they are opened.
     """
     path = F.col("_metadata.file_path")
     year = F.coalesce(
         F.try_to_number(
-            F.regexp_extract(path, r".*(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)", 1), F.lit("9999")
+            F.regexp_extract(F.regexp_extract(path, pattern, 0), r".*(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)", 1), F.lit("9999")
         ).cast("int"),
         F.lit(0),
     )
