@@ -49,7 +49,8 @@ def quantile_map(
 
     All three frames hold `value`. The `modified` form also rescales by the
     ratio of medians and of interquartile ranges. `width` is the span of
-    values ranked by one task.
+    values ranked by one task. Missing values and cells without calibration
+    stay, with a NULL correction.
     """
     keys = keys or ["y", "x"]
     known_obs = obs.filter(F.col(value).isNotNull())
@@ -70,6 +71,9 @@ def quantile_map(
         merged, keys, [value], value_chunk(value, width), F.col("_is_mod"), "_below", peers=True
     ).filter("_is_mod = 0")
     placed = attach(placed, summary(known_mod, "mod").join(summary(known_obs, "obs"), keys), keys)
+    missing = F.lit(None).cast("double").alias("corrected")
+    unknown = scenario.filter(F.col(value).isNull()).select(*scenario.columns, missing)
+    unknown = unknown.unionByName(placed.filter(F.col("_n_mod").isNull()).select(*scenario.columns, missing))
     placed = placed.filter(F.col("_n_mod").isNotNull())
     placed = placed.withColumn("_p", F.col("_below") / F.col("_n_mod"))
     for name, df in (("obs", known_obs), ("mod", known_mod)):
@@ -82,4 +86,5 @@ def quantile_map(
         g = F.try_divide(q_obs[1], q_mod[1])
         f = F.try_divide(q_obs[2] - q_obs[0], q_mod[2] - q_mod[0])
         shift = g * middle + f * (shift - middle)
-    return placed.withColumn("corrected", F.col(value) + shift).select(*scenario.columns, "corrected")
+    mapped = placed.withColumn("corrected", F.col(value) + shift).select(*scenario.columns, "corrected")
+    return mapped.unionByName(unknown)

@@ -31,15 +31,12 @@ def kmeans_regions(
     df: DataFrame, features: list[str], k: int, valid: str | None = None, seed: int = 0
 ) -> DataFrame:
     """k-means label per row; missing features count as a sentinel, rows without `valid` get none."""
-    filled = fill_sentinel(df, features)
+    known = F.col(valid).isNotNull() if valid else F.lit(True)
+    filled = fill_sentinel(df.withColumn("_known", known), features)
     vectors = VectorAssembler(inputCols=features, outputCol="_f").transform(filled)
     model = KMeans(k=k, seed=seed, featuresCol="_f", predictionCol="region").fit(vectors)
-    out = model.transform(vectors).drop("_f")
-    if valid:
-        known = df.filter(F.col(valid).isNotNull())
-        keys = [c for c in df.columns if c not in features]
-        out = out.join(known.select(*keys), keys, "left_semi")
-    return out
+    out = model.transform(vectors).withColumn("region", F.when(F.col("_known"), F.col("region")))
+    return out.drop("_f", "_known")
 
 
 def kmeans_assign(df: DataFrame, centroids: DataFrame, features: list[str], label: str = "region") -> DataFrame:

@@ -254,3 +254,20 @@ def test_sampling_is_reproducible(spark):
     assert a == b and len(a) == 16
     drawn = splitting.sample_cells_repeat(df, 5).collect()
     assert sorted((r.iy, r.ix) for r in drawn) == sorted(product(range(1, 6), range(1, 6)))
+
+
+def test_quantile_map_keeps_every_row(spark):
+    from gridloom.operators import bias
+
+    frame = lambda rows: spark.createDataFrame(rows, "y int, x int, value double")
+    calib = frame([(0, 0, float(v)) for v in range(10)])
+    later = frame([(0, 0, 3.0), (0, 0, None), (5, 5, 1.0)])
+    out = bias.quantile_map(calib, calib, later, "value").collect()
+    assert sorted((r.y, r.value or -1, r.corrected) for r in out if r.corrected is not None) == [(0, 3.0, 3.0)]
+    assert len(out) == 3 and sum(r.corrected is None for r in out) == 2
+
+
+def test_kmeans_keeps_cells_that_are_not_valid(spark):
+    df = spark.createDataFrame([(i, float(i % 2), None if i == 3 else 1.0) for i in range(8)], "i int, a double, ok double")
+    out = {r.i: r.region for r in regions.kmeans_regions(df, ["a"], 2, valid="ok").collect()}
+    assert len(out) == 8 and out[3] is None and out[0] != out[1]
