@@ -157,3 +157,34 @@ def op10_substring_dedup(spark, sf_dir):
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"""regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+
+SQL["op2_decontaminate"] = f"""
+with w as (select doc_id, {_WORDS} as ws from documents),
+b as (select item_id, {_WORDS} as ws from benchmark),
+p as (
+  select distinct item_id, n, array_to_string(ws[i:i + n - 1], ' ') as g
+  from (select item_id, ws, least(13, len(ws)) as n, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) as i from b where len(ws) > 0)),
+d as (
+  select doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') as g
+  from (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) as i from w, (select distinct n from p) where len(ws) >= n)),
+hits as (select distinct doc_id, i, n, item_id from d join p using (n, g)),
+h as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + n)) as j from hits) group by 1),
+m as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+  from (select distinct doc_id, cast(item_id as varchar) as item from hits) group by 1)
+select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
+from w left join h using (doc_id) left join m using (doc_id)"""
+
+SQL["op8_line_dedup"] = f"""
+with t as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+l as (select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as i from t),
+k as (select *, {_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} as key from l),
+f as (select key from k where length(key) >= 1 group by key having count(distinct doc_id) >= 10)
+select doc_id, count(*) as n_lines, count(*) filter (key in (select key from f)) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (key not in (select key from f)), '')) as kept_sha256
+from k group by doc_id"""
