@@ -27,7 +27,9 @@ HEADLINE = [
     "pearson_total", "extreme_skill", "wet_day_freq_skipna", "model_vs_reference", "crps",
     "crps_box_month", "spread_error_mse", "rps_terciles", "rank_histogram", "qm_basic",
     "split_stratified", "split_timeseries", "fit_predict_cells_linear", "fit_predict_ensemble",
-    "cv_rmse_cells", "single_vs_multi", "kmeans_assign", "cluster_profile",
+    "cv_rmse_cells", "single_vs_multi", "kmeans_assign", "cluster_profile", "dbscan_regions", "kmeans_regions",
+    "fit_predict_cells", "fit_predict_cells_boosted", "fit_predict_cells_levelwise", "fit_predict_cells_adaboost",
+    "cv_rmse_cells_boosted",
 ]
 
 
