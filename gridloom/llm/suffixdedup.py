@@ -17,8 +17,8 @@ bytes, those with the least hash are its anchors. Equal strings have equal ancho
 * Anchors with more than `hot` occurrences (a passage in a third of all documents) don't go to one
   task: each of their strings becomes a row, and equal rows are counted over the cluster.
 
-Text is shuffled twice, to meet its anchors' positions and to meet its ranges, and otherwise stays where
-it is read; the same plan runs at every size. Strings are judged on the input, not on what is left.
+Text is shuffled once, to meet its anchors' positions, and a second time, to meet its ranges, only where
+those are too many to be broadcast. Strings are judged on the input, not on what is left.
 
 Defined results: a null or empty text has no bytes and loses none; texts shorter than `length` stay;
 repeated rows are each other's copies; matches never cross documents; an empty table gives no row.
@@ -37,6 +37,7 @@ from gridloom.sources.workspace import discard, stored
 
 LENGTH, BATCHES, HOT = 400, 4, 20_000
 CHUNK_ROWS = 4096
+BROADCAST_SPANS = 1_000_000  # documents with removals and their ranges, some 40 MB
 
 
 def document_key(docs: DataFrame, *more: str) -> DataFrame:
@@ -319,7 +320,7 @@ def merged(spans: list[list[int]] | None) -> list[tuple[int, int]]:
 
 
 def spans_of(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES, hot: int = HOT) -> DataFrame:
-    """id_key, text_key, spans: byte ranges [start, end) covered by repeated strings (not yet merged)."""
+    """id_key, text_key, spans: maximal byte ranges [start, end) covered by repeated strings, of the documents that have any."""
     index = stored(indexed(docs, length, batches), "index")
     repeated = repeated_anchors(index, batches)
     place = index.select("id_key", "text_key", F.explode(F.arrays_zip("at", "hashes")).alias("x"))
@@ -342,25 +343,34 @@ def spans_of(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES, hot:
         twice = strings.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("one", "two")
         again = strings.join(stored(twice, "twice"), ["one", "two"])
         spans = spans.unionByName(again.select("id_key", "text_key", F.array("start", F.col("start") + length).alias("span")))
-    return spans.groupBy("id_key", "text_key").agg(F.collect_set("span").alias("spans"))
+    collected = spans.groupBy("id_key", "text_key").agg(F.collect_set("span").alias("spans"))
+
+    def joined(batches):
+        for batch in batches:
+            runs = [[list(x) for x in merged(own)] for own in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(runs, pa.list_(pa.list_(pa.int64())))], names=["id_key", "text_key", "spans"])
+
+    return collected.mapInArrow(joined, "id_key long, text_key long, spans array<array<long>>")
 
 
 def dedup(docs: DataFrame, keep: list[str], length: int = LENGTH, batches: int = BATCHES, hot: int = HOT) -> DataFrame:
     """Per document: row, n_bytes, removed (maximal runs as [start, end)), kept (the bytes left)."""
     spans = stored(spans_of(docs, length, batches, hot), "spans")
+    size = spans.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
+    spans = F.broadcast(spans) if size <= BROADCAST_SPANS else spans
     keyed = document_key(docs, F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")).join(spans, ["id_key", "text_key"], "left")
 
     def cut(batch: pa.RecordBatch, texts: pa.Array) -> list:
         sizes, removed, kept = [], [], []
         for text, own in zip(raw(texts), batch.column(1).to_pylist(), strict=True):
-            gone = merged(own)
+            gone = own or []
             at, left = 0, []
             for a, b in gone:
                 left.append(text[at:a])
                 at = b
             left.append(text[at:])
             sizes.append(len(text))
-            removed.append([list(x) for x in gone])
+            removed.append(gone)
             kept.append(b"".join(left))
         return [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())]
 
