@@ -2,8 +2,9 @@
 
 The standard library's parser turns a page into lines: a line is the text between two block borders,
 with its white space collapsed, the number of tags met in it, and the element it stands in. Lines in
-elements that never hold an article (menus, footers, forms, scripts, adverts by their class, ...) have
-no text to count. Each line's ratio is its characters over its tags; the ratios are smoothed with a
+elements that never hold an article (menus, footers, scripts, ...) have no text to count. Forms and
+elements with a whole class name or id of CHROME (adverts, comments, ...) have none either, unless they
+hold a main or an article (on a page without these: most of the page's text), known once the page is read. Each line's ratio is its characters over its tags; the ratios are smoothed with a
 Gaussian kernel and split by a two-cluster threshold, which gives the content regions. The element
 that holds most of the regions' text is the article: all its lines are kept, short ones as well, in
 page order, so that a one-word paragraph between long ones is not lost.
@@ -15,7 +16,6 @@ nested in `row`. Nothing is cut off, however long the page.
 
 from __future__ import annotations
 
-import re
 from html.parser import HTMLParser
 
 import numpy as np
@@ -37,39 +37,42 @@ HIDDEN = frozenset(
 )
 WHOLE = frozenset("html body main article".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar".split())
-CHROME_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation "
-    "breadcrumb breadcrumbs header masthead footer cookie cookies consent gdpr notice notices notification alert popup modal "
-    "overlay newsletter subscribe signup share sharing social related recommended comment comments respond replies reply "
-    "discussion disqus widget pagination pager toolbar login search copyright disclaimer skip".split()
+MASTHEADS = frozenset("header masthead".split())
+# words that are also subjects of sections: as an id they may be made from a heading
+CHROME_CLASSES = frozenset(
+    "banner sponsor promotion header notice notices notification alert overlay newsletter related recommended respond reply "
+    "discussion search copyright disclaimer share sharing social".split()
+)
+CHROME = frozenset(
+    "ad ads advert adverts advertisement advertising ad-box ad-banner ad-slot ad-unit ad-container ad-wrapper adsbygoogle "
+    "sponsored promo sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead footer cookie cookies cookie-banner "
+    "cookie-notice consent gdpr popup modal subscribe signup comment comments comment-list replies disqus disqus_thread "
+    "widget pagination pager toolbar login skip skip-link".split()
 )
-TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SIGMA, RADIUS = 1.0, 3
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, element, chrome) per line; element numbers form paths through `parent`."""
+    """Collects (pieces, tags) per line, a piece being (text, element, hidden); element numbers form paths through `parent`."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, bool]] = []  # name, element number, hidden
         self.parent = [-1]
         self.names = ["#page"]
-        self.lines: list[tuple[str, int, int, bool]] = []
-        self.parts: list[str] = []
+        self.marked: set[int] = set()  # elements that are hidden unless they hold the article
+        self.whole: list[int] = []  # visible main and article elements
+        self.lines: list[tuple[list[tuple[str, int, bool]], int]] = []
+        self.parts: list[tuple[str, int, bool]] = []
         self.tags = 0
-        self.linked = 0
-        self.in_link = 0
 
     def _at(self) -> tuple[int, bool]:
         return (self.stack[-1][1], self.stack[-1][2]) if self.stack else (0, False)
 
     def _end_line(self) -> None:
         if self.parts:
-            text = " ".join("".join(self.parts).split())
-            if text:
-                element, hidden = self._at()
-                self.lines.append((text, max(1, self.tags), element, hidden))
+            if any(not text.isspace() for text, _, _ in self.parts):
+                self.lines.append((self.parts, max(1, self.tags)))
             self.parts, self.tags = [], 0
 
     def _hides(self, name: str, attrs: dict, inside: bool) -> bool:
@@ -77,12 +80,17 @@ class Lines(HTMLParser):
             return inside
         if inside:
             return not (name in HEADINGS and self._in_article_header())
-        if name in HIDDEN or (attrs.get("role") or "").lower() in ROLES:
+        if (name in HIDDEN and name != "form") or (attrs.get("role") or "").lower() in ROLES:
             return True
-        if "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
-            return True
-        marks = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
-        return bool(marks.strip()) and any(t.lower() in CHROME_WORDS for t in TOKEN.findall(marks))
+        return "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower()
+
+    def _marks(self, name: str, attrs: dict) -> bool:
+        if name in WHOLE or name in HEADINGS:
+            return False
+        classes = set((attrs.get("class") or "").lower().split())
+        if any(n in ("main", "article") for n, _, _ in self.stack):
+            classes -= MASTHEADS  # the article's own header
+        return name == "form" or bool(classes & (CHROME | CHROME_CLASSES)) or (attrs.get("id") or "").strip().lower() in CHROME
 
     def _in_article_header(self) -> bool:
         """A heading in the header of an article is the article's own."""
@@ -103,16 +111,17 @@ class Lines(HTMLParser):
         self.tags += 1
         if name in VOID:
             if name in ("br", "hr"):
-                self.parts.append(" ")
+                self.parts.append((" ", *self._at()))
             return
         if name in BLOCKS or name in HIDDEN or attrs:
             self.parent.append(self._at()[0])
             self.names.append(name)
             number = len(self.parent) - 1
             hidden = self._hides(name, dict(attrs), self._at()[1])
-            if hidden and not self._at()[1] and name not in BLOCKS:
-                # text before a hidden inline element belongs to the line that goes on after it
-                pass
+            if not hidden and self._marks(name, dict(attrs)):
+                self.marked.add(number)
+            if not hidden and name in ("main", "article"):
+                self.whole.append(number)
             self.stack.append((name, number, hidden))
         else:
             self.stack.append((name, *self._at()))
@@ -146,7 +155,50 @@ class Lines(HTMLParser):
         block_hidden = any(n in BLOCKS and h for n, _, h in self.stack) if hidden else False
         if hidden and not block_hidden:
             return  # a hidden inline element inside a line
-        self.parts.append(data)
+        self.parts.append((data, self._at()[0], hidden))
+
+    def resolved(self) -> list[tuple[str, int, int, bool]]:
+        """(text, tags, element, hidden) per line, once it is known what the marked elements hold."""
+        size = [0] * len(self.parent)
+        for pieces, _ in self.lines:
+            for text, element, hidden in pieces:
+                size[element] += 0 if hidden else len("".join(text.split()))
+        for e in range(len(size) - 1, 0, -1):
+            size[self.parent[e]] += size[e]
+        articles = [e for e in self.whole if size[e]]
+        spared = set() if articles else {e for e in self.marked if 2 * size[e] > size[0]}
+        for e in articles:
+            while e > 0:
+                spared.add(e)
+                e = self.parent[e]
+        off = [False] * len(size)
+        in_block = [False] * len(size)  # hidden by a block, so the line stays, without text to count
+        for e in range(1, len(size)):
+            up = self.parent[e]
+            off[e] = off[up] or (e in self.marked and e not in spared)
+            in_block[e] = in_block[up] or (off[e] and self.names[e] in BLOCKS)
+        lines = []
+        for pieces, tags in self.lines:
+            shown = [(text, e) for text, e, hidden in pieces if not hidden and not off[e]]
+            if not any(not text.isspace() for text, _ in shown):
+                shown = []
+            said = shown or [(text, e) for text, e, hidden in pieces if hidden or in_block[e]]
+            text = " ".join("".join(t for t, _ in said).split())
+            if text:
+                lines.append((text, tags, common(self.parent, [e for t, e in said if not t.isspace()]), not shown))
+        return lines
+
+
+def common(parent: list[int], elements: list[int]) -> int:
+    """The deepest element that holds all of them (a parent's number is smaller than its children's)."""
+    found = elements[0]
+    for e in elements:
+        while found != e:
+            if found > e:
+                found = parent[found]
+            else:
+                e = parent[e]
+    return found
 
 
 def smoothed(ratios: np.ndarray) -> np.ndarray:
@@ -174,7 +226,7 @@ def main_text(html: str | None) -> str:
     parser.feed(html or "")
     parser.close()
     parser._end_line()
-    lines = parser.lines
+    lines = parser.resolved()
     if not lines:
         return ""
     open_text = np.array([0 if hidden else len(text) for text, _, _, hidden in lines], float)

@@ -291,3 +291,14 @@ def test_html(spark):
     long = "<article>" + "<p>paragraph number one</p>" * 20_000 + "</article>"
     assert html.main_text(long).count("paragraph") == 20_000
     assert html.extract(table.where("false"), ["page_id"]).count() == 0
+
+
+def test_html_wrappers_with_chrome_names():
+    said = "a paragraph of the article with some more words in it"
+    article = f"<h2 id='discussion'>Discussion</h2><p>{said}</p><h2 class='related' id='related-work'>Work</h2><p id='copyright-law'>{said}</p>"
+    expected = f"Discussion\n\n{said}\n\nWork\n\n{said}"
+    for wrapper in ("div class='content-sidebar-wrap'", "div class='has-sidebar'", "div class='sidebar'", "div id=menu", "span class=widget", "form id=aspnetForm"):
+        for inner in (f"<main><article>{article}</article></main>", f"<div>{article}</div>"):
+            page = f"<body><nav>menu</nav><{wrapper}>{inner}<div class='ad wide'>buy this now</div></{wrapper.split()[0]}><div class=comments>c</div></body>"
+            assert html.main_text(page) == expected, (wrapper, inner)
+    assert html.main_text(f"<main><div class=header><h1>T</h1></div><p>{said} <span class=ad>x</span>end</p></main>") == f"T\n\n{said} end"
