@@ -5,9 +5,10 @@ with its white space collapsed, the number of tags met in it, and the element it
 elements that never hold an article (menus, footers, scripts, ...) have no text to count. Forms and
 elements with a whole class name or id of CHROME (adverts, comments, ...) have none either, unless they
 hold a main or an article (on a page without these: most of the page's text), known once the page is read. Each line's ratio is its characters over its tags; the ratios are smoothed with a
-Gaussian kernel and split by a two-cluster threshold, which gives the content regions. The element
-that holds most of the regions' text is the article: all its lines are kept, short ones as well, in
-page order, so that a one-word paragraph between long ones is not lost.
+Gaussian kernel and split by a two-cluster threshold, which chooses the content lines. Every chosen
+line is kept. The container (or the main or article around it) that holds all of them gives its short
+lines as well, in page order, so that a one-word paragraph between long ones is not lost; a headline
+before it comes with the lines in between, and with the rest of the wrapper that both stand in.
 
 Defined results: a null or empty page has an empty text; a page without any block gives its loose
 text; unclosed and stray tags are tolerated; repeated rows are extracted alike; other columns are
@@ -236,31 +237,55 @@ def main_text(html: str | None) -> str:
     chosen = (ratios >= threshold(ratios)) & (open_text > 0)
     if not chosen.any():
         chosen = open_text > 0
-    # the deepest element that holds most of the chosen text
-    mass: dict[int, float] = {}
-    for (_, _, element, _), size, use in zip(lines, open_text, chosen, strict=True):
-        while use and element >= 0:
-            mass[element] = mass.get(element, 0.0) + size
-            element = parser.parent[element]
-    total = mass.get(0, 0.0)
-    best = 0
-    articles = [e for e in mass if parser.names[e] in ("article", "main") and mass[e] >= 0.5 * total]
-    if articles:
-        best = max(articles)  # the innermost: numbers grow with depth
-    else:
-        best = max(e for e in mass if mass[e] >= 0.9 * total and (e == 0 or parser.names[e] in CONTAINERS))
-    kept = []
-    for text, _, element, hidden in lines:
-        if hidden:
-            continue
-        while element > best:
-            element = parser.parent[element]
-        if element == best:
-            kept.append(text)
-    return "\n\n".join(kept)
+    paths = Paths(parser)
+    best = paths.region(common(parser.parent, [line[2] for line, use in zip(lines, chosen, strict=True) if use]))
+    kept = [not hidden and (bool(use) or paths.inside(element, best)) for (_, _, element, hidden), use in zip(lines, chosen, strict=True)]
+    first = kept.index(True)
+    # a headline before the region, and what stands between them
+    if not any(keep and paths.headed(line[2], "h1") for line, keep in zip(lines, kept, strict=True)):
+        for name in ("h1", "h2"):
+            at = next((i for i in range(first - 1, -1, -1) if not lines[i][3] and paths.headed(lines[i][2], name)), None)
+            if at is None:
+                continue
+            both = common(parser.parent, [best, lines[at][2]])
+            wrapped = parser.names[both] not in PAGE
+            if wrapped or name == "h1":
+                for i, (_, _, element, hidden) in enumerate(lines):
+                    kept[i] |= not hidden and (at <= i < first or (wrapped and paths.inside(element, both)))
+                break
+    return "\n\n".join(line[0] for line, keep in zip(lines, kept, strict=True) if keep)
+
+
+PAGE = frozenset("#page html body".split())
+CONTAINERS = frozenset("html body main article section div td center".split())
 
 
-CONTAINERS = frozenset("html body main article section div td center".split())
+class Paths:
+    """Where an element stands on its page."""
+
+    def __init__(self, parser: Lines):
+        self.parent, self.names = parser.parent, parser.names
+
+    def inside(self, element: int, region: int) -> bool:
+        while element > region:
+            element = self.parent[element]
+        return element == region
+
+    def headed(self, element: int, name: str) -> bool:
+        while element > 0 and self.names[element] != name:
+            element = self.parent[element]
+        return element > 0
+
+    def region(self, element: int) -> int:
+        """The outermost main or article around the element, else the nearest container."""
+        found, nearest = -1, -1
+        while element > 0:
+            if nearest < 0 and self.names[element] in CONTAINERS:
+                nearest = element
+            if self.names[element] in ("main", "article"):
+                found = element
+            element = self.parent[element]
+        return max(0, found if found > 0 else nearest)
 
 
 def extract(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:

@@ -302,3 +302,15 @@ def test_html_wrappers_with_chrome_names():
             page = f"<body><nav>menu</nav><{wrapper}>{inner}<div class='ad wide'>buy this now</div></{wrapper.split()[0]}><div class=comments>c</div></body>"
             assert html.main_text(page) == expected, (wrapper, inner)
     assert html.main_text(f"<main><div class=header><h1>T</h1></div><p>{said} <span class=ad>x</span>end</p></main>") == f"T\n\n{said} end"
+
+
+def test_html_keeps_every_chosen_line():
+    said = "a paragraph of the article with some more words in it"
+    for n in (1, 5, 50):
+        page = f"<body><nav>menu</nav><div id=content><h1>T</h1><p>lead</p><div class=body>{f'<p>{said}</p>' * n}</div><p>By me</p></div></body>"
+        assert html.main_text(page) == "\n\n".join(["T", "lead", *[said] * n, "By me"])
+        assert html.main_text(page.replace(" id=content", "").replace("div><p>By me</p></div>", "div>").replace("<div><h1>", "<h1>")) == "\n\n".join(["T", "lead", *[said] * n])
+    two = f"<main><article>{f'<p>{said}</p>' * 6}</article><p>ok</p><article>{f'<p>{said}</p>' * 4}</article></main>"
+    assert html.main_text(two) == "\n\n".join([said] * 6 + ["ok"] + [said] * 4)
+    loose = f"<div>{f'<p>{said}</p>' * 3}</div>" + f"<article>{f'<p>{said}</p>' * 9}</article>"
+    assert html.main_text(loose) == "\n\n".join([said] * 12)
