@@ -5,9 +5,10 @@ row each. A class has `trees` signatures of `depth` minimum hashes. In each tree
 same first `depth` values form a region, and only regions with two classes or more go on. Inside a
 region the classes are sorted by the tree's further values (the next trees' values serve as its
 deeper levels), and neighbours in that order, those with the longest common prefix, become
-candidates if all their minimum hashes together agree in at least `near` of the places. A region with
-more than `region_rows` classes (a passage or text that very many share) is searched deeper: it is
-cut into parts, each sorted for itself, and the first class of each part joins the parts' own order.
+candidates if all their minimum hashes together agree in at least `near` of the places. Regions with
+more than `region_rows` classes (a passage or text that very many share) are sorted deeper, by all
+values of the sketch, from each of TURNS, and in ranges: a range holds about `region_rows` classes, and where one
+ends inside a region its last class meets the first of the next, so no neighbours are parted.
 
 Candidates only say which documents are compared with each other: their connected components
 (groups) are found by distributed star contraction, and each group is settled exactly on the full
@@ -18,8 +19,8 @@ while comparing (1 + classes outside the largest component) x group sets. Groups
 `group_rows` classes are dealt into blocks: each block is settled in itself, and the classes outside
 the largest component are compared with all blocks, block by block.
 
-Chance of missing a link at similarity s is (1 - s^depth)^trees for a lone pair (8e-7 at 0.85 with
-24 x 5); in a group one link of many suffices.
+Chance of missing a link at similarity s is (1 - s^depth)^trees for a lone pair (8e-7 at 0.85, 7e-5
+at 0.8 with 24 x 5); in a group one link of many suffices. README has the chance in crowded regions.
 
 Defined results: a text without words (or null) is in no group: its own class, zero shingles. Equal
 doc_ids with different texts are different documents. component_id is the smallest non-null doc_id
@@ -42,6 +43,7 @@ TREES, DEPTH = 24, 5
 REGION_ROWS, GROUP_ROWS, GROUP_SHINGLES = 2000, 4000, 4 << 20
 BROADCAST_ROWS = 500_000
 NEAR = 0.5
+TURNS = [0, 29, 58, 87]  # a crowded region is sorted from so many places of the sketch
 
 # ---------------------------------------------------------------------------- shingles
 
@@ -161,19 +163,44 @@ def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(axis=-1)
 
 
+def sorted_neighbours(batches, near: float):
+    """Close neighbours of one sorted range, and its first and last class (with their place) for the borders."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        region, place = batch.column(0).to_numpy(), 2 * batch.column(3)[0].as_py()
+        keys = batch.column(1).to_pylist()
+        sketch = np.stack([np.frombuffer(x, np.uint8) for x in batch.column(2).to_pylist()])
+        if last is None:
+            first = (keys[0], None, int(region[0]), place, sketch[0].tobytes())
+        else:
+            region, keys, sketch = np.append(last[0], region), [last[1], *keys], np.vstack((last[2], sketch))
+        at = np.flatnonzero((region[1:] == region[:-1]) & (agreement(sketch[1:], sketch[:-1]) >= near))
+        last = region[-1:], keys[-1], sketch[-1:]
+        yield crowd_rows([(keys[i], keys[i + 1], None, None, None) for i in at])
+    if last is not None:
+        yield crowd_rows([first, (last[1], None, int(last[0][0]), place + 1, last[2].tobytes())])
+
+
+def crowd_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"a": pa.binary(), "b": pa.binary(), "region": pa.int64(), "place": pa.int64(), "sketch": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())], names=list(kinds))
+
+
 def neighbours(classes: DataFrame, depth: int, region_rows: int, near: float) -> DataFrame:
     """Candidate pairs (a, b) of classes; classes: class, regions, sketch (one row per class, stored)."""
     spots = classes.select("class", F.posexplode("regions").alias("tree", "region"))
     sizes = spots.groupBy("region").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    met = spots.join(sizes, "region").withColumn("part", F.pmod(F.xxhash64("class"), F.ceil(F.col("rows") / region_rows)))
-    met = stored(met, "regions")
-    # the deeper levels of a tree are the values after its own, going round
-    deeper = F.substring(F.concat("sketch", "sketch"), (F.col("tree") + 1) * depth + 1, F.lit(12))
-    rows = met.join(classes.select("class", "sketch"), "class").withColumn("deeper", deeper)
-    order = Window.partitionBy("region", "part").orderBy("deeper", "class")
-    parts = met.where(F.col("rows") > region_rows).groupBy("region", "part").agg(F.min("class").alias("class"))
-    heads = parts.join(classes.select("class", "sketch"), "class")
-    head_order = Window.partitionBy("region").orderBy("part")
+    met = stored(spots.join(sizes, "region"), "regions")
+
+    def ordered(spots: DataFrame, levels, turn=F.lit(0)) -> DataFrame:
+        # the deeper levels of a tree are the values after its own (and after the turn), going round
+        start = F.pmod((F.col("tree") + 1) * depth + turn, F.length("sketch")) + 1
+        deeper = F.substring(F.concat("sketch", "sketch"), start, levels)
+        return spots.join(classes.select("class", "sketch"), "class").withColumn("deeper", deeper)
+
+    order = Window.partitionBy("region").orderBy("deeper", "class")
 
     def before(table: DataFrame, window) -> DataFrame:
         lagged = table.select(
@@ -188,7 +215,20 @@ def neighbours(classes: DataFrame, depth: int, region_rows: int, near: float) ->
                 keep = pa.array(agreement(a, b) >= near)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(2).filter(keep)], names=["a", "b"])
 
-    pairs = before(rows, order).unionByName(before(heads, head_order)).mapInArrow(close, "a binary, b binary")
+    pairs = before(ordered(met.where(F.col("rows") <= region_rows), F.lit(12)), order).mapInArrow(close, "a binary, b binary")
+    crowded = met.where(F.col("rows") > region_rows)
+    n_crowded = crowded.count()
+    if n_crowded:
+        keys = ["region", "deeper", "class"]
+        turned = crowded.withColumn("turn", F.explode(F.lit(TURNS))).withColumn("region", F.xxhash64("region", "turn"))
+        ranges = ordered(turned, F.length("sketch"), F.col("turn")).select(*keys, "sketch")
+        ranges = ranges.repartitionByRange(-(-n_crowded * len(TURNS) // region_rows), *keys)
+        shape = "a binary, b binary, region long, place long, sketch binary"
+        found = ranges.sortWithinPartitions(*keys).select("region", "class", "sketch", F.spark_partition_id().alias("range"))
+        found = stored(found.mapInArrow(lambda batches: sorted_neighbours(batches, near), shape), "crowded")
+        edges = found.where("place is not null").withColumnRenamed("a", "class")
+        borders = before(edges, Window.partitionBy("region").orderBy("place")).mapInArrow(close, "a binary, b binary")
+        pairs = pairs.unionByName(found.where("place is null").select("a", "b")).unionByName(borders)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

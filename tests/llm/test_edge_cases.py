@@ -161,6 +161,24 @@ def test_near_duplicates_in_a_large_group(spark, limits):
     assert found == near_components(texts, 3, 85)
 
 
+def test_near_copies_meet_in_a_crowded_region(spark):
+    """600 classes share all of a region's values; copies differ in a place or two and are next to each other in its order."""
+    import random
+
+    draw = random.Random(3)
+    rows, expected = [], set()
+    for i in range(300):
+        sketch = [7] * 5 + [draw.randrange(256) for _ in range(115)]
+        other = sketch[:60] + [255 - v for v in sketch[60:62]] + sketch[62:]
+        names = bytes([0, i // 256, i % 256]), bytes([1, i // 256, i % 256])
+        rows += [(names[0], [1], bytes(sketch)), (names[1], [1], bytes(other))]
+        expected.add(names)
+    table = spark.createDataFrame(rows, "class binary, regions array<long>, sketch binary")
+    for region_rows in (10, 10_000):
+        pairs = neardup.neighbours(table, 5, region_rows, 0.9).collect()
+        assert {(bytes(a), bytes(b)) for a, b in pairs} == expected
+
+
 def test_components(spark):
     import random
 
