@@ -17,7 +17,7 @@ from pyspark.sql.window import Window as W
 from gridloom.functions.numeric import rmse
 from gridloom.operators import trees
 from gridloom.operators.splitting import _axis_positions, uniform
-from gridloom.schema import LEARNERS, check_vocabulary
+from gridloom.schema import CELL, LEARNERS, check_vocabulary
 from gridloom.sources.workspace import cut, stored
 
 
@@ -67,6 +67,12 @@ def assemble(df: DataFrame, features: list[str]) -> DataFrame:
     )
 
 
+def split_candidates(rows: DataFrame, features: list[str]) -> int:
+    """Bins per predictor: as fine as the per-cell learners, and one for each coordinate of the grid."""
+    axes = [F.count_distinct(c) for c in CELL if c in features]
+    return max(trees.BINS, *rows.agg(*axes).first()) if axes else trees.BINS
+
+
 def fit_global(df: DataFrame, features: list[str], target: str, learner: str, **settings) -> Transformer:
     """One model for the whole grid; cell coordinates may be among the features."""
     makers = {
@@ -75,10 +81,12 @@ def fit_global(df: DataFrame, features: list[str], target: str, learner: str, **
         "LGBMRegressor": GBTRegressor,
     }
     check_vocabulary([learner], makers, "global learner")
+    rows = df.dropna(subset=[target, *features])
+    usual = {"maxBins": split_candidates(rows, features)}
     estimator = makers[learner](
-        featuresCol="features", labelCol=target, predictionCol="predicted", seed=42, **settings
+        featuresCol="features", labelCol=target, predictionCol="predicted", seed=42, **(usual | settings)
     )
-    return estimator.fit(assemble(df.dropna(subset=[target]), features))
+    return estimator.fit(assemble(rows, features))
 
 
 def predict_global(df: DataFrame, model: Transformer, features: list[str]) -> DataFrame:
@@ -130,12 +138,14 @@ def global_adaboost(
         whole = whole & F.col(f).isNotNull()
     out = assemble(test.filter(whole), features)
     cast: list[Column] = []
+    bins = split_candidates(rows, features)
     for i in range(rounds):
         tree = DecisionTreeRegressor(
             featuresCol="features",
             labelCol=target,
             weightCol="_w",
             maxDepth=depth,
+            maxBins=bins,
             predictionCol=f"_p{i}",
             seed=42,
         ).fit(rows)

@@ -158,7 +158,7 @@ def _global(spark, sf, learner, **settings):
 
 @query("global_rf")
 def global_rf(spark, sf):
-    return _global(spark, sf, "RandomForestRegressor", numTrees=100, maxDepth=10)
+    return _global(spark, sf, "RandomForestRegressor", numTrees=100, maxDepth=30)
 
 
 @query("global_gbt")
@@ -319,7 +319,7 @@ def trial_importance(spark, sf):
 
 @query("feature_importance")
 def feature_importance(spark, sf):
-    model = learning.fit_global(stored(_cube(spark, sf)), _GX, "truth", "RandomForestRegressor", numTrees=100, maxDepth=10)
+    model = learning.fit_global(stored(_cube(spark, sf)), _GX, "truth", "RandomForestRegressor", numTrees=100, maxDepth=30)
     return learning.feature_importance(spark, model, _GX)
 
 

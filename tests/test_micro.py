@@ -284,3 +284,28 @@ def test_box_whiskers(spark):
     df = spark.createDataFrame([(0, float(v)) for v in (1, 2, 3, 4, 100)], "g int, value double")
     r = aggregate.box_stats(df, ["g"], "value").first()
     assert (r.q1, r.median, r.q3, r.whisker_low, r.whisker_high, r.outliers, r.n) == (2.0, 3.0, 4.0, 1.0, 4.0, 1, 5)
+
+
+def test_global_trees_tell_neighbouring_cells_apart(spark):
+    from gridloom.operators import learning
+
+    df = spark.createDataFrame([(0.0, float(x), float(x * x)) for x in range(300) for _ in range(2)], "y double, x double, t double")
+    assert learning.split_candidates(df, ["y", "x"]) == 300 and learning.split_candidates(df, ["t"]) == 255
+    model = learning.fit_global(df, ["y", "x"], "t", "RandomForestRegressor", numTrees=1, maxDepth=30, bootstrap=False)
+    assert learning.predict_global(df, model, ["y", "x"]).filter(F.abs(F.col("predicted") - F.col("t")) > 1e-9).count() == 0
+
+
+def test_global_forests_are_registered_as_deep_as_offered(spark, sf, monkeypatch):
+    from gridloom.plans.catalog import learning as catalog
+
+    seen = []
+
+    def stop(*args, **settings):
+        seen.append((settings["numTrees"], settings["maxDepth"]))
+        raise InterruptedError
+
+    monkeypatch.setattr(catalog.learning, "fit_global", stop)
+    for run in (catalog.global_rf, catalog.feature_importance):
+        with pytest.raises(InterruptedError):
+            run(spark, sf)
+    assert seen == [(100, 30)] * 2
