@@ -478,18 +478,20 @@ def near_duplicates(
 def distinct_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component (its smallest doc_id; of equal ones the smallest text hash) and all without words."""
     found = stored(near_duplicates(docs, words, percent), "near")
-    id_key = F.coalesce("doc_id", F.lit(0)).cast("long").alias("id_key")
+    # a null doc_id is not document 0
+    keys = ["no_id", "id_key", "text_key"]
+    id_key = F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id_key")
     rows = found.where("component is not null")
     first = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("text_key").alias("first_key"))
     stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("first_key"))
-    gone = stored(rows.join(first, "component").where(~stays).select(id_key, "text_key").distinct(), "gone")
+    gone = stored(rows.join(first, "component").where(~stays).select(*id_key, "text_key").distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_key, text_key())
-    left = keyed.join(gone, ["id_key", "text_key"], "left_anti")
-    repeats = rows.groupBy("doc_id", "text_key").count().where("count > 1").select(id_key, "text_key", F.lit(True).alias("again"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *id_key, text_key())
+    left = keyed.join(gone, keys, "left_anti")
+    repeats = rows.groupBy("doc_id", "text_key").count().where("count > 1").select(*id_key, "text_key", F.lit(True).alias("again"))
     if not repeats.take(1):
         return left.select("row.*")
     # repeated rows with words: one of each stays
-    marked = left.join(stored(repeats, "repeats"), ["id_key", "text_key"], "left")
-    once = marked.where("again").dropDuplicates(["id_key", "text_key"])
+    marked = left.join(stored(repeats, "repeats"), keys, "left")
+    once = marked.where("again").dropDuplicates(keys)
     return marked.where("again is null").unionByName(once).select("row.*")

@@ -161,6 +161,13 @@ def test_near_duplicates_in_a_large_group(spark, limits):
     assert found == near_components(texts, 3, 85)
 
 
+def test_a_row_without_id_is_not_document_0(spark):
+    said = "one two three four five six seven"
+    texts = [(0, said), (None, said), (4, "other words than the ones before it"), (None, "nothing like that here at all")]
+    left = neardup.distinct_documents(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert sorted((r["text"], r["doc_id"]) for r in left.collect()) == sorted([texts[0][::-1], texts[2][::-1], texts[3][::-1]])
+
+
 def test_near_copies_meet_in_a_crowded_region(spark):
     """600 classes share all of a region's values; copies differ in a place or two and are next to each other in its order."""
     import random
