@@ -188,3 +188,67 @@ f as (select key from k where length(key) >= 1 group by key having count(distinc
 select doc_id, count(*) as n_lines, count(*) filter (key in (select key from f)) as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by i) filter (key not in (select key from f)), '')) as kept_sha256
 from k group by doc_id"""
+
+
+@query
+def op11_prefix_trie(spark, sf_dir):
+    from gridloom.llm import trie
+
+    found = trie.prefix_trie(table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({0}, ''), lambda s: ascii(s)::bigint)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 1, 2, 3, 4, 5, 6, 7]::bigint[]), lambda p, q: xor(p >> 1, (p & 1) * 3988292384))))"""
+
+SQL["op11_prefix_trie"] = f"""
+with t as (
+  select conv_id, turn, struct_pack(role := coalesce(role, ''), said := coalesce(text, '')) as x from conversations where conv_id is not null),
+c as (select conv_id, list(x order by turn nulls first, x) as xs, {_CRC.format("any_value(conv_id)::varchar")} % 9 as h from t group by conv_id),
+r as (
+  select c.conv_id, list_concat(coalesce(b.xs[1:c.h], []), c.xs[c.h + 1:]) as xs
+  from c left join c b on b.conv_id = c.conv_id - c.conv_id % 5),
+m as (select conv_id, len(xs) as n, d, xs[1:d] as p from (select *, unnest(range(len(xs) + 1)) as d from r)),
+u as (
+  select p, d as depth, min(conv_id) as conv_id, count(*) as n_convs,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (n = d), '')) as ends_sha256
+  from m group by p, d),
+k as (select p[1:depth - 1] as p, depth - 1 as depth, count(*) as n_children from u where depth > 0 group by all),
+w as (
+  select u.*, coalesce(n_children, 0) as n_children,
+    case when u.depth = 0 then 0 else (n_convs - 1) * octet_length(encode(u.p[u.depth].said)) end as saving
+  from u left join k on k.depth = u.depth and k.p = u.p),
+s as (
+  select a.p, a.depth, count(*) filter (v.n_children = 0) as n_leaves, cast(sum(v.saving) as bigint) as saved_tokens
+  from w a join w v on v.depth >= a.depth and v.p[1:a.depth] = a.p group by all)
+select w.conv_id, w.depth, above.conv_id as parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, w.ends_sha256
+from w join s on s.depth = w.depth and s.p = w.p left join u above on above.depth = w.depth - 1 and above.p = w.p[1:w.depth - 1]"""
+
+
+@query
+def op13_vector_codes(spark, sf_dir):
+    from gridloom.llm import vectorcodes
+
+    found = vectorcodes.compressed(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+_NEAREST = """select n, g, arg_min(e, (dist, e)) as e, min(dist) as dist from (
+    select v.n, v.g, b.e, sum((v.x - b.x) * (v.x - b.x)) as dist from v join {0} b using (g, i) group by v.n, v.g, b.e) group by n, g"""
+_MOVED = """select b.g, b.e, b.i, coalesce(cast(floor(m.x) as bigint), b.x) as x from {0} b left join (
+    select v.g, a.e, v.i, floor(sum(v.x)::hugeint * 1.0 / count(*)) as x from v join {1} a using (n, g) group by v.g, a.e, v.i) m using (g, e, i)"""
+
+SQL["op13_vector_codes"] = f"""
+with k as (
+  select row_number() over (order by vec_id) - 1 as n, vec_id, label, embedding from embeddings
+  where embedding is not null and coalesce(list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))), true)),
+u as (select n, unnest(embedding) as x, generate_subscripts(embedding, 1) - 1 as i, len(embedding) // 16 as w from k),
+v as (select n, i // w as g, i, cast(floor(256 * x::double) as bigint) as x from u),
+b0 as (select g, n as e, i, x from v where n < 64),
+a0 as ({_NEAREST.format("b0")}), b1 as ({_MOVED.format("b0", "a0")}),
+a1 as ({_NEAREST.format("b1")}), b2 as ({_MOVED.format("b1", "a1")}),
+a2 as ({_NEAREST.format("b2")}),
+c as (select n, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' order by g) as code, cast(sum(dist) as bigint) as error from a2 group by n),
+s as (select label, cast(sum(error) as bigint) as label_error from c join k using (n) group by label)
+select vec_id, code, error, label_error, (select sha256(string_agg(x::varchar, ',' order by g, e, i)) from b2) as codebooks_sha256
+from c join k using (n) join s on s.label is not distinct from k.label"""
