@@ -252,3 +252,12 @@ c as (select n, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' order by g) as cod
 s as (select label, cast(sum(error) as bigint) as label_error from c join k using (n) group by label)
 select vec_id, code, error, label_error, (select sha256(string_agg(x::varchar, ',' order by g, e, i)) from b2) as codebooks_sha256
 from c join k using (n) join s on s.label is not distinct from k.label"""
+
+
+@query
+def op12_toxicity(spark, sf_dir):
+    from gridloom.llm import toxicity
+
+    found = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+    held = F.coalesce(F.crc32(F.col("row.doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return found.select("row.doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
