@@ -118,11 +118,15 @@ def rps(
 
 
 def rps_terciles(ens: DataFrame, obs: DataFrame, value: str = "pred", truth: str = "truth") -> DataFrame:
-    """The same with each cell's own climatological terciles as edges."""
+    """The same with each cell's own climatological terciles as edges.
+
+    A tercile may be one of the values, so values and edges are compared to nine decimals.
+    """
+    obs = obs.select(*CUBE, F.round(truth, 9).alias(truth))
     edges = obs.groupBy("y", "x").agg(
-        F.percentile(truth, 1 / 3).alias("e0"), F.percentile(truth, 2 / 3).alias("e1")
+        F.round(F.percentile(truth, 1 / 3), 9).alias("e0"), F.round(F.percentile(truth, 2 / 3), 9).alias("e1")
     )
-    return _rps(ens, attach(obs.select(*CUBE, truth), edges, ["y", "x"]), 2, value, truth)
+    return _rps(ens, attach(obs, edges, ["y", "x"]), 2, value, truth)
 
 
 def _rps(ens: DataFrame, marked: DataFrame, n: int, value: str, truth: str) -> DataFrame:

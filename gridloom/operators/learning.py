@@ -4,18 +4,13 @@ from __future__ import annotations
 
 from pyspark.ml import Transformer
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import (
-    DecisionTreeRegressor,
-    GBTRegressor,
-    GeneralizedLinearRegression,
-    RandomForestRegressor,
-)
+from pyspark.ml.regression import DecisionTreeRegressor, GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from gridloom.functions.numeric import rmse
-from gridloom.operators import trees
+from gridloom.operators import forests, trees
 from gridloom.operators.splitting import _axis_positions, uniform
 from gridloom.schema import CELL, LEARNERS, check_vocabulary
 from gridloom.sources.workspace import cut, stored
@@ -73,20 +68,19 @@ def split_candidates(rows: DataFrame, features: list[str]) -> int:
     return max(trees.BINS, *rows.agg(*axes).first()) if axes else trees.BINS
 
 
-def fit_global(df: DataFrame, features: list[str], target: str, learner: str, **settings) -> Transformer:
-    """One model for the whole grid; cell coordinates may be among the features."""
-    makers = {
-        "RandomForestRegressor": RandomForestRegressor,
-        "XGBRegressor": GBTRegressor,
-        "LGBMRegressor": GBTRegressor,
-    }
-    check_vocabulary([learner], makers, "global learner")
-    rows = df.dropna(subset=[target, *features])
-    usual = {"maxBins": split_candidates(rows, features)}
-    estimator = makers[learner](
-        featuresCol="features", labelCol=target, predictionCol="predicted", seed=42, **(usual | settings)
-    )
-    return estimator.fit(assemble(rows, features))
+#: What a learner name stands for on the whole grid.
+GLOBAL = {
+    "RandomForestRegressor": (forests.fit_forest, {"trees": 100, "limits": trees.Growth()}),
+    "XGBRegressor": (forests.fit_boosted, {"rounds": 100, "rate": 0.3, "limits": trees.Growth(depth=6, l2=1.0)}),
+    "LGBMRegressor": (forests.fit_boosted, {"rounds": 100, "rate": 0.1, "limits": trees.Growth(leaves=31, min_rows=20.0)}),
+}
+
+
+def fit_global(df: DataFrame, keys: list[str], features: list[str], target: str, learner: str, **settings) -> forests.Model | None:
+    """One model for the whole grid; cell coordinates may be among the features and have a bin each."""
+    check_vocabulary([learner], GLOBAL, "global learner")
+    routine, usual = GLOBAL[learner]
+    return routine(df, keys, features, target, **(usual | {"exact": [c for c in CELL if c in features]} | settings))
 
 
 def predict_global(df: DataFrame, model: Transformer, features: list[str]) -> DataFrame:
@@ -99,14 +93,6 @@ def predict_global(df: DataFrame, model: Transformer, features: list[str]) -> Da
     return known.select(*df.columns, "predicted").unionByName(unknown)
 
 
-def feature_importance(spark: SparkSession, model, features: list[str]) -> DataFrame:
-    """Importances of a fitted forest (one value per feature)."""
-    values = model.featureImportances.toArray()
-    return spark.createDataFrame(
-        [(f, float(v)) for f, v in zip(features, values)], "feature string, importance double"
-    )
-
-
 def fit_glm(df: DataFrame, features: list[str], target: str, power: float):
     """Tweedie model of the whole grid: power 0 for temperature, 2 for precipitation."""
     rows = df.dropna(subset=[target])

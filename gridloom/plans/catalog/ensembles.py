@@ -133,9 +133,10 @@ def rps(spark, sf):
 
 @query(
     "rps_terciles",
-    f"""with {_JOINED}, q as (select y, x, quantile_cont(truth, 1/3) as a, quantile_cont(truth, 2/3) as b from obs group by 1, 2),
-      s as (select time, y, x, pow(avg(cast(pred < a as int)) - max(cast(truth < a as int)), 2)
-        + pow(avg(cast(pred < b as int)) - max(cast(truth < b as int)), 2) as s from j join q using (y, x) group by 1, 2, 3)
+    f"""with {_JOINED}, q as (select y, x, round(quantile_cont(round(truth, 9), 1/3), 9) as a,
+        round(quantile_cont(round(truth, 9), 2/3), 9) as b from obs group by 1, 2),
+      s as (select time, y, x, pow(avg(cast(pred < a as int)) - max(cast(round(truth, 9) < a as int)), 2)
+        + pow(avg(cast(pred < b as int)) - max(cast(round(truth, 9) < b as int)), 2) as s from j join q using (y, x) group by 1, 2, 3)
       select y, x, {r('avg(s)')} as rps from s group by y, x""",
 )
 def rps_terciles(spark, sf):

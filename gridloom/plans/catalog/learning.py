@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from gridloom.operators import features, learning, linear, splitting, trees
+from gridloom.operators import features, forests, learning, linear, splitting, trees
 from gridloom.operators import verification as V
 from gridloom.plans.catalog.base import BOOKED, ENS, MONTHLY_TRUTH, PAIR, RAIN, d, query, r
 from gridloom.plans.catalog.verification import r2_sql
@@ -152,18 +153,51 @@ _GX = [*X, "y", "x"]
 
 
 def _global(spark, sf, learner, **settings):
-    model = learning.fit_global(_train(spark, sf), _GX, "truth", learner, **settings)
-    return learning.predict_global(_test(spark, sf), model, _GX).select(*KEYS, "truth", "predicted")
+    model = learning.fit_global(_train(spark, sf), KEYS, _GX, "truth", learner, **settings)
+    return forests.predict(_test(spark, sf), model).select(*KEYS, "truth", "predicted")
 
 
 @query("global_rf")
 def global_rf(spark, sf):
-    return _global(spark, sf, "RandomForestRegressor", numTrees=100, maxDepth=30)
+    return _global(spark, sf, "RandomForestRegressor")
 
 
 @query("global_gbt")
 def global_gbt(spark, sf):
-    return _global(spark, sf, "XGBRegressor", maxIter=100, maxDepth=6, stepSize=0.3)
+    return _global(spark, sf, "XGBRegressor")
+
+
+@query("global_gbt_leafwise")
+def global_gbt_leafwise(spark, sf):
+    """Leaf-wise boosting that stops ten rounds after its best score on the last year of the training period."""
+    train = _train(spark, sf)
+    last = F.col("time") >= F.lit("1998-01-01").cast("date")
+    model = learning.fit_global(
+        train.where(~last), KEYS, _GX, "truth", "LGBMRegressor", valid=train.where(last), patience=10, subsample=0.8, columns=0.8
+    )
+    return forests.predict(_test(spark, sf), model).select(*KEYS, "truth", "predicted")
+
+
+_EDGES = [5.0 * k for k in range(1, 10)]
+
+
+@query(
+    "tree_stump",
+    f"""with {PAIR}, tr as (select pred, refe, truth from pair where time < {_DAY} and truth is not null),
+      v as (select 0 as f, pred as v, truth from tr union all select 1, refe, truth from tr),
+      g as (select f, edge, count(*) filter (v <= edge) as n1, sum(truth) filter (v <= edge) as s1, count(*) as n, sum(truth) as s
+        from v, (select unnest({_EDGES}) as edge) group by f, edge),
+      b as (select *, s1 * s1 / n1 + (s - s1) * (s - s1) / (n - n1) as gain from g where n1 > 0 and n1 < n order by gain desc, f, edge limit 1)
+      select {d('time')} as time, y, x, {r('truth')} as truth,
+        {r('case when (case f when 0 then pred else refe end) <= edge then s1 / n1 else (s - s1) / (n - n1) end')} as predicted
+      from pair, b where time >= {_DAY}""",
+)
+def tree_stump(spark, sf):
+    """One cut by distributed histograms over given edges."""
+    two, edges = ["pred", "refe"], np.array(_EDGES)
+    one = {"rounds": 1, "rate": 1.0, "limits": trees.Growth(depth=1), "cuts": [edges, edges], "finish": 0}
+    model = forests.fit_boosted(tables.pair(spark, sf, end=_SPLIT), KEYS, two, "truth", **one)
+    return forests.predict(tables.pair(spark, sf, start=_SPLIT), model).select(*KEYS, "truth", "predicted")
 
 
 @query("global_adaboost")
@@ -319,8 +353,8 @@ def trial_importance(spark, sf):
 
 @query("feature_importance")
 def feature_importance(spark, sf):
-    model = learning.fit_global(stored(_cube(spark, sf)), _GX, "truth", "RandomForestRegressor", numTrees=100, maxDepth=30)
-    return learning.feature_importance(spark, model, _GX)
+    cube = stored(_cube(spark, sf))
+    return forests.importances(cube, learning.fit_global(cube, KEYS, _GX, "truth", "RandomForestRegressor"))
 
 
 def _run_sql(predictand: str, table: str, product: str, source: str) -> str:

@@ -40,6 +40,7 @@ LEARNED = [
     "fit_predict_cells",
     "fit_predict_ensemble_forest",
     "global_rf",
+    "global_gbt_leafwise",
     "global_adaboost",
     "glm_tweedie_gamma",
     "glm_tweedie_cells",

@@ -287,25 +287,16 @@ def test_box_whiskers(spark):
 
 
 def test_global_trees_tell_neighbouring_cells_apart(spark):
-    from gridloom.operators import learning
+    from gridloom.operators import forests, learning, trees
 
     df = spark.createDataFrame([(0.0, float(x), float(x * x)) for x in range(300) for _ in range(2)], "y double, x double, t double")
     assert learning.split_candidates(df, ["y", "x"]) == 300 and learning.split_candidates(df, ["t"]) == 255
-    model = learning.fit_global(df, ["y", "x"], "t", "RandomForestRegressor", numTrees=1, maxDepth=30, bootstrap=False)
-    assert learning.predict_global(df, model, ["y", "x"]).filter(F.abs(F.col("predicted") - F.col("t")) > 1e-9).count() == 0
+    one = {"rounds": 1, "rate": 1.0, "limits": trees.Growth(depth=30)}
+    model = learning.fit_global(df, ["y", "x"], ["y", "x"], "t", "XGBRegressor", **one)
+    assert forests.predict(df, model).filter(F.abs(F.col("predicted") - F.col("t")) > 1e-6).count() == 0
 
 
-def test_global_forests_are_registered_as_deep_as_offered(spark, sf, monkeypatch):
-    from gridloom.plans.catalog import learning as catalog
+def test_global_forests_are_registered_without_a_limit():
+    from gridloom.operators import learning, trees
 
-    seen = []
-
-    def stop(*args, **settings):
-        seen.append((settings["numTrees"], settings["maxDepth"]))
-        raise InterruptedError
-
-    monkeypatch.setattr(catalog.learning, "fit_global", stop)
-    for run in (catalog.global_rf, catalog.feature_importance):
-        with pytest.raises(InterruptedError):
-            run(spark, sf)
-    assert seen == [(100, 30)] * 2
+    assert learning.GLOBAL["RandomForestRegressor"][1] == {"trees": 100, "limits": trees.Growth(None, None, 1.0)}
