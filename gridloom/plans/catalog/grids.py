@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import regrid, terrain
+from gridloom.operators import curvilinear, regrid, terrain
 from gridloom.plans.catalog.base import DEM, PAIR, d, query, r
 from gridloom.sources import tables
 from gridloom.sources.workspace import stored
@@ -77,6 +77,54 @@ def regrid_conservative(spark, sf):
     return regrid.regrid_conservative(cube, ty, tx, [], ["elevation"], sphere=True, width=10.0)
 
 
+def _tilted(y, x):
+    """Coordinates of a grid that is turned against the parallels."""
+    return (0.05 * (0.8 * y + 0.6 * x)).alias("lat"), (0.05 * (0.8 * x - 0.6 * y)).alias("lon")
+
+
+@query(
+    "regrid_curvilinear",
+    f"""with {DEM} select a.y + 0.5 as y, a.x + 0.25 as x,
+      {r('0.375 * a.elevation + 0.125 * b.elevation + 0.375 * c.elevation + 0.125 * e.elevation')} as elevation
+      from dem a left join dem b on b.y = a.y and b.x = a.x + 1
+      left join dem c on c.y = a.y + 1 and c.x = a.x
+      left join dem e on e.y = a.y + 1 and e.x = a.x + 1""",
+)
+def regrid_curvilinear(spark, sf):
+    """A turned grid is a plane map, so the place of a target in its quad is known."""
+    dem = stored(tables.dem(spark, sf))
+    y, x = F.col("y") + 0.5, F.col("x") + 0.25
+    weights = curvilinear.bilinear_weights(
+        dem.select("y", "x", *_tilted(F.col("y"), F.col("x"))), dem.select(y.alias("dst_y"), x.alias("dst_x"), *_tilted(y, x))
+    )
+    return curvilinear.regrid_curvilinear(dem, weights, [], ["elevation"])
+
+
+_LATS, _LONS = [25.0, 38.0, 57.0, 75.0], [-14.0, 0.0, 11.0, 26.0]
+
+
+@query(
+    "regrid_curvilinear_conservative",
+    f"""with {PAIR}, ty as (select unnest({_LATS[:-1]}) as lo, unnest({_LATS[1:]}) as hi),
+      tx as (select unnest({_LONS[:-1]}) as lo, unnest({_LONS[1:]}) as hi),
+      wy as (select y, (lo + hi) / 2 as t, sin(radians(least(hi, 35.0 + 10 * y))) - sin(radians(greatest(lo, 25.0 + 10 * y))) as w
+        from (select distinct y from pair) join ty on lo < 35.0 + 10 * y and hi > 25.0 + 10 * y),
+      wx as (select x, (lo + hi) / 2 as t, least(hi, 8 * x - 6.0) - greatest(lo, 8 * x - 14.0) as w
+        from (select distinct x from pair) join tx on lo < 8 * x - 6.0 and hi > 8 * x - 14.0)
+      select {d('time')} as time, {r('wy.t')} as y, {r('wx.t')} as x, {r('sum(wy.w * wx.w * pred) / sum(wy.w * wx.w)')} as pred,
+        {r('sum(wy.w * wx.w * truth) / sum(case when truth is not null then wy.w * wx.w end)')} as truth
+      from pair join wy using (y) join wx using (x) group by time, wy.t, wx.t""",
+)
+def regrid_curvilinear_conservative(spark, sf):
+    cube = stored(tables.pair(spark, sf).select("time", "y", "x", "pred", "truth"))
+    nodes = cube.select("y", "x").distinct().select("y", "x", (30.0 + 10 * F.col("y")).alias("lat"), (8.0 * F.col("x") - 10).alias("lon"))
+    boxes = [(a, b, c, e) for a, b in zip(_LATS, _LATS[1:], strict=False) for c, e in zip(_LONS, _LONS[1:], strict=False)]
+    frames = [((a + b) / 2, (c + e) / 2, [(a, c), (a, e), (b, e), (b, c)]) for a, b, c, e in boxes]
+    target = spark.createDataFrame(frames, "dst_y double, dst_x double, corners array<struct<lat:double,lon:double>>")
+    weights = curvilinear.conservative_weights(curvilinear.cells(nodes), target)
+    return curvilinear.regrid_curvilinear_conservative(cube, weights, ["time"], ["pred", "truth"])
+
+
 _AROUND = f"""{DEM}, ns as (
     select m.y, m.x, m.elevation as c, (u.elevation is null or l.elevation is null) as rim,
       coalesce(u.elevation, 2 * m.elevation - l.elevation, m.elevation) as n,
