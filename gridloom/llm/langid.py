@@ -68,13 +68,21 @@ def remainder():
 
 
 def sample(docs: DataFrame, per_language: int) -> DataFrame:
-    """lang, text of at most `per_language` documents a language that may be learned from."""
-    usable = docs.where(F.col("lang").isNotNull() & (remainder() != 0))
-    counts = usable.groupBy("lang").count()
+    """lang, text of at most `per_language` documents a language that may be learned from.
+
+    Ids are chosen first, from those with small draws; texts are fetched for the chosen ones only, so no text is
+    shuffled but theirs. Repeated rows count once.
+    """
+    key = [F.col("lang"), F.col("doc_id"), F.xxhash64("text").alias("text_key")]
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder() != 0))
+    counts = stored(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")  # a row per language
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    likely = usable.join(counts, "lang").where(draw * F.col("count") < F.lit(2.0 * per_language * (1 << 30)))
-    order = Window.partitionBy("lang").orderBy(draw, "doc_id", "text")
-    return likely.where("text is not null").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).select("lang", "text")
+    likely = usable.select(*key, draw.alias("draw")).join(counts, "lang").where(F.col("draw") * F.col("n") < F.lit(2.0 * per_language * (1 << 30)))
+    order = Window.partitionBy("lang").orderBy("draw", "doc_id", "text_key")
+    chosen = likely.select("lang", "doc_id", "text_key", "draw").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language)
+    names = ["lang", "doc_id", "text_key"]
+    chosen = stored(chosen.select(*names), "chosen")  # per_language rows a language at most
+    return usable.select(*key, "text").join(chosen, names).dropDuplicates(names).select("lang", "text")
 
 
 def families(names: list[str], means: np.ndarray) -> list[list[str]]:

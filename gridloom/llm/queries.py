@@ -156,6 +156,8 @@ def op10_substring_dedup(spark, sf_dir):
         F.aggregate("removed", F.lit(0).cast("long"), lambda s, r: s + r[1] - r[0]).alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        F.octet_length("kept").cast("long").alias("n_kept"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"),  # a cut may divide a character
     )
 
 

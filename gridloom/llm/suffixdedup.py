@@ -320,7 +320,7 @@ def merged(spans: list[list[int]] | None) -> list[tuple[int, int]]:
 
 
 def spans_of(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES, hot: int = HOT) -> DataFrame:
-    """id_key, text_key, spans: maximal byte ranges [start, end) covered by repeated strings, of the documents that have any."""
+    """id_key, text_key, spans: maximal byte ranges [start, end) covered by repeated strings, of the documents that have any (stored)."""
     index = stored(indexed(docs, length, batches), "index")
     repeated = repeated_anchors(index, batches)
     place = index.select("id_key", "text_key", F.explode(F.arrays_zip("at", "hashes")).alias("x"))
@@ -335,13 +335,16 @@ def spans_of(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES, hot:
     runs = stored(compared(found, length), "runs")
     o = F.explode(F.expr("transform(sequence(0, size(runs) - 2, 2), i -> struct(runs[i] as low, runs[i + 1] as high))"))
     met = found.select("id_key", "text_key", "at", "hash", "context").join(runs, ["hash", "context"])
+    used = [by_document, found, runs]
     spans = met.select("id_key", "text_key", "at", o.alias("o")).select(
         "id_key", "text_key", F.array((F.col("at") - F.col("o.high")), (F.col("at") - F.col("o.low") + length)).alias("span")
     )
     if common.take(1):
         strings = stored(strings_of(docs, common, length), "strings")
         twice = strings.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("one", "two")
-        again = strings.join(stored(twice, "twice"), ["one", "two"])
+        twice = stored(twice, "twice")
+        used += [strings, twice]
+        again = strings.join(twice, ["one", "two"])
         spans = spans.unionByName(again.select("id_key", "text_key", F.array("start", F.col("start") + length).alias("span")))
     collected = spans.groupBy("id_key", "text_key").agg(F.collect_set("span").alias("spans"))
 
@@ -350,12 +353,15 @@ def spans_of(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES, hot:
             runs = [[list(x) for x in merged(own)] for own in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(runs, pa.list_(pa.list_(pa.int64())))], names=["id_key", "text_key", "spans"])
 
-    return collected.mapInArrow(joined, "id_key long, text_key long, spans array<array<long>>")
+    out = stored(collected.mapInArrow(joined, "id_key long, text_key long, spans array<array<long>>"), "spans")
+    for table in used:  # nothing but the ranges is needed any more
+        discard(table)
+    return out
 
 
 def dedup(docs: DataFrame, keep: list[str], length: int = LENGTH, batches: int = BATCHES, hot: int = HOT) -> DataFrame:
     """Per document: row, n_bytes, removed (maximal runs as [start, end)), kept (the bytes left)."""
-    spans = stored(spans_of(docs, length, batches, hot), "spans")
+    spans = spans_of(docs, length, batches, hot)
     size = spans.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
     spans = F.broadcast(spans) if size <= BROADCAST_SPANS else spans
     keyed = document_key(docs, F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")).join(spans, ["id_key", "text_key"], "left")

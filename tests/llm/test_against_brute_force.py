@@ -231,4 +231,7 @@ def substring_result(texts, length=400):
 def test_substrings(spark, docs):
     found = rows(spark, "op10_substring_dedup")
     expected = substring_result({k: (d["text"] or "").encode() for k, d in docs.items()})
-    assert {k: tuple(r.values())[1:] for k, r in found.items()} == expected
+    assert {k: tuple(r.values())[1:5] for k, r in found.items()} == expected
+    assert all(r["n_kept"] == r["n_bytes"] - r["n_removed"] for r in found.values())
+    whole = [r for r in found.values() if len(r["kept_text"].encode()) == r["n_kept"] and "\ufffd" not in r["kept_text"]]
+    assert all(sha(r["kept_text"]) == r["kept_sha256"] for r in whole) and len(whole) > 0.9 * len(found)
