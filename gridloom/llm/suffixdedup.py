@@ -330,12 +330,13 @@ def spans_of(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES, hot:
     )
     discard(index)
     discard(repeated)
-    usual, common = (by_document.where(c).select("id_key", "text_key", "places") for c in ("not hot", "hot"))
+    usual = by_document.where("not hot").select("id_key", "text_key", "places")
+    common = stored(by_document.where("hot").select("id_key", "text_key", "places"), "hot_places")  # its own size decides how it meets texts
     found = stored(contexts(docs, usual, length), "contexts")
     runs = stored(compared(found, length), "runs")
     o = F.explode(F.expr("transform(sequence(0, size(runs) - 2, 2), i -> struct(runs[i] as low, runs[i + 1] as high))"))
     met = found.select("id_key", "text_key", "at", "hash", "context").join(runs, ["hash", "context"])
-    used = [by_document, found, runs]
+    used = [by_document, common, found, runs]
     spans = met.select("id_key", "text_key", "at", o.alias("o")).select(
         "id_key", "text_key", F.array((F.col("at") - F.col("o.high")), (F.col("at") - F.col("o.low") + length)).alias("span")
     )
