@@ -37,7 +37,7 @@ from gridloom.sources.workspace import discard, stored
 
 LENGTH, BATCHES, HOT = 400, 4, 20_000
 CHUNK_ROWS = 4096
-BROADCAST_SPANS = 1_000_000  # documents with removals and their ranges, some 40 MB
+BROADCAST_SPANS = 1_000_000  # documents with removals and their ranges, or places of hot anchors, some 40 MB
 
 
 def document_key(docs: DataFrame, *more: str) -> DataFrame:
@@ -340,8 +340,10 @@ def spans_of(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES, hot:
     spans = met.select("id_key", "text_key", "at", o.alias("o")).select(
         "id_key", "text_key", F.array((F.col("at") - F.col("o.high")), (F.col("at") - F.col("o.low") + length)).alias("span")
     )
-    if common.take(1):
-        strings = stored(strings_of(docs, common, length), "strings")
+    n_common = common.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
+    if n_common:
+        few = F.broadcast(common) if n_common <= BROADCAST_SPANS else common
+        strings = stored(strings_of(docs, few, length), "strings")
         twice = strings.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("one", "two")
         twice = stored(twice, "twice")
         used += [strings, twice]
