@@ -29,7 +29,8 @@ HEADLINE = [
     "split_stratified", "split_timeseries", "fit_predict_cells_linear", "fit_predict_ensemble",
     "cv_rmse_cells", "single_vs_multi", "kmeans_assign", "cluster_profile", "dbscan_regions", "kmeans_regions",
     "fit_predict_cells", "fit_predict_cells_boosted", "fit_predict_cells_levelwise", "fit_predict_cells_adaboost",
-    "cv_rmse_cells_boosted",
+    "cv_rmse_cells_boosted", "global_rf", "global_gbt_leafwise", "feature_importance", "tree_stump", "regrid_curvilinear",
+    "regrid_curvilinear_conservative",
 ]
 
 
