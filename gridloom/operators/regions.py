@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.aggregate import box_stats, time_quantile_features
 from gridloom.operators.features import fill_sentinel, melt_features, minmax_column
-from gridloom.sources.workspace import cut
+from gridloom.operators.metric import distance, near_balls
+from gridloom.sources.workspace import cut, stored
 
 
 def cluster_features(
@@ -66,20 +67,34 @@ def cluster_profile(df: DataFrame, features: list[str], cluster: str) -> DataFra
     return box_stats(melt_features(scaled, [cluster], features), [cluster, "feature"], "value")
 
 
-def _distance2(a: list[Column], b: list[Column]) -> Column:
+def _distance2(a: str, b: str, dims: int) -> Column:
+    """Squared distance of two arrays; in few dimensions written out, which compiles to plain arithmetic."""
+    if dims > INDEX_DIMS:
+        squares = F.zip_with(a, b, lambda p, q: (p - q) * (p - q))
+        return F.aggregate(squares, F.lit(0.0), lambda total, x: total + x)
     total = F.lit(0.0)
-    for p, q in zip(a, b):
-        total = total + (p - q) * (p - q)
+    for i in range(dims):
+        gap = F.get(a, F.lit(i)) - F.get(b, F.lit(i))
+        total = total + gap * gap
     return total
 
 
-def _near_boxes(left: DataFrame, right: DataFrame, dims: int, index_dims: int = 3) -> DataFrame:
+INDEX_DIMS = 3  # up to here the grid itself finds neighbours, beyond it the metric index
+
+
+def _near_boxes(left: DataFrame, right: DataFrame, dims: int, eps: float) -> DataFrame:
     """Pairs (a, b) of different boxes that may hold points within eps (box diagonal = eps).
 
-    Boxes meet on their first few grid coordinates and are then checked on all
-    of them; crowded or not, a box is one row here.
+    Crowded or not, a box is one row here. In a few dimensions boxes meet on their grid coordinates; with
+    more, almost all boxes are neighbours on a grid, and the true balls around their points meet instead.
     """
-    used = min(dims, index_dims)
+    if dims > INDEX_DIMS:
+        asking = left.select("box").withColumn("asks", F.lit(True))
+        balls = right.join(asking, ["box"], "left").select(
+            F.col("box").alias("key"), F.col("centre").alias("at"), F.col("radius").alias("r"), F.coalesce("asks", F.lit(False)).alias("asks")
+        )
+        return near_balls(balls, eps)
+    used = dims
     reach = int(dims**0.5) + 1
     steps = [
         s for s in product(range(-reach, reach + 1), repeat=used) if sum(max(abs(i) - 1, 0) ** 2 for i in s) <= dims
@@ -115,29 +130,38 @@ def dbscan(df: DataFrame, id_col: str, features: list[str], eps: float, min_poin
     """
     dims = len(features)
     side = eps / dims**0.5
-    coordinates = [F.col(f) for f in features]
-    box = F.array(*[F.floor(c / F.lit(side)).cast("bigint") for c in coordinates])
+    vectors = F.array(*[F.col(f).cast("double") for f in features])
+    flat = stored(df.select(id_col, vectors.alias("at")), "vectors").filter(~F.exists("at", lambda x: x.isNull() | F.isnan(x)))
     points = cut(
-        df.dropna(subset=features)
-        .groupBy(*features)
+        flat.groupBy("at")
         .agg(F.count(F.lit(1)).alias("w"), F.min(id_col).alias("pid"))
-        .withColumn("box", box)
+        .withColumn("box", F.transform("at", lambda x: F.floor(x / F.lit(side)).cast("bigint")))
+    )
+    boxes = stored(
+        points.groupBy("box")
+        .agg(F.sum("w").alias("total"), *_bounds(dims))
+        .select(
+            "box",
+            "total",
+            F.zip_with("lo", "hi", lambda a, b: (a + b) / 2).alias("centre"),
+            (distance(F.col("lo"), F.col("hi")) / 2).alias("radius"),
+        ),
+        "boxes",
     )
-    boxes = points.groupBy("box").agg(F.sum("w").alias("total"))
     dense = boxes.filter(F.col("total") >= min_points)
     sparse = boxes.filter(F.col("total") < min_points)
-    sparse_points = points.join(sparse, ["box"])
+    sparse_points = points.join(sparse.select("box", "total"), ["box"])
 
     # Every (sparse point, other point within eps in another box) pair.
     other = points.select(
-        F.col("box").alias("other_box"), F.col("pid").alias("other"), F.col("w").alias("other_w"), *[c.alias(f"_{f}") for c, f in zip(coordinates, features)]
+        F.col("box").alias("other_box"), F.col("pid").alias("other"), F.col("w").alias("other_w"), F.col("at").alias("other_at")
     )
     near = cut(
         sparse_points.join(
-            _near_boxes(sparse, boxes, dims).withColumnsRenamed({"a": "box", "b": "other_box"}), ["box"]
+            _near_boxes(sparse, boxes, dims, eps).withColumnsRenamed({"a": "box", "b": "other_box"}), ["box"]
         )
         .join(other, ["other_box"])
-        .filter(_distance2(coordinates, [F.col(f"_{f}") for f in features]) <= eps * eps)
+        .filter(_distance2("at", "other_at", dims) <= eps * eps)
         .select("pid", "box", "other", "other_w", "other_box")
     )
     reached = near.groupBy("pid").agg(F.sum("other_w").alias("outside"))
@@ -159,7 +183,7 @@ def dbscan(df: DataFrame, id_col: str, features: list[str], eps: float, min_poin
         .select(F.col("box").alias("a"), F.col("other_box").alias("b"))
         .distinct()
     )
-    crowded = _crowded_links(points, dense.select("box"), features, side, eps)
+    crowded = _crowded_links(points, dense, dims, side, eps)
     links = through.unionByName(crowded)
     both_ways = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = _components(nodes, both_ways)
@@ -178,13 +202,16 @@ def dbscan(df: DataFrame, id_col: str, features: list[str], eps: float, min_poin
     )
     border = own.unionByName(across).groupBy("pid").agg(F.min("cluster").alias("cluster"))
     known = core_labels.unionByName(border)
-    named = points.join(known, ["pid"], "left").select(
-        *features, F.coalesce("cluster", F.lit(-1)).alias("cluster")
-    )
-    return df.dropna(subset=features).join(named, features).select(id_col, "cluster")
+    named = points.join(known, ["pid"], "left").select("at", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    return flat.join(named, ["at"]).select(id_col, "cluster")
 
 
-def _crowded_links(points: DataFrame, dense: DataFrame, features: list[str], side: float, eps: float) -> DataFrame:
+def _bounds(dims: int) -> list[Column]:
+    """Least and greatest value of every coordinate, as two arrays."""
+    return [F.array(*[f(F.get("at", F.lit(i))) for i in range(dims)]).alias(name) for f, name in ((F.min, "lo"), (F.max, "hi"))]
+
+
+def _crowded_links(points: DataFrame, dense: DataFrame, dims: int, side: float, eps: float) -> DataFrame:
     """Pairs of crowded boxes with two points within eps.
 
     Each round holds pairs of sub-boxes with the true bounds of their points.
@@ -192,21 +219,17 @@ def _crowded_links(points: DataFrame, dense: DataFrame, features: list[str], sid
     nearest corners are not is dropped; the rest are split in half. Distinct
     points end as single-point sub-boxes, so the rounds end.
     """
-    dims = len(features)
-    crowd = points.join(dense, ["box"], "left_semi").select("box", *features)
+    crowd = points.join(dense.select("box"), ["box"], "left_semi").select("box", "at")
 
     def parts(level: int) -> DataFrame:
         width = F.lit(side / 2**level)
-        sub = F.array(*[F.floor(F.col(f) / width).cast("bigint") for f in features])
-        return crowd.groupBy("box", sub.alias("sub")).agg(
-            *[F.min(f).alias(f"lo{i}") for i, f in enumerate(features)],
-            *[F.max(f).alias(f"hi{i}") for i, f in enumerate(features)],
-        )
+        sub = F.transform("at", lambda x: F.floor(x / width).cast("bigint"))
+        return crowd.groupBy("box", sub.alias("sub")).agg(*_bounds(dims))
 
     def named(df: DataFrame, tag: str) -> DataFrame:
         return df.select(*[F.col(c).alias(f"{tag}_{c}") for c in df.columns])
 
-    candidates = _near_boxes(dense, dense, dims).filter("a < b")
+    candidates = cut(_near_boxes(dense, dense, dims, eps).filter("a < b"))
     found = candidates.limit(0)
     open_pairs = None
     level = 0
@@ -217,19 +240,16 @@ def _crowded_links(points: DataFrame, dense: DataFrame, features: list[str], sid
                 named(table, "q"), F.col("b") == F.col("q_box")
             )
         else:
-            half = [F.floor(F.get(F.col("sub"), i) / 2).cast("bigint") for i in range(dims)]
-            finer = table.withColumn("up", F.array(*half))
+            finer = table.withColumn("up", F.transform("sub", lambda x: F.floor(x / 2).cast("bigint")))
             left, right = named(finer, "p"), named(finer, "q")
             paired = open_pairs.join(
                 left, (F.col("a") == F.col("p_box")) & (F.col("pa") == F.col("p_up"))
             ).join(right, (F.col("b") == F.col("q_box")) & (F.col("pb") == F.col("q_up")))
-        nearest, farthest = F.lit(0.0), F.lit(0.0)
-        for i in range(dims):
-            gap = F.greatest(
-                F.lit(0.0), F.col(f"p_lo{i}") - F.col(f"q_hi{i}"), F.col(f"q_lo{i}") - F.col(f"p_hi{i}")
-            )
-            wide = F.greatest(F.col(f"p_hi{i}") - F.col(f"q_lo{i}"), F.col(f"q_hi{i}") - F.col(f"p_lo{i}"))
-            nearest, farthest = nearest + gap * gap, farthest + wide * wide
+        right_of = F.zip_with("p_lo", "q_hi", lambda a, b: a - b)
+        left_of = F.zip_with("q_lo", "p_hi", lambda a, b: a - b)
+        gaps = F.zip_with(right_of, left_of, lambda a, b: F.greatest(F.lit(0.0), a, b))
+        widths = F.zip_with(right_of, left_of, lambda a, b: F.greatest(-a, -b))
+        nearest, farthest = (F.aggregate(c, F.lit(0.0), lambda total, x: total + x * x) for c in (gaps, widths))
         judged = cut(
             paired.select(
                 "a",

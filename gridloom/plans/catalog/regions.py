@@ -101,3 +101,25 @@ def dbscan_regions(spark, sf):
     two = ["f0", "f1"]
     scaled = features.minmax_column(tables.emb(spark, sf).select("vec_id", *two), two)
     return regions.dbscan(scaled, "vec_id", two, 0.05, 5)
+
+
+_ALL = f"""{EMB}, e as (select {", ".join(f"min({f}) as lo_{f}, max({f}) as hi_{f}" for f in _F)} from emb),
+  p as (select vec_id, {", ".join(f"({f} - lo_{f}) / nullif(hi_{f} - lo_{f}, 0) as {f}" for f in _F)} from emb, e),
+  n as (select a.vec_id as i, b.vec_id as j from p a join p b
+    on {" + ".join(f"(a.{f} - b.{f}) * (a.{f} - b.{f})" for f in _F)} <= 1.6::double * 1.6::double),
+  core as (select i from n group by i having count(*) >= 5),
+  link as (select i, j from n where i in (select i from core) and j in (select i from core)),
+  reach(i, root) as (select i, i from core union select link.j, reach.root from reach join link on link.i = reach.i),
+  lab as (select i, min(root) as cluster from reach group by i),
+  border as (select n.i, min(lab.cluster) as cluster from n join lab on lab.i = n.j
+    where n.i not in (select i from core) group by n.i)"""
+
+
+@query(
+    "dbscan_regions_all_features",
+    f"""with recursive {_ALL} select vec_id, coalesce(lab.cluster, border.cluster, -1) as cluster
+      from p left join lab on lab.i = vec_id left join border on border.i = vec_id""",
+)
+def dbscan_regions_all_features(spark, sf):
+    scaled = features.minmax_column(tables.emb(spark, sf).select("vec_id", *_F), _F)
+    return regions.dbscan(scaled, "vec_id", _F, 1.6, 5)

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.operators.metric import near_balls
 from gridloom.operators import learning, linear, ranks, regions, splitting, trees
 from gridloom.sources.workspace import fresh_path
 
@@ -100,6 +101,31 @@ def test_dbscan_against_brute_force(spark, seed, dims):
     assert got == dbscan_brute({i: tuple(p) for i, p in enumerate(pts)}, 0.3, 5)
 
 
+def test_dbscan_on_64_features(spark):
+    rng = np.random.default_rng(8)
+    middles = rng.uniform(0, 1, (6, 64))
+    pts = np.concatenate([middles[rng.integers(0, 6, 380)] + rng.normal(0, 0.03, (380, 64)), rng.uniform(0, 1, (60, 64)), np.repeat(middles[:1], 60, axis=0)])
+    names = [f"c{i}" for i in range(64)]
+    pdf = pd.DataFrame(pts, columns=names).assign(id=np.arange(len(pts)))
+    got = {r.id: r.cluster for r in regions.dbscan(spark.createDataFrame(pdf), "id", names, 0.3, 5).collect()}
+    assert got == dbscan_brute({i: tuple(p) for i, p in enumerate(pts)}, 0.3, 5)
+    assert len(set(got.values())) == 7
+
+
+def test_metric_index_loses_no_pair(spark):
+    rng = np.random.default_rng(3)
+    at = np.concatenate([rng.normal(0, 1, (300, 5)), rng.normal(4, 0.1, (200, 5)), np.repeat([[9.0] * 5], 90, axis=0)])
+    r = rng.uniform(0, 0.1, len(at))
+    asks = rng.uniform(0, 1, len(at)) < 0.6
+    rows = [(i, [float(x) for x in p], float(q), bool(a)) for i, (p, q, a) in enumerate(zip(at, r, asks))]
+    balls = spark.createDataFrame(rows, "key int, at array<double>, r double, asks boolean")
+    got = [(p.a, p.b) for p in near_balls(balls, 0.3, leaf=20, fan=4).collect()]
+    apart = np.sqrt(((at[:, None] - at[None]) ** 2).sum(2))
+    want = {(i, j) for i, j in zip(*np.where(apart <= 0.3 + r[:, None] + r[None])) if i != j and asks[i]}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert near_balls(balls.limit(0), 0.3).count() == 0
+
+
 def cells(spark, n=240):
     rng = np.random.default_rng(5)
     rows = []
