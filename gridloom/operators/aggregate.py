@@ -6,6 +6,8 @@ cell's year, season or series); pooled groups use the skew-safe quantiles.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,16 +96,38 @@ def time_range(df: DataFrame) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
-    """Pearson correlation of every pair below the diagonal, pairwise complete, in one pass.
+    """Pearson correlation of every pair below the diagonal, over the rows that have both; NaN counts as missing.
 
-    A row becomes its pairs, which are summed up on the map side; the plan doesn't grow with their number.
+    A batch of rows becomes four masked matrix products, added up inside a task, so a task sends one row per pair
+    whatever it has read. Values are shifted by their mean first (by the value itself in a constant column), which
+    keeps the sums well conditioned. An empty table gives no rows, a pair without spread NULL.
     """
-    pairs = [(i, j) for i in range(len(features)) for j in range(i)]
-    place = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])).alias("at")
-    values = df.select(F.array(*[F.col(f).cast("double") for f in features]).alias("v"), place)
+    values = df.select(*[F.nanvl(F.col(f).cast("double"), F.lit(None)).alias(f) for f in features])
+    ends = values.agg(*[g(f).alias(f"{n}{i}") for i, f in enumerate(features) for n, g in (("m", F.avg), ("a", F.min), ("b", F.max))]).first()
+    shift = [float((ends[f"a{i}"] if ends[f"a{i}"] == ends[f"b{i}"] else ends[f"m{i}"]) or 0.0) for i in range(len(features))]
+
+    def products(batches):
+        total = None
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - np.array(shift)
+            there = ~np.isnan(x)
+            x, there = np.where(there, x, 0.0), there.astype(float)
+            new = np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x])
+            total = new if total is None else total + new
+        if total is not None:
+            i, j = np.tril_indices(len(shift), -1)
+            n, s, q, p = total
+            columns = [n[i, j], s[i, j], s[j, i], q[i, j], q[j, i], p[i, j]]
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), *map(pa.array, columns)], ["i", "j", *sums])
+
+    sums = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+    parts = values.mapInArrow(products, "i int, j int, " + ", ".join(f"{c} double" for c in sums))
+    pairs = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in sums])
+    var_x, var_y = (F.col(f"s{c}{c}") - F.col(f"s{c}") * F.col(f"s{c}") / F.col("n") for c in "xy")
+    varied = (F.col("n") > 0) & (var_x > F.col("sxx") * 1e-13) & (var_y > F.col("syy") * 1e-13)  # more than rounding
+    r = F.when(varied, (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(var_x * var_y))
     names = F.array(*[F.lit(f) for f in features])
-    matrix = values.groupBy("at").agg(F.corr(F.get("v", F.col("at.i")), F.get("v", F.col("at.j"))).alias("r"))
-    return matrix.select(F.get(names, F.col("at.i")).alias("a"), F.get(names, F.col("at.j")).alias("b"), "r")
+    return pairs.select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), r.alias("r"))
 
 
 def box_stats(df: DataFrame, keys: list[str], value: str, reach: float = 1.5) -> DataFrame:

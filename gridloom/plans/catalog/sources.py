@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from gridloom.operators import selection
 from gridloom.plans.catalog.base import DEM, PAIR, SUB, d, query, r
-from gridloom.sources import files, tables
+from gridloom.sources import files, snapshots, tables
 from gridloom.sources.workspace import fresh_path, stored
 
 _DATES = T.StructType([T.StructField("day", T.TimestampNTZType())])
@@ -182,3 +182,17 @@ def write_cube(spark, sf):
     path = fresh_path(spark, "cube")
     files.write_cube(tables.pair(spark, sf).select("time", "y", "x", "pred"), path, "demo")
     return spark.read.option("basePath", path).parquet(path)
+
+
+@query(
+    "publish_cube",
+    f"""with {PAIR} select {d('time')} as time, y, x, {r('truth')} as pred,
+      cast(year(time) as int) as year, 'demo' as run_key from pair""",
+)
+def publish_cube(spark, sf):
+    path = fresh_path(spark, "published")
+    pair = tables.pair(spark, sf)
+    snapshots.publish_cube(pair.select("time", "y", "x", "pred"), path, "demo")
+    snapshots.publish_cube(pair.select("time", "y", "x", F.col("truth").alias("pred")), path, "demo", overwrite=True)
+    snapshots.prune(spark, path, "demo", keep=1)
+    return snapshots.read_published(spark, path, ["demo"])
