@@ -99,17 +99,16 @@ def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
     """Pearson correlation of every pair below the diagonal, over the rows that have both; NaN counts as missing.
 
     A batch of rows becomes four masked matrix products, added up inside a task, so a task sends one row per pair
-    whatever it has read. Values are shifted by their mean first (by the value itself in a constant column), which
-    keeps the sums well conditioned. An empty table gives no rows, a pair without spread NULL.
+    whatever it has read. Values are shifted by their mean (by the value itself in a constant column), taken in a
+    scan before, which keeps the sums well conditioned. An empty table gives no rows, a pair without spread NULL.
     """
     values = df.select(*[F.nanvl(F.col(f).cast("double"), F.lit(None)).alias(f) for f in features])
-    ends = values.agg(*[g(f).alias(f"{n}{i}") for i, f in enumerate(features) for n, g in (("m", F.avg), ("a", F.min), ("b", F.max))]).first()
-    shift = [float((ends[f"a{i}"] if ends[f"a{i}"] == ends[f"b{i}"] else ends[f"m{i}"]) or 0.0) for i in range(len(features))]
+    shift = _middles(values)
 
     def products(batches):
         total = None
         for batch in batches:
-            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - np.array(shift)
+            x = _matrix(batch) - np.array(shift)
             there = ~np.isnan(x)
             x, there = np.where(there, x, 0.0), there.astype(float)
             new = np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x])
@@ -130,6 +129,30 @@ def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
     return pairs.select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), r.alias("r"))
 
 
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+
+
+def _middles(values: DataFrame) -> list[float]:
+    """Mean of every column, a constant column's value itself, 0 where all is missing. A task sends one row per column."""
+
+    def ends(batches):
+        n, total = 0, 0.0
+        low, high = np.inf, -np.inf
+        for x in map(_matrix, batches):
+            n, total = n + (~np.isnan(x)).sum(0), total + np.nansum(x, 0)
+            low, high = np.fmin(low, np.fmin.reduce(x, 0, initial=np.inf)), np.fmax(high, np.fmax.reduce(x, 0, initial=-np.inf))
+        if np.ndim(n):
+            columns = [np.arange(len(n)), n.astype(float), total, low, high]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["i", "n", "total", "low", "high"])
+
+    parts = values.mapInArrow(ends, "i long, n double, total double, low double, high double")
+    merged = parts.groupBy("i").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"))
+    middle = F.when(F.col("n") == 0, 0.0).when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("total") / F.col("n"))
+    found = {row.i: row.middle for row in merged.select("i", middle.alias("middle")).collect()}
+    return [found.get(i, 0.0) for i in range(len(values.columns))]
+
+
 def box_stats(df: DataFrame, keys: list[str], value: str, reach: float = 1.5) -> DataFrame:
     """Quartiles, whiskers at the last value within `reach` box lengths, outlier count."""
     quartiles = stored(quantile_columns(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}))
