@@ -3,8 +3,9 @@
 The standard library's parser turns a page into lines: a line is the text between two block borders,
 with its white space collapsed, the number of tags met in it, and the element it stands in. Lines in
 elements that never hold an article (menus, footers, scripts, ...) have no text to count. Forms and
-elements with a whole class name or id of CHROME (adverts, comments, ...) have none either, unless they
-hold a main or an article (on a page without these: most of the page's text), known once the page is read. Each line's ratio is its characters over its tags; the ratios are smoothed with a
+elements named as adverts, boxes or readers' comments have none either, unless they hold a main or an
+article that is no comment itself (on a page without these: most of the page's text), known once the page
+is read; a name that a heading inside repeats is a section's subject and hides nothing but a list of links. Each line's ratio is its characters over its tags; the ratios are smoothed with a
 Gaussian kernel and split by a two-cluster threshold, which chooses the content lines. Every chosen
 line is kept. The container (or the main or article around it) that holds all of them gives its short
 lines as well, in page order, so that a one-word paragraph between long ones is not lost; a headline
@@ -17,6 +18,8 @@ nested in `row`. Nothing is cut off, however long the page.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -50,18 +53,40 @@ CHROME = frozenset(
     "cookie-notice consent gdpr popup modal subscribe signup comment comments comment-list replies disqus disqus_thread "
     "widget pagination pager toolbar login skip skip-link".split()
 )
+# words inside a longer name, such as user-comments or advertTop
+COMMENT_WORDS = frozenset("comment comments commentlist respond replies disqus".split())
+CHROME_WORDS = frozenset(
+    "ad ads advert adverts advertisement sponsored promo cookie cookies consent gdpr popup modal breadcrumb breadcrumbs "
+    "pagination related recommended share sharing social newsletter subscribe signup".split()
+)
+# a first word that says what the element is beside or has, not what it is
+BESIDE = frozenset("has with no not without is hide show".split())
+WORDS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
 SIGMA, RADIUS = 1.0, 3
 
 
+def name_words(attrs: dict) -> list[list[str]]:
+    """The words of every class name and of the id, cut at signs and inner capitals."""
+    names = (attrs.get("class") or "").split() + (attrs.get("id") or "").split()
+    return [[w.lower() for w in WORDS.findall(name)] for name in names]
+
+
+def is_comment(attrs: dict) -> bool:
+    return any(words and words[0] not in BESIDE and not COMMENT_WORDS.isdisjoint(words) for words in name_words(attrs))
+
+
 class Lines(HTMLParser):
     """Collects (pieces, tags) per line, a piece being (text, element, hidden); element numbers form paths through `parent`."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # name, element number, hidden
+        self.stack: list[tuple[str, int, bool, bool]] = []  # name, element number, hidden, hidden by a block
+        self.open: Counter[str] = Counter()  # names on the stack
         self.parent = [-1]
         self.names = ["#page"]
         self.marked: set[int] = set()  # elements that are hidden unless they hold the article
+        self.subjects: dict[int, set[str]] = {}  # of these, the ones whose name may be a section's subject
+        self.comments: set[int] = set()  # of these, readers' comments
         self.whole: list[int] = []  # visible main and article elements
         self.lines: list[tuple[list[tuple[str, int, bool]], int]] = []
         self.parts: list[tuple[str, int, bool]] = []
@@ -70,6 +95,16 @@ class Lines(HTMLParser):
     def _at(self) -> tuple[int, bool]:
         return (self.stack[-1][1], self.stack[-1][2]) if self.stack else (0, False)
 
+    def _push(self, name: str, number: int, hidden: bool) -> None:
+        block_hidden = hidden and (name in BLOCKS or (bool(self.stack) and self.stack[-1][3]))
+        self.stack.append((name, number, hidden, block_hidden))
+        self.open[name] += 1
+
+    def _pop_to(self, k: int) -> None:
+        for entry in self.stack[k:]:
+            self.open[entry[0]] -= 1
+        del self.stack[k:]
+
     def _end_line(self) -> None:
         if self.parts:
             if any(not text.isspace() for text, _, _ in self.parts):
@@ -85,25 +120,44 @@ class Lines(HTMLParser):
             return True
         return "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower()
 
-    def _marks(self, name: str, attrs: dict) -> bool:
-        if name in WHOLE or name in HEADINGS:
-            return False
+    def _mark(self, name: str, attrs: dict, number: int) -> None:
+        if name in HEADINGS or name in ("html", "body", "main"):
+            return
+        if is_comment(attrs):
+            self.marked.add(number)
+            self.comments.add(number)
+            return
+        if name in WHOLE:
+            return
         classes = set((attrs.get("class") or "").lower().split())
-        if any(n in ("main", "article") for n, _, _ in self.stack):
+        if self.open["main"] or self.open["article"]:
             classes -= MASTHEADS  # the article's own header
-        return name == "form" or bool(classes & (CHROME | CHROME_CLASSES)) or (attrs.get("id") or "").strip().lower() in CHROME
+        if name == "form" or classes & CHROME or (attrs.get("id") or "").strip().lower() in CHROME:
+            self.marked.add(number)
+            return
+        subjects = classes & CHROME_CLASSES
+        for words in name_words(attrs):
+            if len(words) > 1 and words[0] not in BESIDE:
+                subjects |= CHROME_WORDS.intersection(words)
+        if subjects:
+            self.marked.add(number)
+            self.subjects[number] = subjects
 
     def _in_article_header(self) -> bool:
         """A heading in the header of an article is the article's own."""
-        names = [n for n, _, _ in self.stack]
+        if not (self.open["header"] and self.open["article"]):
+            return False
+        names = [entry[0] for entry in self.stack]
         return "header" in names and "article" in names[: names.index("header")] and not {"nav", "aside", "form"} & set(names)
 
     def handle_starttag(self, name, attrs):
         if name in BLOCKS:
             self._end_line()
             for k in range(len(self.stack) - 1, -1, -1):  # a block ends an open paragraph
+                if not self.open["p"]:
+                    break
                 if self.stack[k][0] == "p":
-                    del self.stack[k:]
+                    self._pop_to(k)
                     break
                 if self.stack[k][0] in BLOCKS:
                     break
@@ -119,18 +173,20 @@ class Lines(HTMLParser):
             self.names.append(name)
             number = len(self.parent) - 1
             hidden = self._hides(name, dict(attrs), self._at()[1])
-            if not hidden and self._marks(name, dict(attrs)):
-                self.marked.add(number)
+            if not hidden:
+                self._mark(name, dict(attrs), number)
             if not hidden and name in ("main", "article"):
                 self.whole.append(number)
-            self.stack.append((name, number, hidden))
+            self._push(name, number, hidden)
         else:
-            self.stack.append((name, *self._at()))
+            self._push(name, *self._at())
 
     def _close_open(self, name: str, stop: set) -> None:
+        if not self.open[name]:
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == name:
-                del self.stack[k:]
+                self._pop_to(k)
                 return
             if self.stack[k][0] in stop:
                 return
@@ -144,34 +200,59 @@ class Lines(HTMLParser):
         if name in BLOCKS:
             self._end_line()
         self.tags += 1
+        if not self.open[name]:
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == name:
-                del self.stack[k:]
+                self._pop_to(k)
                 return
             if self.stack[k][0] in BLOCKS and name not in BLOCKS:
                 return
 
     def handle_data(self, data):
         hidden = self._at()[1]
-        block_hidden = any(n in BLOCKS and h for n, _, h in self.stack) if hidden else False
-        if hidden and not block_hidden:
+        if hidden and not self.stack[-1][3]:
             return  # a hidden inline element inside a line
         self.parts.append((data, self._at()[0], hidden))
 
     def resolved(self) -> list[tuple[str, int, int, bool]]:
         """(text, tags, element, hidden) per line, once it is known what the marked elements hold."""
-        size = [0] * len(self.parent)
+        count = len(self.parent)
+        in_link, under = [False] * count, [False] * count  # under: in readers' comments
+        for e in range(1, count):
+            in_link[e] = in_link[self.parent[e]] or self.names[e] == "a"
+            under[e] = under[self.parent[e]] or e in self.comments
+        size, linked, said = [0] * count, [0] * count, [set() for _ in self.subjects]
+        place = {e: k for k, e in enumerate(self.subjects)}
+        holder = [-1] * count  # the nearest element around that may be a section of its own subject
+        heading = [False] * count
+        for e in range(1, count):
+            holder[e] = e if e in place else holder[self.parent[e]]
+            heading[e] = heading[self.parent[e]] or self.names[e] in HEADINGS
         for pieces, _ in self.lines:
             for text, element, hidden in pieces:
-                size[element] += 0 if hidden else len("".join(text.split()))
-        for e in range(len(size) - 1, 0, -1):
+                n = 0 if hidden else len("".join(text.split()))
+                size[element] += n
+                linked[element] += n if in_link[element] else 0
+                if n and heading[element] and holder[element] >= 0:
+                    said[place[holder[element]]] |= set(re.findall(r"[a-z]+", text.lower()))
+        own = list(size)
+        for e in range(count - 1, 0, -1):
             size[self.parent[e]] += size[e]
-        articles = [e for e in self.whole if size[e]]
+            linked[self.parent[e]] += linked[e]
+            if e not in self.comments:
+                own[self.parent[e]] += own[e]
+        # an article that is a reader's comment counts only where there is no other
+        whole = [e for e in self.whole if size[e]]
+        articles = [e for e in whole if not under[e] and own[e]] or whole
         spared = set() if articles else {e for e in self.marked if 2 * size[e] > size[0]}
+        spared |= {e for e, words in self.subjects.items() if words & said[place[e]] and own[e] > 2 * linked[e]}
+        holding: set[int] = set()
         for e in articles:
-            while e > 0:
-                spared.add(e)
+            while e > 0 and e not in holding:
+                holding.add(e)
                 e = self.parent[e]
+        spared |= holding
         off = [False] * len(size)
         in_block = [False] * len(size)  # hidden by a block, so the line stays, without text to count
         for e in range(1, len(size)):
@@ -183,22 +264,21 @@ class Lines(HTMLParser):
             shown = [(text, e) for text, e, hidden in pieces if not hidden and not off[e]]
             if not any(not text.isspace() for text, _ in shown):
                 shown = []
-            said = shown or [(text, e) for text, e, hidden in pieces if hidden or in_block[e]]
-            text = " ".join("".join(t for t, _ in said).split())
+            words = shown or [(text, e) for text, e, hidden in pieces if hidden or in_block[e]]
+            text = " ".join("".join(t for t, _ in words).split())
             if text:
-                lines.append((text, tags, common(self.parent, [e for t, e in said if not t.isspace()]), not shown))
+                lines.append((text, tags, common(self.parent, [e for t, e in words if not t.isspace()]), not shown))
         return lines
 
 
 def common(parent: list[int], elements: list[int]) -> int:
-    """The deepest element that holds all of them (a parent's number is smaller than its children's)."""
-    found = elements[0]
-    for e in elements:
-        while found != e:
-            if found > e:
-                found = parent[found]
-            else:
-                e = parent[e]
+    """The deepest element that holds all of them (numbers go down the page, so the first and the last decide)."""
+    found, e = min(elements), max(elements)
+    while found != e:
+        if found > e:
+            found = parent[found]
+        else:
+            e = parent[e]
     return found
 
 
@@ -239,19 +319,23 @@ def main_text(html: str | None) -> str:
         chosen = open_text > 0
     paths = Paths(parser)
     best = paths.region(common(parser.parent, [line[2] for line, use in zip(lines, chosen, strict=True) if use]))
-    kept = [not hidden and (bool(use) or paths.inside(element, best)) for (_, _, element, hidden), use in zip(lines, chosen, strict=True)]
+    within = paths.inside(best)
+    kept = [not hidden and (bool(use) or within[element]) for (_, _, element, hidden), use in zip(lines, chosen, strict=True)]
     first = kept.index(True)
     # a headline before the region, and what stands between them
-    if not any(keep and paths.headed(line[2], "h1") for line, keep in zip(lines, kept, strict=True)):
+    headed = paths.headed("h1")
+    if not any(keep and headed[line[2]] for line, keep in zip(lines, kept, strict=True)):
         for name in ("h1", "h2"):
-            at = next((i for i in range(first - 1, -1, -1) if not lines[i][3] and paths.headed(lines[i][2], name)), None)
+            headed = paths.headed(name)
+            at = next((i for i in range(first - 1, -1, -1) if not lines[i][3] and headed[lines[i][2]]), None)
             if at is None:
                 continue
             both = common(parser.parent, [best, lines[at][2]])
             wrapped = parser.names[both] not in PAGE
             if wrapped or name == "h1":
+                within = paths.inside(both)
                 for i, (_, _, element, hidden) in enumerate(lines):
-                    kept[i] |= not hidden and (at <= i < first or (wrapped and paths.inside(element, both)))
+                    kept[i] |= not hidden and (at <= i < first or (wrapped and within[element]))
                 break
     return "\n\n".join(line[0] for line, keep in zip(lines, kept, strict=True) if keep)
 
@@ -266,15 +350,19 @@ class Paths:
     def __init__(self, parser: Lines):
         self.parent, self.names = parser.parent, parser.names
 
-    def inside(self, element: int, region: int) -> bool:
-        while element > region:
-            element = self.parent[element]
-        return element == region
-
-    def headed(self, element: int, name: str) -> bool:
-        while element > 0 and self.names[element] != name:
-            element = self.parent[element]
-        return element > 0
+    def inside(self, region: int) -> list[bool]:
+        """Of every element, whether it stands in the region."""
+        found = [False] * len(self.parent)
+        for e, up in enumerate(self.parent):
+            found[e] = e == region or (e > 0 and found[up])
+        return found
+
+    def headed(self, name: str) -> list[bool]:
+        """Of every element, whether it stands in an element of that name."""
+        found = [False] * len(self.parent)
+        for e, up in enumerate(self.parent):
+            found[e] = e > 0 and (self.names[e] == name or found[up])
+        return found
 
     def region(self, element: int) -> int:
         """The outermost main or article around the element, else the nearest container."""

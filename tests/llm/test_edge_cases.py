@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing column names."""
 
+import time
 import pytest
 from pyspark.sql import functions as F
 
@@ -339,3 +340,35 @@ def test_html_keeps_every_chosen_line():
     assert html.main_text(two) == "\n\n".join([said] * 6 + ["ok"] + [said] * 4)
     loose = f"<div>{f'<p>{said}</p>' * 3}</div>" + f"<article>{f'<p>{said}</p>' * 9}</article>"
     assert html.main_text(loose) == "\n\n".join([said] * 12)
+
+
+LONG = "<p>This is a long paragraph of the article with many words in it, so that its ratio of text to tags is high.</p>"
+REPLY = "<p>I, a reader, have an opinion on this article, and I say it at length in this long comment text.</p>"
+
+
+def page_with(extra, element="article"):
+    return f"<html><body><nav><a href=1>Home</a></nav><{element}><h1>Title</h1>{LONG * 3}{extra}</{element}><footer>foot</footer></body></html>"
+
+
+@pytest.mark.parametrize("element", ["article", "main"])
+def test_html_comments_and_boxes_inside_the_article(element):
+    plain = html.main_text(page_with("", element))
+    assert plain.count("long") == 3
+    for name in ("class='comments-area'", "class='comment-body'", "id='user-comments'", "class='commentlist'"):
+        assert html.main_text(page_with(f"<div {name}>{REPLY * 4}</div>", element)) == plain, name
+    replies = f"<article class='comment-body'>{REPLY}</article><article class=comment>{REPLY}</article>"
+    assert html.main_text(page_with(f"<div class=comments>{replies}</div>", element)) == plain
+    assert html.main_text(page_with("", element) + f"<section id=comments><article>{REPLY * 3}</article></section>") == plain
+    for name in ("cookieConsent", "related-posts", "advert-top", "share-buttons"):
+        assert html.main_text(page_with(f"<div class='{name}'><a href=2>Boxed link text here</a> Boxed</div>", element)) == plain, name
+    for name, title in (("discussion", "Discussion"), ("related-work", "Related work"), ("search", "Search")):
+        text = html.main_text(page_with(f"<div class='{name}'><h2>{title}</h2>{LONG * 2}</div>", element))
+        assert text.count("long") == 5 and f"\n\n{title}\n\n" in text
+
+
+def test_html_deep_nesting_takes_linear_time():
+    n = 100_000
+    for text in ("<div class=a>" * n + "x", "<div class=a>text " * n, "<span class=b>t " * n, "<div hidden>" + "<b>q" * n, "<article>y " * n):
+        start = time.monotonic()
+        html.main_text(text)
+        assert time.monotonic() - start < 60
