@@ -1,6 +1,6 @@
 """Chat formatting with Spark expressions only.
 
-A conversation's turns are collected as structs, sorted, and folded: adjacent turns of one role merge
+A conversation's turns are collected as structs, sorted, and joined: adjacent turns of one role merge
 into one block, in which a separator marks where a turn ends, so nothing is lost. The template is
 
     <|start:role|>first text<|turn|>next text of the same role<|end|>
@@ -9,9 +9,9 @@ Inside texts and roles, control strings (these marks, and those of other common
 [INST], [/INST]) are broken up by an escape mark after their first character, and the escape mark
 itself is escaped, so that parsing gives back every text exactly.
 
-The fold is associative: a piece of a conversation is (first role, last role, body without the outer
-marks). Turns are first folded in groups of `group` turn numbers and the pieces then folded per
-conversation, so that a conversation with very many turns isn't sorted or folded in one go; what one
+The join is associative: a piece of a conversation is (first role, last role, body without the outer
+marks). Turns are first joined in groups of `group` turn numbers and the pieces then joined per
+conversation, so that a conversation with very many turns isn't sorted or joined in one go; what one
 task must hold at last is the formatted conversation itself, which is the result.
 
 Defined results: a null text or role is empty; turns are ordered by turn (null first), then role and
@@ -44,19 +44,26 @@ def opened(role: Column) -> Column:
 
 
 def fold(pieces: Column) -> Column:
-    """Folds an array of (first, last, body, n) in order into one such struct."""
-
-    def add(done, piece):
-        same = done["last"] == piece["first"]
-        joint = F.when(same, F.lit(JOINT)).otherwise(F.concat(F.lit(CLOSE), opened(piece["first"])))
-        return F.struct(
-            done["first"].alias("first"),
-            piece["last"].alias("last"),
-            F.concat(done["body"], joint, piece["body"]).alias("body"),
-            (done["n"] + piece["n"]).alias("n"),
-        )
-
-    return F.aggregate(F.slice(pieces, 2, F.size(pieces)), F.get(pieces, F.lit(0)), add)
+    """Joins an array of (first, last, body, n) in order into one such struct; every body is copied once.
+
+    Adjacent blocks of one role merge: what stands before a piece depends on the role that the piece before it
+    ends with, so all joints are known at once and the bodies are concatenated in one step.
+    """
+    before = F.transform(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: p["last"])
+    after = F.slice(pieces, 2, F.size(pieces))
+
+    def joined(role, piece):
+        joint = F.when(role == piece["first"], F.lit(JOINT)).otherwise(F.concat(F.lit(CLOSE), opened(piece["first"])))
+        return F.concat(joint, piece["body"])
+
+    head, end = F.get(pieces, F.lit(0)), F.element_at(pieces, -1)
+    rest = F.array_join(F.zip_with(before, after, joined), "")
+    return F.struct(
+        head["first"].alias("first"),
+        end["last"].alias("last"),
+        F.concat(head["body"], rest).alias("body"),
+        F.aggregate(pieces, F.lit(0).cast("long"), lambda n, p: n + p["n"]).alias("n"),
+    )
 
 
 def piece(x: Column) -> Column:
