@@ -15,7 +15,8 @@ Candidates only say which documents are compared with each other: their connecte
 shingle sets. In a group, the class that agrees most with the others is compared with all of them,
 then every class not yet in the largest component is compared with all; links inside a component
 can't change it, so no pair of its members is made. That finds the exact components of the group
-while comparing (1 + classes outside the largest component) x group sets. Groups with more than
+while comparing (1 + classes outside the largest component) x group sets, of which only those that
+share one of a set's rarest shingles are looked at (prefix filter, loses no link). Groups with more than
 `group_rows` classes are dealt into blocks: each block is settled in itself, and the classes outside
 the largest component are compared with all blocks, block by block.
 
@@ -275,14 +276,47 @@ class Sets:
         self.values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         self.begins = np.cumsum(self.sizes) - self.sizes
         self.sketch = sketch
+        self.percent = None
 
     def one(self, i: int) -> np.ndarray:
         return self.values[self.begins[i] : self.begins[i] + self.sizes[i]]
 
-    def linked(self, own: np.ndarray, sketch: np.ndarray, percent: int, slack: float) -> np.ndarray:
+    def index(self, percent: int) -> None:
+        """Post every set under its rarest shingles, as many as it may lack of a linked set, and one.
+
+        Two linked sets share percent / 100 of the larger one, so the first shingle they share, in any
+        fixed order, is among these of both: no link is lost. Rarest first (in this block) keeps a
+        passage that all share out of the postings.
+        """
+        self.known, inverse, uses = np.unique(self.values, return_inverse=True, return_counts=True)
+        self.rank = np.empty(len(self.known), np.int32)
+        self.rank[np.argsort(uses, kind="stable")] = np.arange(len(self.known), dtype=np.int32)
+        rank = self.rank[inverse]
+        del inverse
+        owner = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        rank = rank[np.lexsort((rank, owner))]
+        posted = np.arange(len(rank)) - np.repeat(self.begins, self.sizes) < np.repeat(prefix(self.sizes, percent), self.sizes)
+        rank, owner = rank[posted], owner[posted]
+        order = np.argsort(rank, kind="stable")
+        self.posted, self.owner, self.percent = rank[order], owner[order], percent
+
+    def sharing(self, own: np.ndarray) -> np.ndarray:
+        """Indexes of the sets posted under one of the rarest shingles of `own`."""
+        at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+        ranks = np.sort(self.rank[at[self.known[at] == own]])
+        unseen = len(own) - len(ranks)  # the rarest of all: in no set of the block
+        ranks = ranks[: max(int(prefix(len(own), self.percent)) - unseen, 0)]
+        low, high = np.searchsorted(self.posted, ranks), np.searchsorted(self.posted, ranks, "right")
+        found = np.zeros(len(self.sizes), bool)
+        for i, j in zip(low, high, strict=True):
+            found[self.owner[i:j]] = True
+        return np.flatnonzero(found)
+
+    def linked(self, own: np.ndarray, percent: int) -> np.ndarray:
         """Indexes of the sets whose similarity with `own` is percent / 100 or more, exactly."""
-        small, large = np.minimum(self.sizes, len(own)), np.maximum(self.sizes, len(own))
-        may = np.flatnonzero((100 * small >= percent * large) & (agreement(self.sketch, sketch) >= percent / 100 - slack))
+        may = self.sharing(own) if self.percent == percent else np.arange(len(self.sizes))
+        small, large = np.minimum(self.sizes[may], len(own)), np.maximum(self.sizes[may], len(own))
+        may = may[100 * small >= percent * large]
         if not len(may):
             return may
         sizes = self.sizes[may]
@@ -294,6 +328,11 @@ class Sets:
         return may[100 * both >= percent * (sizes + len(own) - both)]
 
 
+def prefix(sizes, percent: int):
+    """How many of a set's shingles, in a fixed order, hold the first that it shares with any linked set."""
+    return sizes + (-percent * sizes) // 100 + 1
+
+
 def found_root(parent: np.ndarray, i: int) -> int:
     while parent[i] != i:
         parent[i] = parent[parent[i]]
@@ -301,13 +340,13 @@ def found_root(parent: np.ndarray, i: int) -> int:
     return i
 
 
-def settle(block: Sets, percent: int, slack: float) -> np.ndarray:
+def settle(block: Sets, percent: int) -> np.ndarray:
     """The component (its smallest index) of each set of the block."""
     n = len(block.sizes)
     parent = np.arange(n)
 
     def lead(i: int) -> None:
-        for j in block.linked(block.one(i), block.sketch[i], percent, slack):
+        for j in block.linked(block.one(i), percent):
             a, b = found_root(parent, i), found_root(parent, int(j))
             parent[max(a, b)] = min(a, b)
 
@@ -318,6 +357,8 @@ def settle(block: Sets, percent: int, slack: float) -> np.ndarray:
         lead(medoid(block.sketch))
     label = roots()
     outside = np.flatnonzero(label != np.bincount(label).argmax()) if n > 1 else np.zeros(0, np.int64)
+    if len(outside) > 2:
+        block.index(percent)
     for i in outside:
         lead(int(i))
     return roots()
@@ -329,11 +370,6 @@ def medoid(sketch: np.ndarray) -> int:
     return int(agreement(sketch, common).argmax())
 
 
-def slack_of(percent: int, number: int) -> float:
-    """Five standard deviations of the agreement of `number` places at the threshold."""
-    return 5 * (percent / 100 * (1 - percent / 100) / number) ** 0.5
-
-
 def sets_of(docs: DataFrame, members: DataFrame, words: int, number: int) -> DataFrame:
     """label, part, parts, class, set (binary), sketch (binary) of the classes in groups.
 
@@ -369,18 +405,18 @@ def loaded(table: pa.Table) -> tuple[list[bytes], Sets]:
     return keys, Sets(sets, sketch)
 
 
-def links_in_blocks(sets: DataFrame, percent: int, slack: float) -> DataFrame:
+def links_in_blocks(sets: DataFrame, percent: int) -> DataFrame:
     """Inside each (label, part): class and the class that stands for its component."""
 
     def run(table: pa.Table) -> pa.Table:
         keys, block = loaded(table)
-        label = settle(block, percent, slack)
+        label = settle(block, percent)
         return pa.table({"a": pa.array(keys, pa.binary()), "b": pa.array([keys[i] for i in label], pa.binary())})
 
     return sets.groupBy("label", "part").applyInArrow(run, "a binary, b binary")
 
 
-def links_across(sets: DataFrame, outside: DataFrame, percent: int, slack: float) -> DataFrame:
+def links_across(sets: DataFrame, outside: DataFrame, percent: int) -> DataFrame:
     """Links of the classes outside a group's largest component with the blocks of the group.
 
     Each outside block meets each block of its group once; one link per outside class and block's component suffices.
@@ -400,8 +436,10 @@ def links_across(sets: DataFrame, outside: DataFrame, percent: int, slack: float
         if a.num_rows and b.num_rows:
             own, block = loaded(a)
             names, target = loaded(b)
+            if len(own) > 2:
+                target.index(percent)
             for i, key in enumerate(own):
-                for j in target.linked(block.one(i), block.sketch[i], percent, slack):
+                for j in target.linked(block.one(i), percent):
                     out_a.append(key)
                     out_b.append(names[j])
         return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
@@ -412,29 +450,28 @@ def links_across(sets: DataFrame, outside: DataFrame, percent: int, slack: float
 
 def settled(docs: DataFrame, members: DataFrame, words: int, number: int, percent: int, group_rows: int) -> DataFrame:
     """class, root for the classes in groups. members: label, class, doc_id, text_key, n_shingles (stored)."""
-    slack = slack_of(percent, number)
     parts = F.ceil(F.greatest(F.count(F.lit(1)) / group_rows, F.sum("n_shingles") / GROUP_SHINGLES)).cast("long")
     sizes = members.groupBy("label").agg(parts.alias("parts"))
     dealt = members.join(sizes, "label").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")))
     small = sets_of(docs, dealt.where("parts = 1"), words, number)
-    settled_small = links_in_blocks(small, percent, slack)
+    settled_small = links_in_blocks(small, percent)
     large = stored(dealt.where("parts > 1"), "large")
     if not large.take(1):
         return settled_small.select(F.col("a").alias("class"), F.col("b").alias("root"))
     # large groups: join the blocks' components through one leader per block, then ask for what is outside
     sets = stored(sets_of(docs, large, words, number), "sets")
-    inner = stored(links_in_blocks(sets, percent, slack), "inner")
+    inner = stored(links_in_blocks(sets, percent), "inner")
     where = large.select("class", "label", "part").dropDuplicates(["class"])
     sizes = inner.groupBy(F.col("b").alias("class")).agg(F.count(F.lit(1)).alias("n"))
     first = Window.partitionBy("label", "part").orderBy(F.desc("n"), "class")
     leaders = where.join(sizes, "class").withColumn("nth", F.row_number().over(first)).where("nth = 1").select("class")
-    joined = stored(inner.unionByName(links_across(sets, leaders, percent, slack)), "joined")
+    joined = stored(inner.unionByName(links_across(sets, leaders, percent)), "joined")
     roots = components(joined).select(F.col("node").alias("class"), F.col("label").alias("root"))
     named = stored(where.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")), "named")
     most = Window.partitionBy("label").orderBy(F.desc("n"), "root")
     largest = named.groupBy("label", "root").agg(F.count(F.lit(1)).alias("n")).withColumn("nth", F.row_number().over(most)).where("nth = 1")
     outside = named.join(largest.select("root"), "root", "left_anti").select("class")
-    final = components(joined.unionByName(links_across(sets, outside, percent, slack)))
+    final = components(joined.unionByName(links_across(sets, outside, percent)))
     of_large = where.select("class").join(final.select(F.col("node").alias("class"), F.col("label").alias("root")), "class", "left")
     return settled_small.select(F.col("a").alias("class"), F.col("b").alias("root")).unionByName(
         of_large.select("class", F.coalesce("root", "class").alias("root"))

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing column names."""
 
 import time
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -372,3 +373,34 @@ def test_html_deep_nesting_takes_linear_time():
         start = time.monotonic()
         html.main_text(text)
         assert time.monotonic() - start < 60
+
+
+def test_components_of_a_block_equal_those_of_all_pairs():
+    """The prefix filter loses no link: sets with a common passage, copies with changes, unrelated ones."""
+    rng = np.random.default_rng(3)
+
+    def fresh(n):
+        return rng.integers(0, 1 << 63, n, dtype=np.uint64)
+
+    def expected(sets, percent):
+        label = list(range(len(sets)))
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                both = len(np.intersect1d(a, b))
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    low, high = sorted((label[i], label[j]))
+                    label = [low if x == high else x for x in label]
+        return label
+
+    for _ in range(40):
+        common, sets = fresh(60), []
+        for _ in range(int(rng.integers(1, 30))):
+            if sets and rng.random() < 0.5:
+                old = rng.permutation(sets[rng.integers(len(sets))])
+                changed = int(rng.integers(0, len(old) // 8 + 1))
+                sets.append(np.unique(np.concatenate((old[changed:], fresh(changed)))))
+            else:
+                sets.append(np.unique(np.concatenate((common[: rng.integers(0, 60)], fresh(rng.integers(1, 40))))))
+        sketch = rng.integers(0, 255, (len(sets), 120)).astype(np.uint8)
+        for percent in (50, 80, 85, 100):
+            assert neardup.settle(neardup.Sets(sets, sketch), percent).tolist() == expected(sets, percent)
