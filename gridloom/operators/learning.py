@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import Transformer
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GeneralizedLinearRegression
@@ -11,6 +13,7 @@ from pyspark.sql.window import Window as W
 
 from gridloom.functions.numeric import rmse
 from gridloom.operators import forests, trees
+from gridloom.operators.ranks import hash_order, positions
 from gridloom.operators.splitting import _axis_positions, uniform
 from gridloom.schema import CELL, LEARNERS, check_vocabulary
 from gridloom.sources.workspace import cut, stored
@@ -265,6 +268,48 @@ def trial_importance(trials: DataFrame, params: list[str], by: str = "value") ->
     return row.unpivot([], params, "param", "r")
 
 
+#: Squared errors are summed as whole multiples of its inverse, so that sums don't depend on partitions.
+ERROR_UNITS = 1 << 20
+
+
+def permutation_importance(
+    df: DataFrame,
+    keys: list[str],
+    features: list[str],
+    target: str,
+    predict: Callable[[DataFrame], DataFrame],
+    repeats: int = 5,
+    seed: int = 42,
+) -> DataFrame:
+    """Rise of the mean squared error when a feature is permuted: (feature, importance, n).
+
+    `predict` adds `predicted` to rows of (keys, features, target). A permutation joins the ranks of two
+    seeded hash orders of the rows (`keys` name a row); all features take their values from the same donor
+    row, one feature at a time, so one join a repeat serves all. Ranks are counted in chunks. Rows with a missing
+    value are left out; an unused feature has exactly 0; predictions that are missing don't count.
+    """
+    rows = stored(df.dropna(subset=[*features, target]).select(*dict.fromkeys([*keys, *features, target])), "rows")
+    turns = rows.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+
+    def ranked(order: str) -> DataFrame:
+        hashed = turns.withColumn("_h", hash_order(f"{seed}{order}", "_turn", *keys))
+        return positions(hashed, ["_turn"], ["_h", *keys], F.substring("_h", 1, 4), "_pos").drop("_h")
+
+    donors = ranked("from").select("_turn", "_pos", F.struct(*features).alias("_donor"))
+    met = ranked("to").join(donors, ["_turn", "_pos"])
+    variants = [F.struct(F.lit(None).cast("string").alias("feature"), *features)] + [
+        F.struct(F.lit(f).alias("feature"), *[(F.col("_donor")[g] if g == f else F.col(g)).alias(g) for g in features]) for f in features
+    ]
+    others = [c for c in rows.columns if c not in features]
+    tried = met.select("_turn", *others, F.explode(F.array(*variants)).alias("_t")).select("_turn", *others, "_t.*")
+    gap = F.col("predicted") - F.col(target)
+    units = F.round(gap * gap * ERROR_UNITS).cast("decimal(30,0)")
+    sums = predict(tried).groupBy("feature").agg(F.sum(units).alias("units"), F.count("predicted").alias("n"))
+    mean = F.col("units").cast("double") / F.col("n") / ERROR_UNITS
+    base = sums.filter("feature is null").select(mean.alias("base"))
+    return sums.filter("feature is not null").select("feature", (mean - base.scalar()).alias("importance"), (F.col("n") / repeats).cast("long").alias("n"))
+
+
 def rank_runs(scores: DataFrame, within: str = "predictand", by: str = "rmse") -> DataFrame:
     """Rank runs by score within each predictand (one row per run)."""
     return scores.withColumn("rank", F.rank().over(W.partitionBy(within).orderBy(by)))

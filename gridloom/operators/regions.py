@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import partial
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 from gridloom.operators.aggregate import box_stats, time_quantile_features
 from gridloom.operators.features import fill_sentinel, melt_features, minmax_column
 from gridloom.operators.metric import distance, near_balls
+from gridloom.operators.ranks import hash_order
 from gridloom.sources.workspace import cut, stored
 
 
@@ -40,6 +44,78 @@ def kmeans_regions(
     return out.drop("_f", "_known")
 
 
+def kmeans_many(
+    df: DataFrame, id_col: str, features: list[str], ks: list[int], rounds: int = 20, seed: int = 0
+) -> DataFrame:
+    """k-means for many k at once: (id, k, region); rows with a missing or non-finite feature get no region.
+
+    The first k rows of a seeded hash order start as centres. A round is one pass for all k: a task assigns
+    its rows and adds up their features by (k, region), and only these sums are shuffled. A centre without
+    rows stays. Rounds end when no centre moves. The driver holds sum(ks) centres. Ties go to the smaller label.
+    """
+    values = F.array(*[F.col(f).cast("double") for f in features])
+    bad = F.exists("at", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    rows = stored(df.select(F.col(id_col).alias("id"), values.alias("at")), "vectors")
+    whole = rows.filter(~bad)
+    starts = whole.orderBy(hash_order(seed, "id"), "id").limit(max(ks)).select("at").collect()
+    centres = {k: np.array([s["at"] for s in starts[:k]]).reshape(-1, len(features)) for k in ks}
+
+    def assigned(batches, centres):
+        for batch in batches:
+            if batch.num_rows:
+                at = batch.column("at").flatten().to_numpy().reshape(batch.num_rows, -1)
+                yield batch.column("id"), at, {k: _nearest(at, c) for k, c in centres.items()}
+
+    def summed(batches, centres):
+        total = {k: np.zeros(c.shape) for k, c in centres.items()}
+        count = {k: np.zeros(len(c), np.int64) for k, c in centres.items()}
+        for _, at, regions in assigned(batches, centres):
+            for k, region in regions.items():
+                np.add.at(total[k], region, at)
+                count[k] += np.bincount(region, minlength=len(count[k]))
+        for k in centres:
+            used = np.flatnonzero(count[k])
+            columns = [np.full(len(used), k), used, count[k][used]]
+            arrays = [pa.array(c.astype(np.int64)) for c in columns]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(list(total[k][used]), pa.list_(pa.float64()))], ["k", "region", "n", "total"])
+
+    def labelled(batches, centres):
+        for ids, _, regions in assigned(batches, centres):
+            for k, region in regions.items():
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(ids), k, np.int32)), pa.array(region.astype(np.int32))], ["id", "k", "region"])
+
+    for _ in range(rounds if starts else 0):
+        parts = whole.mapInArrow(partial(summed, centres=centres), "k long, region long, n long, total array<double>")
+        sums = (
+            parts.select("k", "region", "n", F.posexplode("total").alias("i", "total"))
+            .groupBy("k", "region", "i")
+            .agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+        )
+        moved = {k: c.copy() for k, c in centres.items()}
+        for s in sums.collect():
+            moved[s["k"]][s["region"], s["i"]] = s["total"] / s["n"]
+        settled = all(np.array_equal(moved[k], centres[k]) for k in ks)
+        centres = moved
+        if settled:
+            break
+    kind = rows.schema["id"].dataType.simpleString()
+    known = whole.mapInArrow(partial(labelled, centres=centres), f"id {kind}, k int, region int")
+    missing = rows.filter(bad).select(
+        "id", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"), F.lit(None).cast("int").alias("region")
+    )
+    return known.unionByName(missing).withColumnRenamed("id", id_col)
+
+
+def _nearest(at: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Index of the nearest centre of each row, one centre at a time so that memory stays that of the rows."""
+    best, label = np.full(len(at), np.inf), np.zeros(len(at), np.int64)
+    for i, centre in enumerate(centres):
+        gap = ((at - centre) ** 2).sum(axis=1)
+        closer = gap < best
+        best[closer], label[closer] = gap[closer], i
+    return label
+
+
 def kmeans_assign(df: DataFrame, centroids: DataFrame, features: list[str], label: str = "region") -> DataFrame:
     """Nearest of given centroids; ties go to the smaller label.
 

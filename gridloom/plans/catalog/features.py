@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from gridloom.functions import numeric
 from gridloom.operators import features, resample
 from gridloom.plans.catalog.base import EMB, PAIR, RAIN, SUB, d, query, r, ratio
-from gridloom.sources import tables
-from gridloom.sources.workspace import stored
+from gridloom.sources import cellstore, tables
+from gridloom.sources.workspace import fresh_path, stored
 
 KEYS = ["time", "y", "x"]
 _HEAD = f"select {d('time')} as time, y, x"
@@ -39,6 +39,13 @@ def anomaly(spark, sf):
     return features.anomaly(cube, ["y", "x"], ["truth", "pred"], "month")
 
 
+@query("anomaly_from_store", _anomaly_sql("month(time)", "std"))
+def anomaly_from_store(spark, sf):
+    cube = stored(tables.pair(spark, sf).select("time", "y", "x", "truth", "pred"))
+    store = cellstore.write_store(cube, fresh_path(spark, "store"), cellstore.bucket_count(cube))
+    return cellstore.store_anomaly(store, ["truth", "pred"], "month", standard=True).drop(cellstore.KEY)
+
+
 @query("anomaly_doy", _anomaly_sql("dayofyear(time)"))
 def anomaly_doy(spark, sf):
     cube = stored(tables.pair(spark, sf).select(*KEYS, "truth", "pred"))

@@ -9,7 +9,7 @@ from gridloom.operators import features, forests, learning, linear, splitting, t
 from gridloom.operators import verification as V
 from gridloom.plans.catalog.base import BOOKED, ENS, MONTHLY_TRUTH, PAIR, RAIN, d, query, r
 from gridloom.plans.catalog.verification import r2_sql
-from gridloom.sources import tables
+from gridloom.sources import cellstore, tables
 from gridloom.sources.workspace import fresh_path, stored
 
 CELL = ["y", "x"]
@@ -149,6 +149,18 @@ def predict_from_store(spark, sf):
     return linear.predict_linear(later, stored, CELL, "pred", "predicted").drop("pred")
 
 
+@query(
+    "cell_store_predict",
+    f"""with {PAIR}, {_LINES} select {d('time')} as time, y, x, {r('a + b * pred')} as predicted
+      from pair left join lines using (y, x) where time >= {_DAY}""",
+)
+def cell_store_predict(spark, sf):
+    """Lines are fitted and applied on a store bucketed by cell: neither step moves the cube."""
+    cube = stored(tables.pair(spark, sf))
+    store = cellstore.write_store(cube, fresh_path(spark, "store"), cellstore.bucket_count(cube))
+    return cellstore.store_fit_predict(store, "pred", "truth", _SPLIT).select(*KEYS, "predicted")
+
+
 _GX = [*X, "y", "x"]
 
 
@@ -351,6 +363,33 @@ def trial_importance(spark, sf):
     return learning.trial_importance(_trials(spark, sf), ["params_a", "params_b"])
 
 
+_ROW = "turn || '|' || time || '|' || y || '|' || x"
+
+
+@query(
+    "permutation_importance",
+    f"""with {PAIR}, {_LINES}, v as (select time, y, x, truth, pred, refe from pair
+        where time >= {_DAY} and truth is not null and pred is not null and refe is not null),
+      t as (select v.*, turn from v, unnest([1, 2, 3]) as turns(turn)),
+      k as (select *, row_number() over (partition by turn order by md5('42to|' || {_ROW}), time, y, x) as i,
+        row_number() over (partition by turn order by md5('42from|' || {_ROW}), time, y, x) as j from t),
+      p as (select a + b * k.pred as p0, a + b * donor.pred as p1, k.truth from k join k donor on donor.turn = k.turn and donor.j = k.i
+        join lines on lines.y = k.y and lines.x = k.x),
+      s as (select sum(round((p0 - truth) * (p0 - truth) * 1048576)) / count(p0) / 1048576 as e0,
+        sum(round((p1 - truth) * (p1 - truth) * 1048576)) / count(p0) / 1048576 as e1, count(p0) // 3 as n from p)
+      select 'pred' as feature, {r('e1 - e0')} as importance, n from s union all select 'refe', 0.0, n from s""",
+)
+def permutation_importance(spark, sf):
+    """The lines per cell use `pred` alone, so `refe` has no importance."""
+    model = stored(linear.fit_cell_linear(tables.pair(spark, sf, end=_SPLIT), CELL, "pred", "truth"))
+    later = tables.pair(spark, sf, start=_SPLIT)
+
+    def predict(rows):
+        return linear.predict_linear(rows, model, CELL, "pred", "predicted")
+
+    return learning.permutation_importance(later, KEYS, ["pred", "refe"], "truth", predict, repeats=3)
+
+
 @query("feature_importance")
 def feature_importance(spark, sf):
     cube = stored(_cube(spark, sf))

@@ -51,6 +51,34 @@ def kmeans_regions(spark, sf):
     return regions.kmeans_regions(stored(cells), names, 6).select("y", "x", "region")
 
 
+_KS, _ROUNDS = [5, 6, 20, 50], 4
+
+
+def _lloyd(i: int) -> str:
+    """One round: the nearest centre of every vector for every k, then the means; unused centres stay."""
+    return f"""a{i} as (select vec_id, vec, k, cluster from (
+        select vec_id, e.vec, c.k, c.cluster, row_number() over (partition by vec_id, c.k order by list_distance(e.vec, c.vec), c.cluster) as j
+        from e, c{i} c) where j = 1),
+      u{i} as (select k, cluster, unnest(vec) as v, generate_subscripts(vec, 1) as p from a{i}),
+      m{i} as (select k, cluster, list(v order by p) as vec from (select k, cluster, p, avg(v) as v from u{i} group by 1, 2, 3) group by 1, 2),
+      c{i + 1} as (select c.k, c.cluster, coalesce(m.vec, c.vec) as vec from c{i} c left join m{i} m using (k, cluster))"""
+
+
+@query(
+    "kmeans_many",
+    f"""with {EMB}, ks as (select unnest({_KS}) as k),
+      e as (select vec_id, cast([{", ".join(_F)}] as double[]) as vec from emb
+        where {" and ".join(f"isfinite({f})" for f in _F)}),
+      c0 as (select k, i - 1 as cluster, vec from (select vec, row_number() over (order by md5('0|' || vec_id), vec_id) as i from e), ks where i <= k),
+      {", ".join(_lloyd(i) for i in range(_ROUNDS + 1))}
+      select emb.vec_id, cast(ks.k as int) as k, cast(cluster as int) as region
+      from emb cross join ks left join a{_ROUNDS} a on a.vec_id = emb.vec_id and a.k = ks.k""",
+)
+def kmeans_many(spark, sf):
+    """Four numbers of regions in the same passes, after a fixed number of rounds."""
+    return regions.kmeans_many(tables.emb(spark, sf), "vec_id", _F, _KS, rounds=_ROUNDS)
+
+
 @query(
     "kmeans_assign",
     f"""with {EMB}, c as (select label, {", ".join(f"avg({f}) as c{i}" for i, f in enumerate(_F))} from emb group by 1),

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from gridloom.operators import selection
 from gridloom.plans.catalog.base import DEM, PAIR, SUB, d, query, r
-from gridloom.sources import files, snapshots, tables
+from gridloom.sources import files, snapshots, tables, zorder
 from gridloom.sources.workspace import fresh_path, stored
 
 _DATES = T.StructType([T.StructField("day", T.TimestampNTZType())])
@@ -184,6 +184,18 @@ def write_cube(spark, sf):
     return spark.read.option("basePath", path).parquet(path)
 
 
+@query(
+    "zorder_box",
+    f"""with {PAIR} select {d('time')} as time, y, x, {r('pred')} as pred from pair
+      where y between 1 and 2 and x between 2 and 3 and time between date '1996-01-01' and date '1996-06-30'""",
+)
+def zorder_box(spark, sf):
+    """A box of time and space from a cube in Z-order: row groups outside it are skipped."""
+    path = fresh_path(spark, "curve")
+    zorder.write_ordered(stored(tables.pair(spark, sf).select("time", "y", "x", "pred")), path)
+    return selection.time_slice(selection.bbox_clip(spark.read.parquet(path), (1, 2), (2, 3)), "1996-01-01", "1996-06-30")
+
+
 @query(
     "publish_cube",
     f"""with {PAIR} select {d('time')} as time, y, x, {r('truth')} as pred,
