@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing column names."""
 
 import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
