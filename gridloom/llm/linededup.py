@@ -111,6 +111,12 @@ def dedup(
     docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = BATCHES, fan_in: int = 2, keep: list[str] | None = None
 ) -> DataFrame:
     """Per document: row (columns in `keep`), new_text, n_lines, n_dropped."""
+    met = documents_and_dropped(docs, min_docs, min_chars, batches, fan_in, keep or docs.columns)
+    return without(met, min_chars).select(F.col("row.row").alias("row"), "new_text", "n_lines", "n_dropped")
+
+
+def documents_and_dropped(docs: DataFrame, min_docs: int, min_chars: int, batches: int, fan_in: int, keep: list[str]) -> DataFrame:
+    """Per document: row (row, there: text is not null, dropped: hashes of its common lines) and, unless `keep` has it, text."""
     hashed = stored(line_hashes(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("id_key", "text_key"), F.lit(batches))), "lines")
     runs = Runs(docs.sparkSession, fan_in)
     for batch in range(batches):
@@ -122,12 +128,10 @@ def dedup(
         .groupBy("id_key", "text_key")
         .agg(F.collect_set("key").alias("dropped"))
     )
-    keep = keep or docs.columns
-    rows = docs.select(*document_key(), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text").alias("text"))
-    met = rows.join(dropped, ["id_key", "text_key"], "left").select(
-        F.struct(F.col("row"), F.col("dropped")).alias("row"), F.col("text").alias("text")
-    )
-    return without(met, min_chars).select(F.col("row.row").alias("row"), "new_text", "n_lines", "n_dropped")
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
+    text = [] if "text" in keep else ["text"]  # once, inside `row` or beside it
+    rows = docs.select(*document_key(), row, F.col("text").isNotNull().alias("there"), *text)
+    return rows.join(dropped, ["id_key", "text_key"], "left").select(F.struct("row", "there", "dropped").alias("row"), *text)
 
 
 def without(met: DataFrame, min_chars: int) -> DataFrame:
@@ -139,8 +143,9 @@ def without(met: DataFrame, min_chars: int) -> DataFrame:
 
     def run(cols):
         for batch in cols:
-            rows, texts = batch.column(0), batch.column(1)
-            gone = rows.field(1)
+            rows = batch.column(0)
+            texts = batch.column(1) if batch.num_columns > 1 else rows.field("row").field("text")
+            gone = rows.field("dropped")
             out = []
             for text, drop in zip(raw(texts), gone.to_pylist(), strict=True):
                 lines = text.split(b"\n")
@@ -163,9 +168,10 @@ def cleaned(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFram
 
     A null text stays null; where `n_chars` is a column it follows the new text.
     """
-    done = dedup(docs, min_docs, min_chars)
-    there = F.col("row.text").isNotNull()
+    keep = [c for c in docs.columns if c != "text"]
+    done = without(documents_and_dropped(docs, min_docs, min_chars, BATCHES, 2, keep), min_chars)
+    there = F.col("row.there")
     new = {"text": F.when(there, F.col("new_text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(there, F.char_length("new_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
-    return done.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+        new["n_chars"] = F.when(there, F.char_length("new_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.row.n_chars"))
+    return done.select(*[new.get(c, F.col(f"row.row.`{c}`")).alias(c) for c in docs.columns])

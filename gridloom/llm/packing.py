@@ -255,10 +255,9 @@ def place(cut: DataFrame, window: int = WINDOW, unit: int = UNIT, depth: int = D
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # < window / unit + unit rows
     total = sum(histogram.values())
     buckets = max(1, int(total**0.5))
-    slots = spark.createDataFrame(
-        plan_rows(plan(histogram, window, unit, depth)) or [(0, 0, 0, 1, 0, 0)],
-        "slot_length long, low long, high long, many long, first_sequence long, first_offset long",
-    )
+    names = ["slot_length", "low", "high", "many", "first_sequence", "first_offset"]
+    planned = np.array(plan_rows(plan(histogram, window, unit, depth)) or [(0, 0, 0, 1, 0, 0)], np.int64)
+    slots = spark.createDataFrame(pa.table(list(planned.T), names=names))  # from Arrow: rows of Python would start workers to read them
     dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
     inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
     over = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
