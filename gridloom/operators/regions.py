@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.aggregate import box_stats, time_quantile_features
+from gridloom.operators.density import components, density_clusters
 from gridloom.operators.features import fill_sentinel, melt_features, minmax_column
-from gridloom.operators.metric import distance, near_balls
 from gridloom.operators.ranks import hash_order
 from gridloom.sources.workspace import cut, stored
 
@@ -144,10 +144,7 @@ def cluster_profile(df: DataFrame, features: list[str], cluster: str) -> DataFra
 
 
 def _distance2(a: str, b: str, dims: int) -> Column:
-    """Squared distance of two arrays; in few dimensions written out, which compiles to plain arithmetic."""
-    if dims > INDEX_DIMS:
-        squares = F.zip_with(a, b, lambda p, q: (p - q) * (p - q))
-        return F.aggregate(squares, F.lit(0.0), lambda total, x: total + x)
+    """Squared distance of two arrays, written out, which compiles to plain arithmetic."""
     total = F.lit(0.0)
     for i in range(dims):
         gap = F.get(a, F.lit(i)) - F.get(b, F.lit(i))
@@ -155,29 +152,21 @@ def _distance2(a: str, b: str, dims: int) -> Column:
     return total
 
 
-INDEX_DIMS = 3  # up to here the grid itself finds neighbours, beyond it the metric index
+INDEX_DIMS = 3  # up to here the grid itself finds neighbours, beyond it cells of `density` do
 
 
 def _near_boxes(left: DataFrame, right: DataFrame, dims: int, eps: float) -> DataFrame:
     """Pairs (a, b) of different boxes that may hold points within eps (box diagonal = eps).
 
-    Crowded or not, a box is one row here. In a few dimensions boxes meet on their grid coordinates; with
-    more, almost all boxes are neighbours on a grid, and the true balls around their points meet instead.
+    Crowded or not, a box is one row here, and boxes meet on their grid coordinates.
     """
-    if dims > INDEX_DIMS:
-        asking = left.select("box").withColumn("asks", F.lit(True))
-        balls = right.join(asking, ["box"], "left").select(
-            F.col("box").alias("key"), F.col("centre").alias("at"), F.col("radius").alias("r"), F.coalesce("asks", F.lit(False)).alias("asks")
-        )
-        return near_balls(balls, eps)
-    used = dims
     reach = int(dims**0.5) + 1
     steps = [
-        s for s in product(range(-reach, reach + 1), repeat=used) if sum(max(abs(i) - 1, 0) ** 2 for i in s) <= dims
+        s for s in product(range(-reach, reach + 1), repeat=dims) if sum(max(abs(i) - 1, 0) ** 2 for i in s) <= dims
     ]
 
     def key(box: str, step: tuple[int, ...] | None = None) -> Column:
-        return F.array(*[F.get(F.col(box), F.lit(i)) + (step[i] if step else 0) for i in range(used)])
+        return F.array(*[F.get(F.col(box), F.lit(i)) + (step[i] if step else 0) for i in range(dims)])
 
     gap = F.lit(0).cast("bigint")
     for i in range(dims):
@@ -197,7 +186,8 @@ def dbscan(df: DataFrame, id_col: str, features: list[str], eps: float, min_poin
     A cluster is named after its smallest core id; a border point joins the
     reachable cluster with the smallest name.
 
-    Space is cut into boxes whose diagonal is eps. All points of a box with at
+    Beyond three dimensions almost all boxes of a grid are neighbours; see `density_clusters`.
+    Up to there space is cut into boxes whose diagonal is eps. All points of a box with at
     least `min_points` are core and belong together, so crowded boxes - and
     copies of one point, which are folded first - are never paired within.
     Points are compared only where one side's box is sparse (fewer than
@@ -208,22 +198,11 @@ def dbscan(df: DataFrame, id_col: str, features: list[str], eps: float, min_poin
     side = eps / dims**0.5
     vectors = F.array(*[F.col(f).cast("double") for f in features])
     flat = stored(df.select(id_col, vectors.alias("at")), "vectors").filter(~F.exists("at", lambda x: x.isNull() | F.isnan(x)))
-    points = cut(
-        flat.groupBy("at")
-        .agg(F.count(F.lit(1)).alias("w"), F.min(id_col).alias("pid"))
-        .withColumn("box", F.transform("at", lambda x: F.floor(x / F.lit(side)).cast("bigint")))
-    )
-    boxes = stored(
-        points.groupBy("box")
-        .agg(F.sum("w").alias("total"), *_bounds(dims))
-        .select(
-            "box",
-            "total",
-            F.zip_with("lo", "hi", lambda a, b: (a + b) / 2).alias("centre"),
-            (distance(F.col("lo"), F.col("hi")) / 2).alias("radius"),
-        ),
-        "boxes",
-    )
+    folded = flat.groupBy("at").agg(F.count(F.lit(1)).alias("w"), F.min(id_col).alias("pid"))
+    if dims > INDEX_DIMS:
+        return flat.join(density_clusters(folded, eps, min_points), ["at"]).select(id_col, "cluster")
+    points = cut(folded.withColumn("box", F.transform("at", lambda x: F.floor(x / F.lit(side)).cast("bigint"))))
+    boxes = stored(points.groupBy("box").agg(F.sum("w").alias("total")), "boxes")
     dense = boxes.filter(F.col("total") >= min_points)
     sparse = boxes.filter(F.col("total") < min_points)
     sparse_points = points.join(sparse.select("box", "total"), ["box"])
@@ -262,7 +241,7 @@ def dbscan(df: DataFrame, id_col: str, features: list[str], eps: float, min_poin
     crowded = _crowded_links(points, dense, dims, side, eps)
     links = through.unionByName(crowded)
     both_ways = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _components(nodes, both_ways)
+    labels = components(nodes, both_ways)
 
     core_labels = core.join(labels, ["box"]).select("pid", F.col("label").alias("cluster"))
     # Border points: not core, but within eps of a core point of their own or another box.
@@ -342,28 +321,3 @@ def _crowded_links(points: DataFrame, dense: DataFrame, dims: int, side: float,
         if open_pairs.isEmpty():
             return found
         level += 1
-
-
-def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """Smallest label reachable over the links, by repeated neighbour minimum and jumps."""
-    labels = cut(nodes.select("box", "label"))
-    home = nodes.select(F.col("label").alias("label"), F.col("box").alias("home"))
-    while True:
-        heard = (
-            links.join(labels.withColumnRenamed("box", "b"), ["b"])
-            .groupBy(F.col("a").alias("box"))
-            .agg(F.min("label").alias("heard"))
-        )
-        nearer = labels.join(heard, ["box"], "left").select(
-            "box", F.col("label").alias("old"), F.least("label", "heard").alias("label")
-        )
-        # A label is the first id of some box: follow that box's own label too.
-        jump = nearer.select(F.col("box").alias("home"), F.col("label").alias("further"))
-        step = cut(
-            nearer.join(home, ["label"])
-            .join(jump, ["home"])
-            .select("box", "old", F.least("label", "further").alias("label"))
-        )
-        if step.filter("old <> label").isEmpty():
-            return step.select("box", "label")
-        labels = step.select("box", "label")
